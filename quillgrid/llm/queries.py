@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillgrid.llm.common import table
+from quillgrid.llm.language_id import fit_language_model, identify_languages
+from quillgrid.llm.mixing import MIX_SQL, mix_sources
+from quillgrid.llm.simhash import simhash_components
 from quillgrid.llm.token_counts import count_tokens
 
 
@@ -12,5 +16,23 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_token_counts,)}
-ORACLES: dict[str, str] = {}
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents"))
+
+
+def held_out() -> F.Column:
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit_language_model(docs.where(~held_out()))
+    return identify_languages(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
+QUERIES = {f.__name__: f for f in (op3_token_counts, op8_mixing, op9_simhash, op10_language_id)}
+ORACLES: dict[str, str] = {"op8_mixing": MIX_SQL.format(docs="documents")}

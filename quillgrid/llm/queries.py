@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillgrid.llm.common import table
 from quillgrid.llm.language_id import fit_language_model, identify_languages
 from quillgrid.llm.mixing import MIX_SQL, mix_sources
+from quillgrid.llm.secrets import scan_secrets
 from quillgrid.llm.simhash import simhash_components
 from quillgrid.llm.token_counts import count_tokens
 
@@ -16,6 +17,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_guess")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
@@ -34,5 +40,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
-QUERIES = {f.__name__: f for f in (op3_token_counts, op8_mixing, op9_simhash, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op3_token_counts, op6_secrets, op8_mixing, op9_simhash, op10_language_id)}
 ORACLES: dict[str, str] = {"op8_mixing": MIX_SQL.format(docs="documents")}

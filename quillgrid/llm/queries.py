@@ -10,6 +10,7 @@ from quillgrid.llm.language_id import fit_language_model, identify_languages
 from quillgrid.llm.mixing import MIX_SQL, mix_sources
 from quillgrid.llm.secrets import scan_secrets
 from quillgrid.llm.simhash import simhash_components
+from quillgrid.llm.substring_dedup import REPEATS_SQL, remove_repeats
 from quillgrid.llm.token_counts import count_tokens
 
 
@@ -17,6 +18,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_guess")
@@ -40,5 +45,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
-QUERIES = {f.__name__: f for f in (op3_token_counts, op6_secrets, op8_mixing, op9_simhash, op10_language_id)}
-ORACLES: dict[str, str] = {"op8_mixing": MIX_SQL.format(docs="documents")}
+QUERIES = {f.__name__: f for f in (op3_token_counts, op5_substring_dedup, op6_secrets, op8_mixing, op9_simhash, op10_language_id)}
+ORACLES: dict[str, str] = {"op5_substring_dedup": REPEATS_SQL, "op8_mixing": MIX_SQL.format(docs="documents")}

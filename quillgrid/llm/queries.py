@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgrid.llm.common import table
+from quillgrid.llm.decontamination import decontaminate
 from quillgrid.llm.language_id import fit_language_model, identify_languages
 from quillgrid.llm.mixing import MIX_SQL, mix_sources
 from quillgrid.llm.secrets import scan_secrets
@@ -18,6 +19,18 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    item_ids = F.array_join(F.transform("matches", lambda m: m["item_id"].cast("string")), ",")
+    return found.select(
+        "doc_id",
+        "contaminated",
+        F.size("matches").cast("long").alias("n_items"),
+        item_ids.alias("item_ids"),
+        F.coalesce(F.array_max(F.transform("matches", lambda m: m["overlap"])), F.lit(0.0)).alias("overlap"),
+    )
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -45,5 +58,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
-QUERIES = {f.__name__: f for f in (op3_token_counts, op5_substring_dedup, op6_secrets, op8_mixing, op9_simhash, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op3_token_counts, op4_decontamination, op5_substring_dedup, op6_secrets, op8_mixing, op9_simhash, op10_language_id)}
 ORACLES: dict[str, str] = {"op5_substring_dedup": REPEATS_SQL, "op8_mixing": MIX_SQL.format(docs="documents")}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillgrid.llm.common import table
 from quillgrid.llm.decontamination import decontaminate
+from quillgrid.llm.embedding_dedup import VECTOR_SQL, embedding_components
 from quillgrid.llm.language_id import fit_language_model, identify_languages
 from quillgrid.llm.mixing import MIX_SQL, mix_sources
 from quillgrid.llm.secrets import scan_secrets
@@ -40,6 +41,10 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_guess")
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_components(table(spark, sf_dir, "embeddings"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
@@ -58,5 +63,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
-QUERIES = {f.__name__: f for f in (op3_token_counts, op4_decontamination, op5_substring_dedup, op6_secrets, op8_mixing, op9_simhash, op10_language_id)}
-ORACLES: dict[str, str] = {"op5_substring_dedup": REPEATS_SQL, "op8_mixing": MIX_SQL.format(docs="documents")}
+QUERIES = {f.__name__: f for f in (op3_token_counts, op4_decontamination, op5_substring_dedup, op6_secrets, op7_embedding_dedup, op8_mixing, op9_simhash, op10_language_id)}
+ORACLES: dict[str, str] = {"op5_substring_dedup": REPEATS_SQL, "op7_embedding_dedup": VECTOR_SQL, "op8_mixing": MIX_SQL.format(docs="documents")}

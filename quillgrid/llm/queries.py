@@ -9,13 +9,28 @@ from quillgrid.llm.common import table
 from quillgrid.llm.decontamination import decontaminate
 from quillgrid.llm.embedding_dedup import VECTOR_SQL, embedding_components
 from quillgrid.llm.language_id import fit_language_model, identify_languages
+from quillgrid.llm.licenses import license_sql, scan_licenses
 from quillgrid.llm.mixing import MIX_SQL, mix_sources
+from quillgrid.llm.quality import score_quality
 from quillgrid.llm.secrets import scan_secrets
 from quillgrid.llm.simhash import simhash_components
 from quillgrid.llm.substring_dedup import REPEATS_SQL, remove_repeats
 from quillgrid.llm.token_counts import count_tokens
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The source stands for a document's host, source and language for its path."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("host"), F.concat_ws("/", "source", "lang").alias("path"))
+    return score_quality(docs, table(spark, sf_dir, "labels"))
+
+
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: directories by thousands and hundreds of ids in their source, every hundredth a licence file."""
+    path = "concat(coalesce(source, 'unknown'), '/', doc_id div 1000, '/', doc_id div 100, '/', if(doc_id % 100 = 0, 'LICENSE', concat(doc_id, '.txt')))"
+    files = table(spark, sf_dir, "documents").selectExpr("doc_id", f"{path} path", "text")
+    return scan_licenses(files).withColumn("similarity", F.round("similarity", 6))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
@@ -63,5 +78,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
-QUERIES = {f.__name__: f for f in (op3_token_counts, op4_decontamination, op5_substring_dedup, op6_secrets, op7_embedding_dedup, op8_mixing, op9_simhash, op10_language_id)}
-ORACLES: dict[str, str] = {"op5_substring_dedup": REPEATS_SQL, "op7_embedding_dedup": VECTOR_SQL, "op8_mixing": MIX_SQL.format(docs="documents")}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_licenses, op3_token_counts, op4_decontamination, op5_substring_dedup, op6_secrets, op7_embedding_dedup, op8_mixing, op9_simhash, op10_language_id)}
+ORACLES: dict[str, str] = {"op2_licenses": license_sql(), "op5_substring_dedup": REPEATS_SQL, "op7_embedding_dedup": VECTOR_SQL, "op8_mixing": MIX_SQL.format(docs="documents")}

@@ -45,6 +45,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def without_ids(docs: DataFrame, ids: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """Rows of docs whose doc_id is not among ids (doc_id); a null doc_id stays.
+
+    The ids are counted first: up to broadcast_rows of them (8 bytes each) are broadcast so that the texts
+    need no shuffle; more are joined by key.
+    """
+    few = ids.limit(broadcast_rows + 1).count() <= broadcast_rows
+    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_anti").select(docs.columns)
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Components of an undirected graph given as (u, v) long pairs: (node, component), component the least node.
 

@@ -226,3 +226,21 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6,
         if items:
             rows = rows.mapInArrow(search_with(sc.broadcast(BlockMaxIndex(items, threshold))), rows.schema)
     return rows.select("doc_id", (F.size("matches") > 0).alias("contaminated"), "matches")
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, overlap: float = 0.8, size: int = 5, shard_items: int = 20_000, shard_bytes: int = 1 << 25) -> DataFrame:
+    """The rows of docs, with all their columns, that hold no test item in the sense of decontaminate."""
+    sc, text, rows = docs.sparkSession.sparkContext, docs.columns.index("text"), docs
+
+    def clean_by(shipped):
+        def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array([not shipped.value.matches(t, size, overlap) for t in batch.column(text).to_pylist()], pa.bool_()))
+
+        return clean
+
+    for shard in item_shards(benchmark, shard_items, shard_bytes):
+        items = [item for i, t in shard if (item := read_item(i, t, size)).words]
+        if items:
+            rows = rows.mapInArrow(clean_by(sc.broadcast(BlockMaxIndex(items, threshold))), docs.schema)
+    return rows

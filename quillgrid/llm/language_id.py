@@ -156,6 +156,21 @@ def fit_language_model(labelled: DataFrame, per_lang: int = 400, most: int = 400
     return train([t for t, _ in sample], [x for _, x in sample]) if sample else None
 
 
+def predict(model: LanguageModel | None, texts: list[str | None]) -> tuple[list[str], np.ndarray, list[bool]]:
+    """Language, best calibrated probability and whether it is too low, for each text."""
+    langs, scores = ["und"] * len(texts), np.zeros(len(texts))
+    rows = [i for i, t in enumerate(texts) if t and model and LETTER.search(t)]
+    if rows:
+        if model.key not in _tables:
+            _tables.clear()
+            _tables[model.key] = WordTable(model)
+        totals = np.array([_tables[model.key].total(texts[i]) for i in rows])
+        p = model.probabilities(totals[:, :-1], totals[:, -1])
+        for i, k, s in zip(rows, p.argmax(axis=1), p.max(axis=1), strict=True):
+            langs[i], scores[i] = model.langs[k], min(1.0, float(s))
+    return langs, scores, [x == "und" or s < model.threshold for x, s in zip(langs, scores, strict=True)]
+
+
 def identify_languages(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, lang_pred, score, rejected.
 
@@ -165,21 +180,21 @@ def identify_languages(docs: DataFrame, model: LanguageModel | None) -> DataFram
     """
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # buckets x languages numbers, whatever the input's size
 
-    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shipped.value
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, scores = ["und"] * len(batch), np.zeros(len(batch))
-            texts = batch.column(1).to_pylist()
-            rows = [i for i, t in enumerate(texts) if t and model and LETTER.search(t)]
-            if rows:
-                if model.key not in _tables:
-                    _tables.clear()
-                    _tables[model.key] = WordTable(model)
-                totals = np.array([_tables[model.key].total(texts[i]) for i in rows])
-                p = model.probabilities(totals[:, :-1], totals[:, -1])
-                for i, k, s in zip(rows, p.argmax(axis=1), p.max(axis=1), strict=True):
-                    langs[i], scores[i] = model.langs[k], min(1.0, float(s))
-            rejected = [x == "und" or s < model.threshold for x, s in zip(langs, scores, strict=True)]
+            langs, scores, rejected = predict(shipped.value, batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores), pa.array(rejected, pa.bool_())], ["doc_id", "lang_pred", "score", "rejected"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(predict, "doc_id long, lang_pred string, score double, rejected boolean")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
+
+
+def keep_identified(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
+    """The rows of docs, with all their columns, whose text is not rejected."""
+    shipped, text = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rejected = predict(shipped.value, batch.column(text).to_pylist())[2]
+            yield batch.filter(pa.array([not r for r in rejected], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

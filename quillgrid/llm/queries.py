@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from quillgrid.llm.common import table
 from quillgrid.llm.decontamination import decontaminate
 from quillgrid.llm.embedding_dedup import VECTOR_SQL, embedding_components
@@ -78,5 +79,9 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_licenses, op3_token_counts, op4_decontamination, op5_substring_dedup, op6_secrets, op7_embedding_dedup, op8_mixing, op9_simhash, op10_language_id)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_licenses, op3_token_counts, op4_decontamination, op5_substring_dedup, op6_secrets, op7_embedding_dedup, op8_mixing, op9_simhash, op10_language_id, pipeline)}
 ORACLES: dict[str, str] = {"op2_licenses": license_sql(), "op5_substring_dedup": REPEATS_SQL, "op7_embedding_dedup": VECTOR_SQL, "op8_mixing": MIX_SQL.format(docs="documents")}

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.common import connected_components, materialize
+from quillgrid.llm.common import connected_components, materialize, without_ids
 
 
 def fingerprint(text: str | bytes | None, shingle: int = 4) -> int:
@@ -209,3 +209,17 @@ def simhash_components(docs: DataFrame, radius: int = 4, shingle: int = 4, block
     of_class = joined.join(least, "root", "left").select("fp", "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return fps.join(of_class, "fp").select("doc_id", hexed, "component_id")
+
+
+def keep_first_of_group(docs: DataFrame, radius: int = 4, shingle: int = 4, blocks: int = 6) -> DataFrame:
+    """The rows of docs, with all their columns, that come first (by doc_id) in their component.
+
+    Rows with a null doc_id stay; of rows that repeat a doc_id one stays.
+    """
+    found = materialize(simhash_components(docs, radius, shingle, blocks).select("doc_id", "component_id"), "simhash")
+    later = found.where("doc_id <> component_id").select("doc_id").distinct()
+    kept = without_ids(docs, later)
+    repeated = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if repeated.isEmpty():
+        return kept
+    return without_ids(kept, repeated).union(kept.join(repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))

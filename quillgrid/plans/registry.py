@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from quillgrid.plans import block_queries, inline_queries, source_queries
+from quillgrid.plans.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "block_queries", "inline_queries", "source_queries"]

@@ -7,7 +7,7 @@ counts a text's hash buckets and multiplies the counts by the buckets' logits.
 
 A temperature fitted on held-back pieces calibrates the probabilities; a text is rejected when its best
 calibrated probability is below what all but a thousandth of the rightly placed held-back pieces reach,
-and below one half in any case.
+or below one half where that is less.
 """
 
 from __future__ import annotations

@@ -215,7 +215,7 @@ def split_cells(row: Column) -> Column:
     pieces = F.regexp_extract_all(body, F.lit(r"((?:\\.|`[^`]*`|[^|\\`]|`(?![^`]*`))*)(\||$)"), F.lit(1))
     cut = F.regexp_extract_all(body, F.lit(r"((?:\\.|`[^`]*`|[^|\\`]|`(?![^`]*`))*)(\||$)"), F.lit(2))
     last = F.array_position(cut, "")
-    return F.transform(F.slice(pieces, F.lit(1), F.greatest(last, F.lit(1)).cast("int")), F.trim)
+    return F.transform(F.slice(pieces, F.lit(1), F.greatest(last, F.lit(1)).cast("int")), lambda x: F.trim(x))
 
 
 def table_cells(block_rows: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillgrid.functions.text import col, escape_attribute, escape_html, smart_dashes, smart_quotes, smart_symbols
 
-CODE = r"(?<!`)(`+)(?!`)(.+?)(?<!`)\1(?!`)"
+CODE = r"(?<!`)(?<run>`+)(?!`)((?s:.+?))(?<!`)\k<run>(?!`)"
 #: Delimiter, node type and HTML element of the inline marks.
 MARKS = (("*", "strong", "strong"), ("/", "emphasis", "em"), ("_", "underline", "u"), ("~", "strike", "s"), ("=", "highlight", "mark"))
 FORCED = (*MARKS, ("^", "superscript", "sup"), (",", "subscript", "sub"), ("+", "insert", "ins"), ("-", "delete", "del"))
@@ -57,7 +57,7 @@ SPAN = r"(?<![!\\\]])\[([^\[\]]+)\]\{([^}]*)\}"
 
 def outside_code(text: Column | str) -> Column:
     """The text with code spans blanked to the same length, so that positions stay."""
-    parts = F.regexp_extract_all(col(text), F.lit(rf"({CODE})|[^`]+|`+"), F.lit(0))
+    parts = F.regexp_extract_all(col(text), F.lit(rf"(?:{CODE})|[^`]+|`+"), F.lit(0))
     return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^`.*`$"), F.repeat(F.lit(" "), F.length(p))).otherwise(p)), "")
 
 
@@ -141,7 +141,7 @@ def coalesce_text(nodes: DataFrame) -> DataFrame:
 
 def inline_html(text: Column | str, typography: bool = False) -> Column:
     """HTML of a flat inline text: code spans kept apart, then escapes, links, images, marks, breaks."""
-    parts = F.regexp_extract_all(col(text), F.lit(rf"\$?\$?!?({CODE})|[^`$!]+|[`$!]"), F.lit(0))
+    parts = F.regexp_extract_all(col(text), F.lit(rf"(?:\$\$?|!)?(?:{CODE})|[^`]+?(?=(?:\$\$?|!)?`|\z)|`"), F.lit(0))
 
     def piece(p: Column) -> Column:
         body = F.regexp_extract(p, r"`+(.+?)`+$", 1)

@@ -162,5 +162,5 @@ def score_quality(docs: DataFrame, labels: DataFrame, keep_at: float = 0.5, most
         "path_score", (without("path_s", own) + k_path * F.col("host_score")) / (without("path_n", one) + k_path)
     )
     score = 1 / (1 + F.exp(-(logit(F.col("p")) + logit(F.col("path_score")) - logit(F.lit(mean)))))
-    scored = scored.withColumn("score", F.coalesce(score, F.lit(0.0)))
+    scored = scored.withColumn("score", F.when(F.col("p").isNull(), 0.0).otherwise(score))
     return scored.select("doc_id", "host", "path", F.col("p").alias("doc_score"), "host_score", "path_score", "score", (F.col("score") >= keep_at).alias("kept"))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillgrid.sources.shared import materialize
+
 DIRECTIVE = r"\{\{ *([^\s}@#]+)?((?:#[^\s}]+)?(?: *@[^\s}]+)*) *\}\}"
 #: Options that an include knows.
 OPTIONS = ("lines", "region", "shift", "code", "rows", "cols")
@@ -54,7 +56,8 @@ def expand(docs: DataFrame, files: DataFrame, depth: int = 16, budget: int = 1 <
     """docs (doc_id, source) with includes replaced, round by round; doc_id, source, rounds.
 
     A directive whose path is missing, already in the trail or past the budget of max(budget, 8 x the
-    source's bytes) stays as text and is not tried again. Expansion stops at ``depth`` rounds.
+    source's bytes) stays as text and is not tried again. Expansion stops at ``depth`` rounds, each of which
+    is written to the shared folder.
     """
     stay = ""
     found = files.select("path", "content").dropDuplicates(["path"])
@@ -67,15 +70,17 @@ def expand(docs: DataFrame, files: DataFrame, depth: int = 16, budget: int = 1 <
         done = state.where(first == "")
         head = F.regexp_extract("source", DIRECTIVE, 2)
         rows = open_.withColumn("directive", first).withColumn("path", F.regexp_extract("source", DIRECTIVE, 1)).withColumn("options", F.regexp_extract_all(head, F.lit(r"@([^\s@}]+)"), F.lit(1)))
-        joined = rows.join(found, "path", "left")
-        part = shifted(select_part(F.col("content")))
-        ok = F.col("content").isNotNull() & ~F.array_contains("trail", F.col("path")) & (F.octet_length("source") + F.octet_length(part) <= F.col("budget"))
-        put = F.when(ok, part).otherwise(F.concat(F.lit(stay), F.expr("substring(directive, 2)")))
+        joined = rows.join(found, "path", "left").withColumn("part", shifted(select_part(F.col("content"))))
+        fits = F.octet_length("source") + F.octet_length("part") <= F.col("budget")
+        joined = joined.withColumn("ok", F.col("content").isNotNull() & ~F.array_contains("trail", F.col("path")) & fits)
+        ok = F.col("ok")
+        put = F.when(ok, F.col("part")).otherwise(F.concat(F.lit(stay), F.expr("substring(directive, 2)")))
         at = F.expr("instr(source, directive)")
         spliced = F.concat(F.substring("source", F.lit(1), at - 1), put, F.substring("source", at + F.length("directive"), F.length("source")))
-        state = done.unionByName(
+        following = done.unionByName(
             joined.select("doc_id", spliced.alias("source"), F.when(ok, F.array_append("trail", F.col("path"))).otherwise(F.col("trail")).alias("trail"), "budget", (F.col("rounds") + 1).alias("rounds"))
         )
+        state = materialize(following, "includes")
     return state.select("doc_id", F.replace("source", F.lit(stay), F.lit("{")).alias("source"), "rounds")
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -245,3 +248,43 @@ def display_width(c: Column | str) -> Column:
     c = col(c)
     wide = F.regexp_count(c, F.lit("[ᄀ-ᅟ⺀-〾ぁ-㏿㐀-䶿一-鿿ꀀ-꓏가-힣豈-﫿︰-﹯＀-｠￠-￦]"))
     return F.length(c) + wide - F.regexp_count(c, F.lit(r"\p{Mn}"))
+
+
+def nfc(c: Column | str) -> Column:
+    """Unicode normal form C. No built-in function has it; ASCII texts skip the Python worker's table."""
+    @F.pandas_udf("string")
+    def normal(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFC", x))
+
+    return normal(col(c))
+
+
+def graphemes(c: Column | str) -> Column:
+    """Number of grapheme clusters."""
+    return F.regexp_count(col(c), F.lit(r"\X"))
+
+
+def destination(c: Column | str) -> Column:
+    """A link destination without angle brackets and with escaped punctuation undone."""
+    return F.regexp_replace(F.regexp_replace(col(c), r"^<([^>]*)>$", "$1"), r"\\([!-/:-@\[-`{-~])", "$1")
+
+
+def csl_author_year(entry: Column | str) -> Column:
+    """``Family, 2020`` of a CSL-JSON entry; of several authors the first with et al."""
+    e = col(entry)
+    family = F.get_json_object(e, "$.author[0].family")
+    more = F.when(F.get_json_object(e, "$.author[1].family").isNotNull(), " et al.").otherwise("")
+    return F.concat(family, more, F.lit(", "), F.coalesce(F.get_json_object(e, "$.issued.date-parts[0][0]"), F.lit("n.d.")))
+
+
+def json_depth(c: Column | str) -> Column:
+    """Deepest nesting of a JSON text outside strings."""
+    bare = F.regexp_replace(col(c), r'"(?:[^"\\]|\\.)*"', "")
+    marks = F.regexp_extract_all(bare, F.lit(r"[\[\]{}]"), F.lit(0))
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(a: Column, x: Column) -> Column:
+        now = a["now"] + F.when(x.isin("[", "{"), 1).otherwise(-1)
+        return F.struct(now.alias("now"), F.greatest(a["most"], now).alias("most"))
+
+    return F.aggregate(marks, start, step, lambda a: a["most"])

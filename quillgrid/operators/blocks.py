@@ -32,6 +32,8 @@ FORMS = (
     ("link_definition", r"^\[[^\]^@][^\]]*\]:\s*\S*"),
     ("abbreviation", r"^\*\[[A-Za-z0-9]+\]: "),
     ("caption", r"^\^ +\S"),
+    ("continuation", r"^\+[ \t]*$"),
+    ("row_continuation", r"^\+ .*\|[ \t]*$"),
     ("attributes", r"^\{[^}%~+=*/_^,-][^}]*\}[ \t]*$"),
 )
 FENCE = r"^(`{3,}|~{3,}|%{3,})[ \t]*([^`]*)$"
@@ -72,11 +74,14 @@ def scan(docs: DataFrame) -> DataFrame:
     return spanned.select("doc_id", F.inline(rows))
 
 
-def classify(scanned: DataFrame) -> DataFrame:
-    """scan plus form: code, raw or comment_block inside fences, else the first of FORMS, else text."""
+def classify(scanned: DataFrame, matchers: tuple[tuple[str, str], ...] = ()) -> DataFrame:
+    """scan plus form: code, raw or comment_block inside fences, else the first of matchers and FORMS, else text.
+
+    matchers are (form, pattern) pairs of the user's own, tried before the built-in ones.
+    """
     fence = F.col("fence")
     form = F.when(fence.isNotNull(), F.when(fence["marker"].startswith("%"), "comment_block").when(fence["info"].startswith("="), "raw").otherwise("code"))
-    for name, pattern in FORMS:
+    for name, pattern in (*matchers, *FORMS):
         form = form.when(F.col("line").rlike(pattern), name)
     return scanned.withColumn("form", form.otherwise("text"))
 
@@ -93,7 +98,8 @@ def blocks(classified: DataFrame) -> DataFrame:
     form, previous = F.col("form"), F.lag("form").over(order)
     lazy = (form == "text") & previous.isin("text", "quote", "list_item", "description")
     same_fence = F.col("fence").isNotNull() & (F.col("fence.first") == F.lag("fence.first").over(order))
-    joins = lazy | same_fence | (form.isin("quote", "table_row") & (form == previous))
+    table = form.isin("table_row", "row_continuation") & previous.isin("table_row", "row_continuation")
+    joins = lazy | same_fence | table | ((form == "quote") & (previous == "quote"))
     owner = F.last(F.when(form != "text", form).when(~previous.isin(*runs) | previous.isNull(), "text"), ignorenulls=True).over(order)
     begun = classified.withColumn("begins", (~F.coalesce(joins, F.lit(False))).cast("int")).withColumn("owner", owner)
     grouped = begun.withColumn("node_id", F.sum("begins").over(order)).where("form <> 'blank'")
@@ -218,13 +224,26 @@ def split_cells(row: Column) -> Column:
     return F.transform(F.slice(pieces, F.lit(1), F.greatest(last, F.lit(1)).cast("int")), lambda x: F.trim(x))
 
 
+def joined_rows(text: Column) -> Column:
+    """Lines of a table as an array in which a ``+`` line's cells are added to the cells above."""
+    lines = F.split(text, "\n")
+
+    def step(rows: Column, line: Column) -> Column:
+        above, more = split_cells(F.element_at(rows, -1)), split_cells(F.regexp_replace(line, r"^\+", "|"))
+        cells = F.zip_with(above, more, lambda a, b: F.trim(F.concat_ws(" ", a, F.when(b != "", b))))
+        merged = F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
+        return F.when(line.startswith("+ ") & (F.size(rows) > 0), F.concat(F.slice(rows, F.lit(1), F.size(rows) - 1), F.array(merged))).otherwise(F.concat(rows, F.array(line)))
+
+    return F.when(text.rlike(r"(?m)^\+ "), F.aggregate(lines, F.array().cast("array<string>"), step)).otherwise(lines)
+
+
 def table_cells(block_rows: DataFrame) -> DataFrame:
     """Cells of pipe tables: doc_id, table_line, row, col (from 1), text, header, align, span marker.
 
     ``|=`` begins a header cell; a row of dashes is a separator: the row above is a header and the colons
     give column alignments; ``{<} {>} {~}`` at a cell's start align it; ``^`` and ``<`` alone join cells.
     """
-    rows = block_rows.where("type = 'table_row'").select("doc_id", F.col("start_line").alias("table_line"), F.posexplode(F.split("text", "\n")).alias("nth", "line"))
+    rows = block_rows.where("type = 'table_row'").select("doc_id", F.col("start_line").alias("table_line"), F.posexplode(joined_rows(F.col("text"))).alias("nth", "line"))
     separator = F.col("line").rlike(r"^\|(?:\s*:?-{2,}:?\s*\|)+\s*$")
     order = Window.partitionBy("doc_id", "table_line").orderBy("nth")
     rows = rows.withColumn("separator", separator).withColumn("headed", F.coalesce(F.lead("separator").over(order), F.lit(False)))
@@ -332,6 +351,41 @@ def attached_attributes(block_rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "node_id", "type", "text", attributes("above").alias("a")).select("doc_id", "node_id", "type", "text", "a.id", "a.classes", "a.pairs")
 
 
+def table_sections(cells: DataFrame, header_rows: int = 1, footer_rows: int = 0) -> DataFrame:
+    """cells plus section: head, body or foot by row counts."""
+    n = F.max("row").over(Window.partitionBy("doc_id", "table_line"))
+    section = F.when(F.col("row") <= header_rows, "head").when(F.col("row") > n - footer_rows, "foot").otherwise("body")
+    return cells.withColumn("section", section)
+
+
+def column_widths(cells: DataFrame) -> DataFrame:
+    """Per table column its widest cell and the table's number of columns."""
+    from quillgrid.functions.text import display_width
+
+    widths = cells.groupBy("doc_id", "table_line", "col").agg(F.max(display_width("text")).alias("width"))
+    return widths.withColumn("arity", F.max("col").over(Window.partitionBy("doc_id", "table_line")))
+
+
+def block_images(block_rows: DataFrame) -> DataFrame:
+    """Paragraphs that are one image and nothing else."""
+    shape = r"^!\[([^\]]*)\]\(([^()\s]*)\)$"
+    return block_rows.where("type = 'paragraph'").where(F.col("text").rlike(shape)).select("doc_id", "node_id", F.regexp_extract("text", shape, 1).alias("alt"), F.regexp_extract("text", shape, 2).alias("src"))
+
+
+def attached_blocks(block_rows: DataFrame) -> DataFrame:
+    """Blocks that a ``+`` line attaches to the list item above: item and block node ids."""
+    w = Window.partitionBy("doc_id").orderBy("node_id")
+    item = F.last(F.when(F.col("type") == "list_item", F.col("node_id")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    rows = block_rows.withColumn("item_id", item).withColumn("before", F.lag("type").over(w)).withColumn("before_end", F.lag("end_line").over(w))
+    return rows.where("before = 'continuation' and item_id is not null and start_line = before_end + 1").select("doc_id", "item_id", "node_id", "type", "text")
+
+
+def decisions(classified: DataFrame) -> DataFrame:
+    """One record per source line with the form that decided it and the pattern of that form."""
+    patterns = F.create_map(*[F.lit(x) for name, pattern in FORMS for x in (name, pattern)])
+    return classified.select("doc_id", "line_no", "form", F.try_element_at(patterns, F.col("form")).alias("pattern"))
+
+
 def visible(classified: DataFrame) -> DataFrame:
     """Lines without comments, so that their neighbours join."""
     return classified.where("form not in ('comment', 'comment_block')")

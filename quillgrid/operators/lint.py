@@ -177,7 +177,7 @@ def list_rules(classified: DataFrame) -> DataFrame:
     split = report(rows.where("style = 'decimal' and last_style = 'decimal' and value = last_value + 1 and indent <> last_indent"), "ordered-list-split-by-indent")
     below = report(rows.where("indent > 0 and indent < last_indent + 2 and indent > last_indent"), "list-marker-below-content-column")
     lines = classified.withColumn("before", F.lag("form").over(w)).withColumn("next", F.lead("form").over(w))
-    plus = report(lines.where("form = 'text' and trim(line) = '+' and coalesce(next, 'blank') = 'blank'"), "refused-continuation-marker")
+    plus = report(lines.where("form = 'continuation' and coalesce(next, 'blank') = 'blank'"), "refused-continuation-marker")
     seen = F.last(F.when(F.col("form") != "blank", F.col("form")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     apart = lines.withColumn("seen", seen).where("form = 'text' and before = 'blank' and seen = 'list_item'").where(F.col("line").rlike("^ {1}\\S"))
     over = lines.withColumn("seen", seen).where("before = 'list_item'").where(F.col("line").rlike(r"^ {5,}(?:[-*>]|#{1,6}) "))

@@ -119,10 +119,17 @@ def aligned_table(text: Column) -> Column:
     return F.array_join(F.transform(rows, lambda r: F.concat(F.lit("| "), F.array_join(F.transform(r, cell), " | "), F.lit(" |"))), "\n")
 
 
-def render(block_rows: DataFrame, target: str = "html") -> DataFrame:
-    """doc_id, text. Items of one list stand in one ``<ul>`` or ``<ol>``; blocks are parted as the target wants."""
+def render(block_rows: DataFrame, target: str = "html", hooks: dict | None = None, after=None) -> DataFrame:
+    """doc_id, text. Items of one list stand in one ``<ul>`` or ``<ol>``; blocks are parted as the target wants.
+
+    hooks: block type -> function of the text column that gives its output in place of the built-in one.
+    after: function of the rendered text column.
+    """
     w = Window.partitionBy("doc_id").orderBy("node_id")
-    rows = block_rows.withColumn("out", block_text(target)).where("out is not null")
+    out = block_text(target)
+    for kind, hook in (hooks or {}).items():
+        out = F.when(F.col("type") == kind, hook(F.col("text"))).otherwise(out)
+    rows = block_rows.withColumn("out", out).where("out is not null")
     item = F.col("type") == "list_item"
     follows = F.coalesce(item & (F.lag("type").over(w) == "list_item"), F.lit(False))
     if target == "html":
@@ -136,7 +143,52 @@ def render(block_rows: DataFrame, target: str = "html") -> DataFrame:
         gap = F.when(follows, F.lit("\n")).otherwise("\n\n")
     rows = rows.withColumn("out", F.concat(F.when(F.row_number().over(w) == 1, "").otherwise(gap), "out"))
     parts = F.sort_array(F.collect_list(F.struct("node_id", "out")))
-    return rows.groupBy("doc_id").agg(F.array_join(F.transform(parts, lambda p: p["out"]), "").alias("text"))
+    text = F.array_join(F.transform(parts, lambda p: p["out"]), "")
+    return rows.groupBy("doc_id").agg((after(text) if after else text).alias("text"))
+
+
+def line_block_html(text: Column) -> Column:
+    """Verse: lines by ``<br>``, leading blanks kept as no-break spaces."""
+    lines = F.transform(F.split(text, "\n"), lambda x: F.concat(F.repeat(F.lit("&nbsp;"), F.length(F.regexp_extract(x, "^ *", 0))), inline_html(F.ltrim(x))))
+    return F.concat(F.lit('<div class="line-block">'), F.array_join(lines, "<br>\n"), F.lit("</div>"))
+
+
+#: Names that make a span an element of their own.
+SEMANTIC = ("kbd", "abbr", "time", "samp", "var", "cite", "dfn")
+
+
+def semantic_span_html(content: Column, attributes: Column) -> Column:
+    """``[x]{kbd}`` as the named element, abbr and time with their value, any other span with its classes."""
+    name = F.regexp_extract(attributes, rf"^({'|'.join(SEMANTIC)})(?:=|$|\s)", 1)
+    value = F.regexp_extract(attributes, r'^(?:abbr|time)=\"?([^\"]*)\"?', 1)
+    shown = F.when((name == "abbr") & (value != ""), F.concat(F.lit(' title="'), escape_attribute(value), F.lit('"'))).when((name == "time") & (value != ""), F.concat(F.lit(' datetime="'), escape_attribute(value), F.lit('"'))).otherwise("")
+    classes = F.array_join(F.regexp_extract_all(attributes, F.lit(r"\.([\w-]+)"), F.lit(1)), " ")
+    plain = F.concat(F.lit('<span class="'), classes, F.lit('">'), inline_html(content), F.lit("</span>"))
+    return F.when(name != "", F.concat(F.lit("<"), name, shown, F.lit(">"), inline_html(content), F.lit("</"), name, F.lit(">"))).otherwise(plain)
+
+
+def mention_html(name: Column, url: Column) -> Column:
+    """A link where the name resolves, else the marked name."""
+    shown = F.concat(F.lit("@"), escape_html(name))
+    return F.when(url.isNotNull(), F.concat(F.lit('<a class="mention" href="'), escape_attribute(url), F.lit('">'), shown, F.lit("</a>"))).otherwise(F.concat(F.lit('<span class="mention"><strong>'), shown, F.lit("</strong></span>")))
+
+
+def cross_reference_html(target: Column, title: Column) -> Column:
+    """A link with the target's title; a miss is the source text."""
+    return F.when(title.isNotNull(), F.concat(F.lit('<a href="#'), escape_attribute(target), F.lit('">'), escape_html(title), F.lit("</a>"))).otherwise(F.concat(F.lit("&lt;/#"), escape_html(target), F.lit("&gt;")))
+
+
+def extension_html(name: Column, content: Column) -> Column:
+    return F.concat(F.lit('<span class="ext-'), name, F.lit('">'), inline_html(content), F.lit("</span>"))
+
+
+def ruby_html(base: Column, reading: Column) -> Column:
+    return F.concat(F.lit("<ruby>"), escape_html(base), F.lit("<rp>(</rp><rt>"), escape_html(reading), F.lit("</rt><rp>)</rp></ruby>"))
+
+
+def soft_breaks(text: Column, mode: str) -> Column:
+    """newline, space or br."""
+    return {"newline": text, "space": F.replace(text, F.lit("\n"), F.lit(" ")), "br": F.replace(text, F.lit("\n"), F.lit("<br>\n"))}[mode]
 
 
 def sections_html(block_rows: DataFrame) -> DataFrame:

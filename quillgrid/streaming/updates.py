@@ -41,7 +41,8 @@ def apply_edits(edits: DataFrame) -> DataFrame:
     """Stream of edits (doc_id, revision, start, stop, text) -> doc_id, revision, source, applied.
 
     State per document is its revision and source. An edit counts only against the current revision and
-    inside the source; others come back with applied false and change nothing. A first edit with revision
+    inside the source; others come back with applied false and change nothing. Edits of a batch go by revision,
+    start, stop and text. A first edit with revision
     0 starts from an empty source.
     """
 
@@ -49,7 +50,7 @@ def apply_edits(edits: DataFrame) -> DataFrame:
         revision, source = state.get if state.exists else (0, "")
         out = []
         for frame in frames:
-            for e in frame.sort_values(["revision", "start"]).itertuples():
+            for e in frame.sort_values(["revision", "start", "stop", "text"]).itertuples():
                 fits = e.revision == revision and 0 <= e.start <= e.stop <= len(source)
                 if fits:
                     source, revision = source[: e.start] + e.text + source[e.stop :], revision + 1

@@ -153,12 +153,17 @@ def train(texts: list[str], labels: list[str], buckets: int = 1 << 15, dim: int
 def sample_for_training(labelled: DataFrame, per_lang: int = 400, most: int = 4000) -> DataFrame:
     """At most ``most`` rows (text, lang) of labelled (doc_id, text, lang), about per_lang of each language.
 
-    Rows are drawn by a hash of doc_id, at a rate that the count of the row's language fixes.
+    Rows are drawn by a hash of doc_id, at a rate that the count of the row's language fixes. Only ids and
+    languages take part in the draw; the texts meet its at most ``most`` rows by a broadcast join.
     """
-    rows = labelled.where("text is not null and lang is not null").select("doc_id", "text", "lang")
+    rows = labelled.where("text is not null and lang is not null")
     rates = rows.groupBy("lang").agg((F.lit(float(per_lang)) / F.count("*")).alias("rate"))
+    if rates.limit(10_001).count() <= 10_000:
+        rates = F.broadcast(rates)
     draw = F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1 << 30)) / float(1 << 30)
-    return rows.join(rates, "lang").where(draw < F.col("rate")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("text", "lang")
+    drawn = rows.select("doc_id", "lang").join(rates, "lang").where(draw < F.col("rate")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    texts = rows.select("doc_id", "lang", "text").join(F.broadcast(drawn.select("doc_id", "lang").distinct()), ["doc_id", "lang"])
+    return texts.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("text", "lang")
 
 
 def fit_language_model(labelled: DataFrame, per_lang: int = 400, most: int = 4000) -> LanguageModel | None:

@@ -1,36 +1,27 @@
-"""Shared pieces: tables written to the shared folder, word splitting, connected components."""
+"""Shared pieces: batches, joins to small tables, connected components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillgrid.sources.shared import materialize, shared_folder
+
+__all__ = ["connected_components", "join_small", "materialize", "release_shuffles", "shared_folder", "small_batches", "table", "without_ids"]
+
 #: A word is a run of anything but space, tab, newline, vertical tab, form feed and carriage return.
 #: ``bytes.split()`` cuts at the same six characters.
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        jsc = spark.sparkContext._jsc.sc()
-        if jsc.getCheckpointDir().isDefined():
-            return jsc.getCheckpointDir().get()
-        folder = tempfile.mkdtemp(prefix="quillgrid-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage is cut, lost executors cost nothing."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/quillgrid/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches cut to at most ``rows`` rows, so that a worker holds few texts as Python objects at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
 
 
 def release_shuffles(spark: SparkSession) -> None:
@@ -55,6 +46,19 @@ def without_ids(docs: DataFrame, ids: DataFrame, broadcast_rows: int = 1_000_000
     return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_anti").select(docs.columns)
 
 
+def join_small(rows: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", broadcast_rows: int = 200_000, salts: int = 32) -> DataFrame:
+    """rows joined to one row per key of small, without dealing rows out by a key that may hold many of them.
+
+    small is counted first: up to broadcast_rows it is broadcast; beyond, each of its rows is repeated for
+    ``salts`` salts and rows spread over them.
+    """
+    if small.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        return rows.join(F.broadcast(small), keys, how)
+    spread = small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salt = F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int")
+    return rows.withColumn("salt", salt).join(spread, [*keys, "salt"], how).drop("salt")
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Components of an undirected graph given as (u, v) long pairs: (node, component), component the least node.
 

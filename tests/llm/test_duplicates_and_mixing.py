@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from quillgrid.llm import decontamination, embedding_dedup, mixing, simhash
-from quillgrid.llm.common import connected_components, without_ids
+from quillgrid.llm.common import connected_components, join_small, without_ids
 from quillgrid.llm.substring_dedup import remove_repeats
 
 DOCS = "doc_id long, text string, source string, component_id string, size int, taken string"
@@ -303,6 +303,15 @@ def test_without_ids_by_either_way(spark):
         assert sorted(r.doc_id for r in without_ids(docs, ids, most).collect() if r.doc_id is not None) == [0]
 
 
+def test_join_small_by_either_way(spark):
+    docs = docs_of(spark, ["a", "b", "c"], ["s", "t", "u"])
+    few = spark.createDataFrame([("s", 1), ("t", 2)], "source string, v int")
+    for most in (0, 10):
+        got = join_small(docs, few, ["source"], "left", most, 3)
+        assert {r.doc_id: r.v for r in got.collect() if r.doc_id is not None} == {0: 1, 1: 2, 2: None}
+        assert got.count() == 5
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 

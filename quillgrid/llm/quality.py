@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.common import materialize
+from quillgrid.llm.common import join_small, materialize, small_batches
 
 N_STATISTICS = 10
 LETTERS = np.zeros(256, bool)
@@ -113,7 +113,7 @@ def document_evidence(docs: DataFrame, model: QualityModel | None) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shipped.value
-        for batch in batches:
+        for batch in small_batches(batches):
             out = []
             for x in batch.column(3):
                 text = x.as_py()
@@ -138,13 +138,14 @@ def strength(groups: DataFrame, mean: float) -> float:
     return float(min(max(inside / variance - 1, 1.0), 1e4))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, keep_at: float = 0.5, most: int = 6000) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, keep_at: float = 0.5, most: int = 6000, broadcast_rows: int = 200_000) -> DataFrame:
     """One row per row of docs (doc_id, text, host, path): doc_id, host, path, doc_score, host_score, path_score, score, kept.
 
     host_score and path_score are the posteriors of the site without this row. A text without words has a
     null doc_score, lends its site no evidence, scores 0 and isn't kept. A null host or path stands for no
     site: its rows fall back on the corpus or the host. Without any label every text is taken as even
-    (0.5). Null and repeated ids pass through, other columns are ignored, an empty table gives no rows.
+    (0.5). Up to broadcast_rows sites are broadcast, more are joined by salted
+    keys. Null and repeated ids pass through, other columns are ignored, an empty table gives no rows.
     """
     evidence = materialize(document_evidence(docs, fit_quality_model(docs, labels, most)), "evidence")
     paths = evidence.where("p is not null").groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("s"))
@@ -157,7 +158,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, keep_at: float = 0.5, most
     one, own = F.col("p").isNotNull().cast("int"), F.coalesce("p", F.lit(0.0))
     without = lambda c, x: F.greatest(F.coalesce(F.col(c), F.lit(0)) - F.when(F.col(c).isNotNull(), x).otherwise(0), F.lit(0))
     logit = lambda x: F.log(F.greatest(x, F.lit(1e-6)) / F.greatest(1 - x, F.lit(1e-6)))
-    joined = evidence.join(sites, ["host", "path"], "left").join(hosts, "host", "left")
+    joined = join_small(join_small(evidence, sites, ["host", "path"], "left", broadcast_rows), hosts, ["host"], "left", broadcast_rows)
     scored = joined.withColumn("host_score", (without("host_s", own) + k_host * mean) / (without("host_n", one) + k_host)).withColumn(
         "path_score", (without("path_s", own) + k_path * F.col("host_score")) / (without("path_n", one) + k_path)
     )

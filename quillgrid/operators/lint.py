@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from quillgrid.operators import blocks as B
 from quillgrid.operators import inlines as I
 from quillgrid.operators import references as R
+from quillgrid.sources.shared import materialize
 
 SUPPORTED = (0, 1)
 
@@ -222,9 +223,12 @@ def label_spacing(definitions: DataFrame, raw: str = "raw") -> DataFrame:
 
 
 def lint(docs: DataFrame) -> DataFrame:
-    """All rules that need no options, by document, line and rule."""
-    classified = B.classify(B.scan(docs))
-    rows = B.blocks(classified)
+    """All rules that need no options, by document, line and rule.
+
+    Lines and blocks are written to the shared folder once, so that the passes read them and not the sources.
+    """
+    classified = materialize(B.classify(B.scan(docs)), "lines")
+    rows = materialize(B.blocks(classified), "blocks")
     parts = [
         line_rules(classified), heading_level_skip(classified), unclosed_fences(rows), container_rules(classified), figure_groups(classified), folded_markers(classified),
         block_markers_as_text(rows), table_rules(rows), width_rules(rows), delimited_rules(rows), list_rules(classified), description_rules(classified),

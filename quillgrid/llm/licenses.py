@@ -15,6 +15,8 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillgrid.llm.common import materialize
+
 #: Licence ids and statements of them.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -103,7 +105,7 @@ def scan_licenses(files: DataFrame, templates: dict[str, str] | None = None, thr
     similar licence file counts, of equals the greater licence id. A null or empty text has no headers; a null path has no
     directory; repeated rows count each; other columns are ignored; an empty table gives no rows.
     """
-    own = header_licenses(files.select("doc_id", "path", "text"), templates, threshold).withColumn("dir", F.regexp_extract("path", r"^(.*)/[^/]*$", 1))
+    own = materialize(header_licenses(files.select("doc_id", "path", "text"), templates, threshold), "headers").withColumn("dir", F.regexp_extract("path", r"^(.*)/[^/]*$", 1))
     base = F.regexp_extract("path", r"([^/]*)$", 1)
     licensed = (
         own.where(base.isin(*licence_files) & F.col("own").isNotNull())

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillgrid.llm.common import small_batches
+
 TERM = re.compile(r"\w+")
 SENTENCE_END = re.compile(r"(?<=[.!?])\s+|\n+")
 MATCH = pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64()), ("overlap", pa.float64())])
@@ -215,7 +217,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6,
     def search_with(shipped):
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = shipped.value
-            for batch in batches:
+            for batch in small_batches(batches):
                 found = [before + index.matches(text, size, overlap) for text, before in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(MATCH))], ["doc_id", "text", "matches"])
 
@@ -234,7 +236,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float =
 
     def clean_by(shipped):
         def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in small_batches(batches):
                 yield batch.filter(pa.array([not shipped.value.matches(t, size, overlap) for t in batch.column(text).to_pylist()], pa.bool_()))
 
         return clean

@@ -2,8 +2,8 @@
 
 Unit vectors with cosine c or more lie within squared distance B = 2 (1 - c). After a random rotation the
 coordinates are cut into blocks; at least one block has a squared distance of at most its share of B. So
-each block is range-joined under that budget: a cell of its first two coordinates, as wide as the budget's
-root, meets itself and its neighbours, and in a cell only pairs within the block's budget are candidates.
+each block is range-joined under that budget: a cell of its first coordinate, as wide as the budget's
+root, meets itself and the next one, and in a cell only pairs within the block's budget are candidates.
 A candidate is verified on the whole vectors in double precision, in the first block that finds it.
 
 Equal vectors are one class. A cell above ``chunk_rows`` rows is cut into chunks and each pair of chunks
@@ -24,10 +24,6 @@ from quillgrid.llm.common import connected_components, join_small, materialize
 from quillgrid.llm.simhash import Forest
 
 
-#: Of two neighbouring cells the rows of one visit the other: a row belongs to its own cell and visits those ahead.
-AHEAD = ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))
-
-
 def rotation(dim: int, seed: int = 11) -> np.ndarray:
     """A random orthogonal matrix, the same in every task."""
     q, r = np.linalg.qr(np.random.default_rng(seed).normal(size=(dim, dim)))
@@ -79,7 +75,7 @@ def keyed(rows: DataFrame) -> DataFrame:
 
 
 def spread(classes: DataFrame, threshold: float, blocks: int) -> DataFrame:
-    """A row per class, block and cell that it belongs to or visits."""
+    """A row per class, block and cell that it belongs to (home) or visits from the cell before."""
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,17 +85,16 @@ def spread(classes: DataFrame, threshold: float, blocks: int) -> DataFrame:
                 y, edges = units(matrix(part.column(3))) @ rotation(int(dim)).T, block_edges(int(dim), blocks)
                 for j in range(len(edges) - 1):
                     width = budget(edges, j, threshold) ** 0.5
-                    x_cell = np.floor(y[:, edges[j]] / width).astype(np.int64)
-                    y_cell = np.floor(y[:, edges[j] + 1] / width).astype(np.int64) if edges[j + 1] > edges[j] + 1 else np.zeros(len(part), np.int64)
-                    for dx, dy in AHEAD:
+                    cell = np.floor(y[:, edges[j]] / width).astype(np.int64)
+                    for visit in (0, 1):
                         same = lambda x: pa.array(np.full(len(part), x))  # noqa: B023, E731
                         yield pa.RecordBatch.from_arrays(
-                            [part.column(1), same(np.int32(dim)), same(np.int32(j)), pa.array(x_cell + dx), pa.array(y_cell + dy), same(dx != 0 or dy != 0), part.column(0), part.column(2), part.column(3)],
-                            ["label", "dim", "block", "x_cell", "y_cell", "visits", "id", "n", "vector"],
+                            [part.column(1), same(np.int32(dim)), same(np.int32(j)), pa.array(cell + visit), same(bool(visit)), part.column(0), part.column(2), part.column(3)],
+                            ["label", "dim", "block", "cell", "visits", "id", "n", "vector"],
                         )
 
     kind = classes.schema["vector"].dataType.simpleString()
-    return classes.select("id", "label", "n", "vector").mapInArrow(cells, f"label long, dim int, block int, x_cell long, y_cell long, visits boolean, id long, n long, vector {kind}")
+    return classes.select("id", "label", "n", "vector").mapInArrow(cells, f"label long, dim int, block int, cell long, visits boolean, id long, n long, vector {kind}")
 
 
 def near_pairs(a: np.ndarray, b: np.ndarray, j: int, edges: list[int], threshold: float, step: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -125,7 +120,7 @@ def near_pairs(a: np.ndarray, b: np.ndarray, j: int, edges: list[int], threshold
             yield x[first], z[first]
 
 
-def embedding_components(rows: DataFrame, threshold: float = 0.93, blocks: int = 4, chunk_rows: int = 1500) -> DataFrame:
+def embedding_components(rows: DataFrame, threshold: float = 0.93, blocks: int = 4, chunk_rows: int = 4000) -> DataFrame:
     """One row per row of rows (vec_id, embedding, label): vec_id, n_links, component_id, kept.
 
     Vectors link when their labels are equal and not null, their lengths are equal and their cosine in
@@ -142,7 +137,7 @@ def embedding_components(rows: DataFrame, threshold: float = 0.93, blocks: int =
         named.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("embedding").alias("vector")),
         "vector-classes",
     )
-    cell = ["label", "dim", "block", "x_cell", "y_cell"]
+    cell = ["label", "dim", "block", "cell"]
     dealt = spread(classes, threshold, blocks)
     chunks = dealt.groupBy(*cell).agg(F.ceil(F.count("*") / chunk_rows).cast("int").alias("chunks"))
     grouped = (

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillgrid.llm.common import small_batches
+
 LETTER = re.compile(r"[^\W\d_]")
 SPREAD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 FINISH = np.uint64(0xFF51AFD7ED558CCD)
@@ -194,7 +196,7 @@ def identify_languages(docs: DataFrame, model: LanguageModel | None) -> DataFram
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # buckets x languages numbers, whatever the input's size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             langs, scores, rejected = predict(shipped.value, batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores), pa.array(rejected, pa.bool_())], ["doc_id", "lang_pred", "score", "rejected"])
 
@@ -206,7 +208,7 @@ def keep_identified(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     shipped, text = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             rejected = predict(shipped.value, batch.column(text).to_pylist())[2]
             yield batch.filter(pa.array([not r for r in rejected], pa.bool_()))
 

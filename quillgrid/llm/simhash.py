@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.common import connected_components, materialize, without_ids
+from quillgrid.llm.common import connected_components, materialize, small_batches, without_ids
 
 
 def fingerprint(text: str | bytes | None, shingle: int = 4) -> int:
@@ -53,7 +53,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """doc_id and fp (the fingerprint's bits as a long) for every row of docs (doc_id, text)."""
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             fps = [signed(fingerprint(x.as_py(), shingle)) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 

@@ -19,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from quillgrid.llm.common import small_batches
+
 CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 _workers: dict[str, PieceCounter] = {}
 
@@ -120,7 +122,7 @@ def count_tokens(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", limit: i
 
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(tokenizer, batch_bytes).count
-        for batch in batches:
+        for batch in small_batches(batches):
             n = count(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())],

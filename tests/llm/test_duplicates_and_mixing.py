@@ -226,7 +226,7 @@ def vectors(spark):
     return rows, spark.createDataFrame([(*r, 0) for r in rows], "vec_id long, embedding array<float>, label int, n_links int")
 
 
-@pytest.mark.parametrize("chunk_rows", [1500, 5])
+@pytest.mark.parametrize("chunk_rows", [4000, 5])
 def test_embedding_components_equal_brute_force(spark, chunk_rows):
     rows, df = vectors(spark)
     fine = {i: (np.array(v, np.float32).astype(np.float64), lab) for i, v, lab in rows if i is not None and v and lab is not None and None not in v and np.isfinite(v).all() and np.linalg.norm(v) > 0}

@@ -11,9 +11,11 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillgrid.functions.text import slug
 from quillgrid.operators import blocks as B
 from quillgrid.operators import inlines as I
 from quillgrid.operators import references as R
+from quillgrid.operators.windows import unique_ids
 from quillgrid.sources.shared import materialize
 
 SUPPORTED = (0, 1)
@@ -101,15 +103,39 @@ def container_rules(classified: DataFrame) -> DataFrame:
     return unclosed.union(placed).union(groups)
 
 
-def figure_groups(classified: DataFrame) -> DataFrame:
-    """Figure groups without a panel, or with one: images between the opener and its end, by a running owner."""
+def figure_lines(classified: DataFrame) -> DataFrame:
+    """Lines of figure groups, from the opener to its end, each with its owner: a running last opener per document."""
     c = B.containers(classified).where("name = 'figure'").select("doc_id", F.col("start_line").alias("line_no"), F.col("end_line").alias("last"))
     w = Window.partitionBy("doc_id").orderBy("line_no")
     rows = classified.join(c, ["doc_id", "line_no"], "left")
     owner = F.last(F.when(F.col("last").isNotNull(), F.struct("line_no", "last")), ignorenulls=True).over(w)
-    rows = rows.withColumn("owner", owner).where("owner is not null and line_no <= owner.last")
+    return rows.withColumn("owner", owner).where("owner is not null and line_no <= owner.last")
+
+
+def figure_groups(classified: DataFrame) -> DataFrame:
+    """Figure groups without a panel, or with one, and panel captions that hold a number slot."""
+    rows = figure_lines(classified)
     panels = rows.groupBy("doc_id", F.col("owner.line_no").alias("line")).agg(F.sum(F.col("line").rlike(r"^!\[").cast("int")).alias("panels"))
-    return panels.where("panels < 2").select("doc_id", "line", F.when(F.col("panels") == 0, "figure-group-empty").otherwise("figure-group-single-panel").alias("rule"))
+    few = panels.where("panels < 2").select("doc_id", "line", F.when(F.col("panels") == 0, "figure-group-empty").otherwise("figure-group-single-panel").alias("rule"))
+    numbered = rows.where(F.col("form") == "caption").where(F.col("line").rlike(r"^\^ +(?:[^#]*\s)?#(?:[:.\s]|$)"))
+    return few.union(report(numbered, "figure-group-panel-number"))
+
+
+def rendered_ids(classified: DataFrame) -> DataFrame:
+    """doc_id and id of every explicit id and of every heading; generated ids avoid the explicit ones."""
+    lines = classified.where("fence is null")
+    explicit = lines.select("doc_id", F.explode(F.regexp_extract_all(I.outside_code("line"), F.lit(r"\{(?:[^}#]*\s)?#([^\s}.#=]+)(?=[\s}])"), F.lit(1))).alias("id")).distinct()
+    heads = unique_ids(B.headings(classified).withColumn("slug", slug("title")), reserved=explicit)
+    return explicit.union(heads.select("doc_id", "id"))
+
+
+def target_rules(classified: DataFrame) -> DataFrame:
+    """Cross-references and fragment links of which the document renders no id."""
+    ids = rendered_ids(classified)
+    texts = classified.where("form in ('text', 'list_item', 'quote', 'heading', 'table_row', 'description')").select("doc_id", "line_no", F.col("line").alias("text"))
+    refs = I.occurrences(texts, "crossref").withColumnRenamed("value", "id")
+    lost = refs.join(ids.distinct(), ["doc_id", "id"], "left_anti")
+    return report(lost, "broken-crossref").union(report(R.broken_fragments(I.links(texts), ids).where("href <> '#'"), "broken-fragment-link"))
 
 
 def folded_markers(classified: DataFrame) -> DataFrame:
@@ -232,7 +258,7 @@ def lint(docs: DataFrame) -> DataFrame:
     parts = [
         line_rules(classified), heading_level_skip(classified), unclosed_fences(rows), container_rules(classified), figure_groups(classified), folded_markers(classified),
         block_markers_as_text(rows), table_rules(rows), width_rules(rows), delimited_rules(rows), list_rules(classified), description_rules(classified),
-        unattached_attributes(rows), colon_widths(classified), version_rule(docs),
+        unattached_attributes(rows), colon_widths(classified), version_rule(docs), target_rules(classified),
     ]
     definitions = B.definitions(classified)
     texts = classified.where("form in ('text', 'list_item', 'quote', 'heading')").select("doc_id", "line_no", F.col("line").alias("text"))

@@ -92,6 +92,24 @@ def v29_v33_figure_groups(spark, sf):
     return found(docs, L.figure_groups).select("doc_id", "rule")
 
 
+@query("SELECT n_nationkey::BIGINT AS doc_id, 5::BIGINT AS line, 'figure-group-panel-number' AS rule FROM nation WHERE n_nationkey % 2 = 0")
+def v32_panel_numbers(spark, sf):
+    caption = "if(n_nationkey % 2 = 0, 'Panel #: ', 'Panel ')"
+    docs = markup(spark, sf, "nation", "n_nationkey", f"concat('::: figure\n![a](b)\n^ c#d\n![e](f)\n^ ', {caption}, n_name, '\n:::\n^ Figure #: g\n')")
+    return found(docs, L.figure_groups).select("doc_id", F.col("line").cast("long"), "rule")
+
+
+@query(
+    """SELECT p_partkey AS doc_id, l::BIGINT AS line, r AS rule FROM part, (VALUES (6, 'broken-crossref', 0), (7, 'broken-fragment-link', 1)) x(l, r, k)
+    WHERE p_size % 2 = k""",
+)
+def v6_v7_broken_targets(spark, sf):
+    """Of a heading's id, the second id of its name, an explicit id and one that nothing has, only the last is broken."""
+    good = "replace(p_name, ' ', '-')"
+    lines = f"'# ', p_name, '\n\n# ', p_name, '\n\n{{#own}}\n', if(p_size % 2 = 0, '</#gone>', '</#own>'), ' `</#code>` </#', {good}, '-2>\n', if(p_size % 2 = 1, '[a](#gone)', '[a](#own)'), ' [b](#', {good}, ') [c](/x#y)'"
+    return found(markup(spark, sf, "part", "p_partkey", f"concat({lines})"), L.target_rules).select("doc_id", F.col("line").cast("long"), "rule")
+
+
 @query("SELECT n_nationkey::BIGINT AS doc_id, CASE WHEN n_nationkey % 2 = 0 THEN 'unclosed-code-fence' ELSE 'unclosed-comment-fence' END AS rule FROM nation")
 def v74_v75_unclosed_fences(spark, sf):
     docs = markup(spark, sf, "nation", "n_nationkey", "concat(if(n_nationkey % 2 = 0, '```', '%%%'), '\n', n_name, '\n')")

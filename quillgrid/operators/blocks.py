@@ -335,13 +335,19 @@ def container_kind(name: Column) -> Column:
     )
 
 
+def number_slot(text):
+    """Position, from 1, of the first unescaped ``#`` of a caption; 0 without one."""
+    return F.instr(F.regexp_replace(text, r"\\.", "  "), "#")
+
+
 def captions(block_rows: DataFrame) -> DataFrame:
-    """Captions with the type of the block they follow; ``#`` marks the number's place and the text before it the counter."""
+    """Captions with the type of the block they follow; the first unescaped ``#`` marks the number's place and the text before it the counter."""
     order = Window.partitionBy("doc_id").orderBy("node_id")
     target = F.lag("type").over(order)
     rows = block_rows.withColumn("target", target).where("type = 'caption'")
     text = F.regexp_replace("text", r"^\^ +", "")
-    return rows.select("doc_id", "node_id", "start_line", "target", text.alias("text"), F.when(text.contains("#"), F.trim(F.substring_index(text, "#", 1))).alias("counter"))
+    slot = number_slot(text)
+    return rows.select("doc_id", "node_id", "start_line", "target", text.alias("text"), F.when(slot > 0, F.trim(F.substring(text, F.lit(1), slot - 1))).alias("counter"))
 
 
 def attached_attributes(block_rows: DataFrame) -> DataFrame:

@@ -117,7 +117,7 @@ def figure_groups(classified: DataFrame) -> DataFrame:
     rows = figure_lines(classified)
     panels = rows.groupBy("doc_id", F.col("owner.line_no").alias("line")).agg(F.sum(F.col("line").rlike(r"^!\[").cast("int")).alias("panels"))
     few = panels.where("panels < 2").select("doc_id", "line", F.when(F.col("panels") == 0, "figure-group-empty").otherwise("figure-group-single-panel").alias("rule"))
-    numbered = rows.where(F.col("form") == "caption").where(F.col("line").rlike(r"^\^ +(?:[^#]*\s)?#(?:[:.\s]|$)"))
+    numbered = rows.where(F.col("form") == "caption").where(B.number_slot("line") > 0)
     return few.union(report(numbered, "figure-group-panel-number"))
 
 

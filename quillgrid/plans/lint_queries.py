@@ -95,7 +95,7 @@ def v29_v33_figure_groups(spark, sf):
 @query("SELECT n_nationkey::BIGINT AS doc_id, 5::BIGINT AS line, 'figure-group-panel-number' AS rule FROM nation WHERE n_nationkey % 2 = 0")
 def v32_panel_numbers(spark, sf):
     caption = "if(n_nationkey % 2 = 0, 'Panel #: ', 'Panel ')"
-    docs = markup(spark, sf, "nation", "n_nationkey", f"concat('::: figure\n![a](b)\n^ c#d\n![e](f)\n^ ', {caption}, n_name, '\n:::\n^ Figure #: g\n')")
+    docs = markup(spark, sf, "nation", "n_nationkey", f"concat('::: figure\n![a](b)\n^ c\\\\#d\n![e](f)\n^ ', {caption}, n_name, '\n:::\n^ Figure #: g\n')")
     return found(docs, L.figure_groups).select("doc_id", F.col("line").cast("long"), "rule")
 
 

@@ -217,6 +217,11 @@ def keep_first_of_group(docs: DataFrame, radius: int = 4, shingle: int = 4, bloc
     Rows with a null doc_id stay; of rows that repeat a doc_id one stays.
     """
     found = materialize(simhash_components(docs, radius, shingle, blocks).select("doc_id", "component_id"), "simhash")
+    return keep_first(docs, found)
+
+
+def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id names its component in found (doc_id, component_id)."""
     later = found.where("doc_id <> component_id").select("doc_id").distinct()
     kept = without_ids(docs, later)
     repeated = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")

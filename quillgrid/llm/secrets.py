@@ -22,7 +22,7 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # the maximal runs of 16 or more
 CONTEXT = re.compile(
-    r"""(?:pass(?:word|wd|phrase|code)?|pwd|pin|secret|token|credentials?|auth|api[_-]?key|private[_-]?key|access[_-]?key)["']?(?:\x20{0,3}(?::=|=>|[:=])\x20{0,3}|\x20(?:is|was)\x20(?:["'`]))["'`]?([^\s"'`,;]{6,128})""",
+    r"""(?:pass(?:word|wd|phrase|code)?|pwd|pin|secret|token|credentials?|auth|api[_-]?key|private[_-]?key|access[_-]?key)["']?(?:\x20{0,3}(?::=|=>|[:=])\x20{0,3}|\x20(?:is|was)\x20(?:["'`]))["'`]?([^\s"'`,;]{6,})""",
     re.IGNORECASE | re.ASCII,
 )
 #: A text whose lower case holds none of these has no match of the pattern.
@@ -44,6 +44,8 @@ NEIGHBOURS = {
     for r, row in enumerate(KEY_ROWS)
     for c, key in enumerate(row)
 }
+#: No word or date is longer.
+LONGEST_PART = max(LONGEST_WORD, 10)
 LEET = str.maketrans("4@310$5+7", "aaeiosstt")
 DATE = re.compile(r"(?:(?:19|20)\d\d|(?:\d{1,2}[-/.]?\d{1,2}[-/.]?(?:19|20)?\d\d)|(?:(?:19|20)\d\d[-/.]?\d{1,2}[-/.]?\d{1,2}))")
 
@@ -89,30 +91,96 @@ def brute_cost(character: str) -> float:
     return 1.0 if character.isdigit() else math.log10(26) if character.isalpha() and character.isascii() else math.log10(33)
 
 
-def guess_cost(value: str) -> float:
-    """log10 of the guesses that the cheapest segmentation of the value needs."""
-    n, spans = len(value), span_costs(value)
-    brute = [0.0]
-    for c in value:
-        brute.append(brute[-1] + brute_cost(c))
-    # best[i][k]: least cost of value[:i] in k parts, the last one brute force or not; two brute-force parts never touch.
-    most = max(1, min(n, 12))
-    inf = math.inf
-    guessed = [[inf] * (most + 1) for _ in range(n + 1)]
-    forced = [[inf] * (most + 1) for _ in range(n + 1)]
-    guessed[0][0] = 0.0
+class Parts:
+    """The parts that begin at each position, asked for in ascending order, without a pass over the whole value.
+
+    A repeat or a sequence costs less than the brute force, the date or the second run that would follow it
+    inside its own run of characters, so only ends near the run's end, or where a word or date may begin, count.
+    """
+
+    def __init__(self, value: str):
+        self.value, self.low = value, value.lower()
+        self.plain = self.low.translate(LEET)
+        self.ends = {"repeat": 0, "walk": 0, "sequence": 0}
+        self.step = 0
+
+    def _run(self, kind: str, i: int, goes_on) -> int:
+        """End of the run of characters around i whose neighbours satisfy goes_on(position of the first)."""
+        if i >= self.ends[kind]:
+            j = i + 1
+            while j < len(self.value) and goes_on(j - 1):
+                j += 1
+            self.ends[kind] = j
+        return self.ends[kind]
+
+    def _sequence_end(self, i: int) -> int:
+        value, n = self.value, len(self.value)
+        if i + 1 >= self.ends["sequence"]:
+            self.step = ord(value[i + 1]) - ord(value[i]) if i + 1 < n else 0
+            j = i + 2
+            while self.step in (1, -1) and j < n and ord(value[j]) - ord(value[j - 1]) == self.step:
+                j += 1
+            self.ends["sequence"] = j
+        return self.ends["sequence"] if self.step in (1, -1) else i + 1
+
+    def at(self, i: int, room: float) -> Iterator[tuple[int, float]]:
+        """(end, log10 guesses) of the parts that begin at i and cost less than room."""
+        value, low, n = self.value, self.low, len(self.value)
+        for j in range(i + 3, min(n, i + LONGEST_WORD) + 1):
+            rank = RANK.get(low[i:j])
+            leet = RANK.get(self.plain[i:j]) if rank is None else None
+            if rank or leet:
+                yield j, math.log10(rank or leet) + (0.0 if value[i:j] == low[i:j] else 0.6) + (0.0 if rank else 0.6)
+        if found := DATE.match(value, i):
+            yield found.end(), 2.3 if found.end() - i == 4 else 4.6
+        end = self._run("repeat", i, lambda j: value[j] == value[j + 1])
+        for j in range(max(i + 3, end - LONGEST_PART), end + 1):
+            yield j, 1.0 + math.log10(j - i)
+        end = self._run("walk", i, lambda j: low[j + 1] in NEIGHBOURS.get(low[j], ()))
+        for j in range(i + 4, end + 1):
+            cost = 1.7 + math.log10(j - i) + 0.3 * (j - i) ** 0.5
+            if cost >= room:
+                break
+            yield j, cost
+        end = self._sequence_end(i)
+        near = max(i + 3, end - LONGEST_PART)
+        early = [] if near == i + 3 or not (value[i].isascii() or value[end - 1].isascii() or value[i].isdecimal() or value[end - 1].isdecimal()) else range(i + 3, near)
+        for j in (*early, *range(near, end + 1)):
+            yield j, 0.9 + math.log10(j - i)
+
+
+def guess_cost(value: str, enough: float = math.inf) -> float:
+    """log10 of the guesses that the cheapest segmentation of the value needs; ``enough`` if all need that many.
+
+    Costs only grow along a segmentation, so one that has reached ``enough`` is left where it is; the search
+    ends as soon as none is open, for most long values after a few characters.
+    """
+    n, parts = len(value), Parts(value)
+    times = [0.0]  # log10 of the factorial of the number of parts
+    # open_[i]: (number of parts, is the last one brute force) -> least cost of value[:i]; two brute-force parts never touch.
+    open_: dict[int, dict[tuple[int, bool], float]] = {0: {(0, False): 0.0}}
+    far = 0
     for i in range(n):
-        for k in range(most):
-            here, both = guessed[i][k], min(guessed[i][k], forced[i][k])
-            if both < inf:
-                for j, cost in spans[i]:
-                    if both + cost < guessed[j][k + 1]:
-                        guessed[j][k + 1] = both + cost
-            if here < inf:
-                for j in range(i + 1, n + 1):
-                    if here + brute[j] - brute[i] < forced[j][k + 1]:
-                        forced[j][k + 1] = here + brute[j] - brute[i]
-    return min((min(guessed[n][k], forced[n][k]) + math.lgamma(k + 1) / math.log(10) for k in range(most + 1)), default=0.0)
+        if i > far:
+            break
+        for (k, forced), cost in sorted(open_.pop(i, {}).items()):
+            if len(times) < k + 2:
+                times.append(math.lgamma(k + 2) / math.log(10))
+            room = enough - times[k + 1] - cost
+            following = [(j, c, False) for j, c in parts.at(i, room)]
+            if not forced:
+                total = 0.0
+                for j in range(i, n):
+                    total += brute_cost(value[j])
+                    if total + cost + times[k + 1] >= enough:
+                        break
+                    following.append((j + 1, total, True))
+            for j, c, brute in following:
+                states = open_.setdefault(j, {})
+                if cost + c + times[k + 1] < min(enough, states.get((k + 1, brute), math.inf) + times[k + 1]):
+                    states[k + 1, brute] = cost + c
+                    far = max(far, j)
+    return min((cost + math.lgamma(k + 1) / math.log(10) for (k, _), cost in open_.get(n, {}).items()), default=enough)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -130,7 +198,7 @@ def guess_spans(text: str, min_log10: float) -> list[tuple[int, int, int]]:
     low = text.lower()
     if not any(cue in low for cue in CONTEXT_CUES):
         return []
-    return [(m.start(1), 3, m.end(1)) for m in CONTEXT.finditer(text) if guess_cost(m[1]) >= min_log10]
+    return [(m.start(1), 3, m.end(1)) for m in CONTEXT.finditer(text) if guess_cost(m[1], min_log10) >= min_log10]
 
 
 def written(spans: list[tuple[int, int, int]]) -> str:
@@ -141,7 +209,7 @@ def scan_secrets(docs: DataFrame, min_log10: float = 10.0) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_assign, n_access, n_hex, n_guess, base, spans.
 
     base and spans list ``kind:start:end`` in code points, end exclusive, by start and then by kind; spans
-    adds the values in a credential's place that cost at least 10^min_log10 guesses (values of 6 to 128
+    adds the values in a credential's place that cost at least 10^min_log10 guesses (whole runs of 6 or more
     characters). A null text counts as empty; null and repeated ids pass through; other columns are
     ignored; an empty table gives no rows. Each text is scanned whole.
     """

@@ -6,7 +6,9 @@ Postings lie in blocks with their greatest weight; block-max WAND retrieves all
 and skips blocks that cannot reach it. Passages overlap so that each run of words as long as the longest
 item lies whole in one of them. A vectorised bound over the rarer terms (those whose complement cannot
 alone reach the threshold) first discards the passages that hold no item above it; no item is lost.
-What is retrieved is then verified by shingles of five words of the item's question and answer.
+An item's question is a unit of the index beside the whole item, so that the threshold holds for each alone.
+What is retrieved is then verified by shingles of five words: the whole item's or its question's decide, the
+answer's are reported beside them.
 """
 
 from __future__ import annotations
@@ -45,6 +47,8 @@ class Item:
     question: set = field(default_factory=set)
     answer: set = field(default_factory=set)
     whole: set = field(default_factory=set)
+    answer_words: int = 0  # 0 if the answer is not a part of its own
+    asked: bool = False  # the unit is the item's question alone
 
 
 def read_item(item_id: int, text: str, size: int) -> Item:
@@ -52,18 +56,35 @@ def read_item(item_id: int, text: str, size: int) -> Item:
     sentences = [s for s in SENTENCE_END.split(text) if TERM.search(s)]
     words = terms_of(text)
     question, answer = (" ".join(sentences[:-1]), sentences[-1]) if len(sentences) > 1 else (text, text)
-    return Item(item_id, words, shingles(terms_of(question), size), shingles(terms_of(answer), size), shingles(words, size))
+    own = len(terms_of(answer)) if len(sentences) > 1 else 0
+    return Item(item_id, words, shingles(terms_of(question), size), shingles(terms_of(answer), size), shingles(words, size), own)
+
+
+def units_of(items: list[Item], least: int) -> list[Item]:
+    """The items, and after them the question of each item whose question is a part of it with at least ``least`` words."""
+    asked = []
+    for x in items:
+        n = len(x.words) - x.answer_words
+        if x.answer_words and n >= least:
+            asked.append(Item(x.item_id, x.words[:n], x.question, x.answer, x.whole, asked=True))
+    return [*items, *asked]
 
 
 class BlockMaxIndex:
-    """Postings of items by term, in blocks of ``block`` postings with their last item and greatest weight."""
+    """Postings of items by term, in blocks of ``block`` postings with their last item and greatest weight.
+
+    Items may hold units of units_of; whole items alone make the document frequencies and the mean length.
+    """
 
     def __init__(self, items: list[Item], threshold: float, block: int = 64, k1: float = 1.2, b: float = 0.75):
         self.items, self.threshold, self.block = items, threshold, block
+        places = {id(x.whole): i for i, x in enumerate(items) if not x.asked}  # a question shares its item's set of shingles
+        self.whole_of = [places[id(x.whole)] for x in items]
         counts = [Counter(x.words) for x in items]
-        df = Counter(t for c in counts for t in c)
-        mean = sum(len(x.words) for x in items) / max(1, len(items))
-        idf = {t: math.log(1 + (len(items) - n + 0.5) / (n + 0.5)) for t, n in df.items()}
+        df = Counter(t for x, c in zip(items, counts, strict=True) if not x.asked for t in c)
+        wholes = [x for x in items if not x.asked]
+        mean = sum(len(x.words) for x in wholes) / max(1, len(wholes))
+        idf = {t: math.log(1 + (len(wholes) - n + 0.5) / (n + 0.5)) for t, n in df.items()}
         postings: dict[str, list[tuple[int, float]]] = {t: [] for t in df}
         for i, c in enumerate(counts):
             norm = k1 * (1 - b + b * len(items[i].words) / max(mean, 1e-9))
@@ -168,7 +189,7 @@ class BlockMaxIndex:
         return kept
 
     def matches(self, text: str | None, size: int, overlap: float) -> list[dict]:
-        """One entry per item that a passage of the text covers: its best passage's score and overlaps."""
+        """One entry per item that a passage of the text covers, whole or by its question: score and overlaps of its best passage."""
         words, best = terms_of(text), {}
         for p in self.passages(words) if words else []:
             passage = words[p * self.span : (p + 2) * self.span]
@@ -182,9 +203,13 @@ class BlockMaxIndex:
                 have = by_size.setdefault(n, shingles(passage, n))
                 share = lambda of: sum(s in have or (len(s) < n and contains(passage, s)) for s in of) / len(of)  # noqa: B023, E731
                 found = dict(item_id=item.item_id, score=score, question_overlap=share(item.question), answer_overlap=share(item.answer), overlap=share(item.whole))
-                if found["overlap"] >= overlap and (i not in best or found["overlap"] > best[i]["overlap"]):
-                    best[i] = found
-        return [best[i] for i in sorted(best, key=lambda i: self.items[i].item_id)]
+                if found["question_overlap" if item.asked else "overlap"] >= overlap:
+                    # Whole items come first; repeated items stay apart by the place of their whole.
+                    k = self.whole_of[i]
+                    rank = lambda x: (x["overlap"], x["question_overlap"])
+                    if k not in best or rank(found) > rank(best[k]):
+                        best[k] = found
+        return [best[k] for k in sorted(best, key=lambda k: self.items[k].item_id)]
 
 
 def contains(words: list[str], run: tuple[str, ...]) -> bool:
@@ -202,11 +227,12 @@ def item_shards(benchmark: DataFrame, shard_items: int, shard_bytes: int) -> Ite
         yield [(r.item_id, r.text) for r in rows]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, overlap: float = 0.8, size: int = 5, shard_items: int = 20_000, shard_bytes: int = 1 << 25) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, overlap: float = 0.8, size: int = 5, shard_items: int = 20_000, shard_bytes: int = 1 << 25, question_words: int = 8) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, contaminated, matches (item_id, score, overlaps).
 
     A document is contaminated when a passage reaches ``threshold`` of an item's BM25 mass and holds at
-    least ``overlap`` of its shingles of ``size`` lower-case words (an item of fewer words is one shingle).
+    least ``overlap`` of its shingles of ``size`` lower-case words (an item of fewer words is one shingle), or
+    when the same holds of the item's question (all but its last sentence, ``question_words`` words or more).
     The index is broadcast; items beyond shard_items or shard_bytes make further shards, and each document
     then passes one shard after the other. Null items, items without words, null and empty texts match
     nothing; repeated items match each; null and repeated doc_ids pass through; other columns are ignored.
@@ -226,11 +252,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6,
     for shard in item_shards(benchmark, shard_items, shard_bytes):
         items = [item for i, text in shard if (item := read_item(i, text, size)).words]
         if items:
-            rows = rows.mapInArrow(search_with(sc.broadcast(BlockMaxIndex(items, threshold))), rows.schema)
+            rows = rows.mapInArrow(search_with(sc.broadcast(BlockMaxIndex(units_of(items, question_words), threshold))), rows.schema)
     return rows.select("doc_id", (F.size("matches") > 0).alias("contaminated"), "matches")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, overlap: float = 0.8, size: int = 5, shard_items: int = 20_000, shard_bytes: int = 1 << 25) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, overlap: float = 0.8, size: int = 5, shard_items: int = 20_000, shard_bytes: int = 1 << 25, question_words: int = 8) -> DataFrame:
     """The rows of docs, with all their columns, that hold no test item in the sense of decontaminate."""
     sc, text, rows = docs.sparkSession.sparkContext, docs.columns.index("text"), docs
 
@@ -244,5 +270,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float =
     for shard in item_shards(benchmark, shard_items, shard_bytes):
         items = [item for i, t in shard if (item := read_item(i, t, size)).words]
         if items:
-            rows = rows.mapInArrow(clean_by(sc.broadcast(BlockMaxIndex(items, threshold))), docs.schema)
+            rows = rows.mapInArrow(clean_by(sc.broadcast(BlockMaxIndex(units_of(items, question_words), threshold))), docs.schema)
     return rows

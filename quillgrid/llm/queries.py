@@ -38,13 +38,16 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    most = lambda part: F.coalesce(F.array_max(F.transform("matches", lambda m: m[part])), F.lit(0.0)).alias(part)
     item_ids = F.array_join(F.transform("matches", lambda m: m["item_id"].cast("string")), ",")
     return found.select(
         "doc_id",
         "contaminated",
         F.size("matches").cast("long").alias("n_items"),
         item_ids.alias("item_ids"),
-        F.coalesce(F.array_max(F.transform("matches", lambda m: m["overlap"])), F.lit(0.0)).alias("overlap"),
+        most("overlap"),
+        most("question_overlap"),
+        most("answer_overlap"),
     )
 
 

@@ -2,20 +2,24 @@
 
 Each sentence or line of a text that mentions a licence is a header; it and all of a text's headers
 together are compared with licence templates by TF-IDF cosine. The arithmetic stays inside the row:
-template weights are a literal of fixed size, so no term is shuffled. A file without a licence of its own
+template weights are a literal of fixed size, so no term is shuffled. The distinct texts of licence files are
+also compared whole, with the full texts in ``license_texts``; their terms alone are shuffled. A file without a licence of its own
 inherits that of the licence file in its nearest ancestor directory, found by joining the directory's
 ancestors to the directories of licence files.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
+from functools import cache
+from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.common import materialize
+from quillgrid.llm.common import join_small, materialize
 
 #: Licence ids and statements of them.
 TEMPLATES = {
@@ -80,7 +84,7 @@ def best_template(terms, templates: dict[str, str]):
 
 
 def header_licenses(files: DataFrame, templates: dict[str, str] | None = None, threshold: float = 0.6) -> DataFrame:
-    """files (doc_id, path, text) -> doc_id, path, own (license of its headers or null), similarity.
+    """files (doc_id, path, text, digest) -> doc_id, path, digest, own (license of its headers or null), similarity.
 
     Ties between templates go to the greater licence id.
     """
@@ -88,25 +92,60 @@ def header_licenses(files: DataFrame, templates: dict[str, str] | None = None, t
     terms_of = lambda s: F.filter(F.split(F.lower(s), TERM), lambda t: t != "")
     headers = F.filter(F.split("text", CUT), lambda s: s.rlike(CUE))
     # The pattern is tried on the whole text first; most texts end there.
-    mentioned = files.select("doc_id", "path", F.when(F.col("text").rlike(CUE), headers).alias("headers"))
+    mentioned = files.select("doc_id", "path", "digest", F.when(F.col("text").rlike(CUE), headers).alias("headers"))
     segments = F.when(F.size("headers") > 1, F.concat("headers", F.array(F.array_join("headers", " ")))).otherwise(F.col("headers"))
     best = F.array_max(F.transform(segments, lambda s: best_template(terms_of(s), templates)))
-    found = mentioned.select("doc_id", "path", best.alias("best"))
+    found = mentioned.select("doc_id", "path", "digest", best.alias("best"))
     hit = F.col("best.similarity") >= threshold
-    return found.select("doc_id", "path", F.when(hit, F.col("best.license")).alias("own"), F.when(hit, F.col("best.similarity")).alias("similarity"))
+    return found.select("doc_id", "path", "digest", F.when(hit, F.col("best.license")).alias("own"), F.when(hit, F.col("best.similarity")).alias("similarity"))
 
 
-def scan_licenses(files: DataFrame, templates: dict[str, str] | None = None, threshold: float = 0.6, licence_files: tuple[str, ...] = LICENCE_FILES) -> DataFrame:
+@cache
+def full_texts() -> dict[str, str]:
+    """Licence ids and their full texts; that of AGPL-3.0 is GPL-3.0's under its own name."""
+    texts = {p.stem: p.read_text() for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
+    gpl = re.compile(r"GNU(\s+)GENERAL PUBLIC LICENSE", re.IGNORECASE)
+    return {**texts, "AGPL-3.0": gpl.sub(lambda m: f"GNU Affero{m[1]}General Public License", texts["GPL-3.0"])}
+
+
+def text_licenses(texts: DataFrame, threshold: float) -> DataFrame:
+    """texts (digest, text) -> digest, text_license, text_similarity of the closest full text, where it reaches the threshold."""
+    idf, rest, vectors = template_weights(full_texts())
+    names = sorted(vectors)
+    rows = json.dumps([{"term": t, "idf": w, "v": [vectors[k].get(t, 0.0) for k in names]} for t, w in idf.items()])
+    weights = texts.sparkSession.range(1).select(F.inline(F.from_json(F.lit(rows), "array<struct<term: string, idf: double, v: array<double>>>")))
+    terms = texts.dropDuplicates(["digest"]).select("digest", F.explode(F.split(F.lower("text"), TERM)).alias("term")).where("term <> ''").groupBy("digest", "term").agg(F.count("*").alias("n"))
+    square = F.pow(F.col("n") * F.coalesce("idf", F.lit(rest)), F.lit(2.0))
+    dots = [F.sum(F.col("n") * F.col("idf") * F.col("v")[i]).alias(f"dot{i}") for i in range(len(names))]
+    sums = terms.join(F.broadcast(weights), "term", "left").groupBy("digest").agg(F.sqrt(F.sum(square)).alias("norm"), *dots)
+    best = F.array_max(F.array(*[F.struct((F.coalesce(f"dot{i}", F.lit(0.0)) / F.col("norm")).alias("similarity"), F.lit(k).alias("license")) for i, k in enumerate(names)]))
+    return sums.select("digest", best.alias("best")).where(F.col("best.similarity") >= threshold).selectExpr("digest", "best.license text_license", "best.similarity text_similarity")
+
+
+def scan_licenses(files: DataFrame, templates: dict[str, str] | None = None, threshold: float = 0.6, licence_files: tuple[str, ...] = LICENCE_FILES, text_threshold: float = 0.8) -> DataFrame:
     """One row per row of files (doc_id, path, text): doc_id, path, license, origin, similarity, licence_dir.
 
-    origin: ``header`` if the text's own headers match a template with a cosine of at least threshold;
+    origin: ``text`` if the file is a licence file whose whole text matches a full licence text with a cosine
+    of at least text_threshold; else ``header`` if the text's own headers match a template with a cosine of at least threshold;
     ``inherited`` from the nearest ancestor directory (its own included) with a licence file that matches,
     licence_dir names it and similarity is that file's; else ``none`` with nulls. In one directory the most
     similar licence file counts, of equals the greater licence id. A null or empty text has no headers; a null path has no
     directory; repeated rows count each; other columns are ignored; an empty table gives no rows.
     """
-    own = materialize(header_licenses(files.select("doc_id", "path", "text"), templates, threshold), "headers").withColumn("dir", F.regexp_extract("path", r"^(.*)/[^/]*$", 1))
     base = F.regexp_extract("path", r"([^/]*)$", 1)
+    digest = F.when(base.isin(*licence_files), F.sha2(F.col("text").cast("binary"), 256))
+    texts = files.select(digest.alias("digest"), "text").where("digest is not null")
+    whole = materialize(text_licenses(texts, text_threshold), "licence_texts")
+    headers = materialize(header_licenses(files.select("doc_id", "path", "text", digest.alias("digest")), templates, threshold), "headers")
+    by_text = F.col("text_license").isNotNull()
+    own = join_small(headers, whole, ["digest"], "left").select(
+        "doc_id",
+        "path",
+        F.coalesce("text_license", "own").alias("own"),
+        F.coalesce("text_similarity", "similarity").alias("similarity"),
+        F.when(by_text, "text").when(F.col("own").isNotNull(), "header").alias("by"),
+        F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("dir"),
+    )
     licensed = (
         own.where(base.isin(*licence_files) & F.col("own").isNotNull())
         .groupBy(F.col("dir").alias("licence_dir"))
@@ -128,7 +167,7 @@ def scan_licenses(files: DataFrame, templates: dict[str, str] | None = None, thr
         "doc_id",
         "path",
         F.coalesce("own", "near.from_file.license").alias("license"),
-        F.when(header, "header").when(near, "inherited").otherwise("none").alias("origin"),
+        F.when(header, F.col("by")).when(near, "inherited").otherwise("none").alias("origin"),
         F.coalesce("similarity", "near.from_file.similarity").alias("similarity"),
         F.when(~header, F.col("near.licence_dir")).alias("licence_dir"),
     )

@@ -134,7 +134,8 @@ def embedding_components(rows: DataFrame, threshold: float = 0.93, blocks: int =
     vector = "embedding" if kind == "array<float>" else "cast(embedding as array<double>) embedding"
     named = materialize(keyed(rows.selectExpr("cast(vec_id as long) vec_id", "cast(label as long) label", vector)), "vectors")
     classes = materialize(
-        named.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("embedding").alias("vector")),
+        named.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("embedding").alias("vector"))
+        .withColumn("id", F.xxhash64("key")),  # different vectors may repeat a vec_id
         "vector-classes",
     )
     cell = ["label", "dim", "block", "cell"]
@@ -178,12 +179,13 @@ def embedding_components(rows: DataFrame, threshold: float = 0.93, blocks: int =
     found = materialize(grouped.groupBy(*cell, "low", "high").applyInArrow(compare, "u long, v long, links long, spans boolean"), "vector-links")
     counts = found.where("not spans").groupBy("u").agg(F.sum("links").alias("links")).withColumnRenamed("u", "id")
     parts = connected_components(found.where("spans").select("u", "v")).withColumnRenamed("node", "id")
-    settled = (
-        classes.select("key", "id", "n")
+    rooted = (
+        classes.select("key", "id", "n", "least")
         .join(counts, "id", "left")
         .join(parts, "id", "left")
-        .select("key", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component"))
+        .select("key", "least", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("root"))
     )
+    settled = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component")), "root").select("key", "n_links", "component")
     component = F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "vec_id"))
     return named.join(settled, "key", "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept")

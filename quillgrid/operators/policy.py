@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillgrid.functions.text import col, url_scheme
+from quillgrid.sources.shared import materialize
 
 #: Presets of allowed types, greatest size in bytes and greatest nesting (null: no limit).
 ARTICLE = "paragraph heading list list_item block_quote code_block table table_row table_cell thematic_break link image strong emphasis code text"
@@ -66,13 +67,17 @@ def fail_on_violation(nodes: DataFrame, profile: str) -> DataFrame:
     return nodes.withColumn("type", F.when(allowed(nodes, profile), F.col("type")).otherwise(F.raise_error(F.concat(F.lit(f"{profile}: not allowed: "), "type"))))
 
 
-def drop_empty(nodes: DataFrame, containers: tuple[str, ...], rounds: int = 4) -> DataFrame:
-    """nodes (doc_id, node_id, parent_id, type) without containers that have no children, repeated upward."""
-    for _ in range(rounds):
+def drop_empty(nodes: DataFrame, containers: tuple[str, ...]) -> DataFrame:
+    """nodes (doc_id, node_id, parent_id, type) without containers that have no children, repeated upward until none is left.
+
+    Every round is written to the shared folder.
+    """
+    while True:
         parents = nodes.select("doc_id", F.col("parent_id").alias("node_id")).distinct()
-        empty = nodes.where(F.col("type").isin(*containers)).join(parents, ["doc_id", "node_id"], "left_anti").select("doc_id", "node_id")
-        nodes = nodes.join(empty, ["doc_id", "node_id"], "left_anti")
-    return nodes
+        empty = materialize(nodes.where(F.col("type").isin(*containers)).join(parents, ["doc_id", "node_id"], "left_anti").select("doc_id", "node_id"), "empty")
+        if empty.isEmpty():
+            return nodes
+        nodes = materialize(nodes.join(empty, ["doc_id", "node_id"], "left_anti"), "nodes")
 
 
 def fits_length(docs: DataFrame, profile: str) -> DataFrame:

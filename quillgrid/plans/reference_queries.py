@@ -146,7 +146,9 @@ def p6_to_text(spark, sf):
 
 @query("SELECT p_partkey AS doc_id, COUNT(*)::BIGINT AS left_over FROM part, RANGE(1) GROUP BY 1")
 def p8_empty_containers(spark, sf):
-    rows = table(spark, sf, "part").selectExpr("p_partkey doc_id", "inline(array(struct(1, 0, 'list'), struct(2, 1, 'list_item'), struct(3, 0, 'text'))) as (node_id, parent_id, type)")
+    """A text beside a chain of 2 to 12 nested containers without content."""
+    chain = "transform(sequence(2, int(3 + 2 * (p_partkey % 6))), i -> named_struct('a', i, 'b', if(i = 2, 0, i - 1), 'c', if(i % 2 = 0, 'list', 'list_item')))"
+    rows = table(spark, sf, "part").selectExpr("p_partkey doc_id", f"inline(concat(array(named_struct('a', 1, 'b', 0, 'c', 'text')), {chain})) as (node_id, parent_id, type)")
     return P.drop_empty(rows, ("list", "list_item")).groupBy("doc_id").agg(F.count("*").alias("left_over"))
 
 

@@ -9,12 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or where it is unset a local folder that is then set for the session."""
+    """spark.checkpoint.dir; where it is unset and Spark runs in one process, a local folder that is then set for the session.
+
+    On a cluster an unset folder is an error: executors would write to disks that the others cannot read.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         context = spark.sparkContext._jsc.sc()
         if context.getCheckpointDir().isDefined():
             return context.getCheckpointDir().get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="quillgrid-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -25,3 +30,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/quillgrid/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of materialize that no later step reads."""
+    for df in tables:
+        files = df.inputFiles()
+        if files:
+            folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            if folder.getParent().getName() == "quillgrid":
+                folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)

@@ -140,7 +140,7 @@ def repeat_texts():
         lo = rng.randrange(40)
         text[rng.randrange(len(text)) : 0] = passage[lo : lo + rng.randrange(5, 30)]
         out.append(("\n" if rng.random() < 0.3 else " ").join(text))
-    return [*out, out[-1], out[-2], "q " + " ".join(passage) + " " + " ".join(passage)]
+    return [*out, out[-1], out[-2], "q " + " ".join(passage) + " " + " ".join(passage), "r " + " ".join(passage) + " s"]
 
 
 @pytest.mark.parametrize("deepest", [13, None])
@@ -150,10 +150,31 @@ def test_substring_dedup_equals_brute_force(spark, deepest):
     assert len(got) == len(texts) + 2
     wanted = plain_removal(texts)
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got if r.doc_id is not None} == wanted
-    longest = {r.doc_id: r.longest for r in got if r.doc_id is not None}
-    assert all(longest[i] >= 13 for i in wanted if wanted[i][1])
-    if deepest is None:  # the last two of the copies share whole texts
-        assert longest[len(texts) - 3] >= 26 or wanted[len(texts) - 3][0] < 26
+    longest = plain_longest(texts)
+    assert {r.doc_id: r.longest for r in got if r.doc_id is not None} == (longest if deepest is None else {i: min(n, 13) for i, n in longest.items()})
+    assert deepest or max(longest.values()) > 26
+
+
+def plain_longest(texts, window=13):
+    words = {i: (t or "").encode().split() for i, t in texts.items()}
+    out = dict.fromkeys(texts, 0)
+    while any(len(w) >= window for w in words.values()):
+        owners = defaultdict(set)
+        for i, w in words.items():
+            for k in range(len(w) - window + 1):
+                owners[tuple(w[k : k + window])].add(i)
+        for found in owners.values():
+            if len(found) > 1:
+                out.update(dict.fromkeys(found, window))
+        window *= 2
+    return out
+
+
+def test_substring_dedup_without_a_broadcast_of_copies(spark):
+    texts = dict(enumerate(repeat_texts()))
+    got = remove_repeats(docs_of(spark, list(texts.values())), broadcast_rows=0).where("doc_id is not null").collect()
+    removed, longest = plain_removal(texts), plain_longest(texts)
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256, r.longest) for r in got} == {i: (*removed[i], longest[i]) for i in texts}
 
 
 def test_substring_dedup_edges(spark):
@@ -312,6 +333,11 @@ def test_join_small_by_either_way(spark):
         assert got.count() == 5
 
 
+def five_words(text):
+    words = (text or "").encode().lower().split()
+    return [tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))] if words else []
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
@@ -333,9 +359,9 @@ def test_pipeline(spark, tmp_path):
             out.write.parquet(path)
             now = spark.read.parquet(path)
     assert 902 not in kept["language_id"] and 900 in kept["language_id"]
-    fps = {i: plain_fingerprint(r.text) for i, r in kept["language_id"].items()}
-    wanted = components([(a, b) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= 4], fps)
-    assert set(kept["near_dedup"]) == {i for i in fps if wanted[i] == i}
+    sets = {i: frozenset(five_words(r.text)) for i, r in kept["language_id"].items()}
+    wanted = components([(a, b) for a in sets for b in sets if a < b and (sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))], sets)
+    assert set(kept["near_dedup"]) == {i for i in sets if wanted[i] == i}
     assert set(kept["near_dedup"]) - set(kept["decontamination"]) == {900}
     assert set(kept["secret_scan"]) == set(kept["decontamination"]) and "[secret]" in kept["secret_scan"][901].text
     assert {i: r.size for i, r in kept["mixing"].items()} == {i: len((r.text or "").split()) for i, r in kept["secret_scan"].items()}

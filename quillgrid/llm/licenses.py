@@ -19,7 +19,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.common import join_small, materialize
+from quillgrid.llm.common import join_counted, join_small, materialize
 
 #: Licence ids and statements of them.
 TEMPLATES = {
@@ -129,7 +129,7 @@ def scan_licenses(files: DataFrame, templates: dict[str, str] | None = None, thr
     of at least text_threshold; else ``header`` if the text's own headers match a template with a cosine of at least threshold;
     ``inherited`` from the nearest ancestor directory (its own included) with a licence file that matches,
     licence_dir names it and similarity is that file's; else ``none`` with nulls. In one directory the most
-    similar licence file counts, of equals the greater licence id. A null or empty text has no headers; a null path has no
+    similar licence file counts, of equals the greater licence id. A relative path's topmost directory is "". A null or empty text has no headers; a null path has no
     directory; repeated rows count each; other columns are ignored; an empty table gives no rows.
     """
     base = F.regexp_extract("path", r"([^/]*)$", 1)
@@ -144,24 +144,27 @@ def scan_licenses(files: DataFrame, templates: dict[str, str] | None = None, thr
         F.coalesce("text_license", "own").alias("own"),
         F.coalesce("text_similarity", "similarity").alias("similarity"),
         F.when(by_text, "text").when(F.col("own").isNotNull(), "header").alias("by"),
-        F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("dir"),
+        F.when(F.col("path").rlike("^/[^/]*$"), "/").otherwise(F.regexp_extract("path", r"^(.*)/[^/]*$", 1)).alias("dir"),
     )
     licensed = (
         own.where(base.isin(*licence_files) & F.col("own").isNotNull())
         .groupBy(F.col("dir").alias("licence_dir"))
         .agg(F.max(F.struct("similarity", F.col("own").alias("license"))).alias("from_file"))
     )
-    parts = F.split("dir", "/")
-    ancestors = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(F.array_join(F.slice(parts, 1, i), "/").alias("licence_dir"), i.alias("depth")))
-    dirs = own.where("dir is not null").select("dir").distinct()
+    # The root is "/" for an absolute path and "" for a relative one.
+    parts = F.split(F.when(F.col("dir").isin("/", ""), F.lit("")).otherwise(F.regexp_replace("dir", "^/", "")), "/")
+    lead = F.when(F.col("dir").startswith("/"), "/").otherwise("")
+    ancestors = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.struct(F.concat(lead, F.array_join(F.slice(parts, 1, i), "/")).alias("licence_dir"), i.alias("depth")))
+    dirs = materialize(own.where("dir is not null").groupBy("dir").agg(F.count("*").alias("n")), "directories")
     nearest = (
-        dirs.select("dir", F.explode(ancestors).alias("a"))
-        .select("dir", "a.licence_dir", "a.depth")
+        dirs.select("dir", "n", F.explode(ancestors).alias("a"))
+        .select("dir", "n", "a.licence_dir", "a.depth")
         .join(licensed, "licence_dir")
         .groupBy("dir")
-        .agg(F.max_by(F.struct("licence_dir", "from_file"), "depth").alias("near"))
+        .agg(F.max_by(F.struct("licence_dir", "from_file"), "depth").alias("near"), F.first("n").alias("n"))
     )
-    joined = own.join(nearest, "dir", "left")
+    placed = join_counted(own.where("dir is not null"), materialize(nearest, "directories"), ["dir"], "left")
+    joined = placed.unionByName(own.where("dir is null"), allowMissingColumns=True)
     header, near = F.col("own").isNotNull(), F.col("near").isNotNull()
     return joined.select(
         "doc_id",

@@ -23,13 +23,18 @@ from pyspark.sql import functions as F
 
 from quillgrid.llm.common import small_batches
 
-LETTER = re.compile(r"[^\W\d_]")
+INKED = re.compile(r"[^\W\d_]")
 SPREAD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 FINISH = np.uint64(0xFF51AFD7ED558CCD)
 SIZES = (2, 3, 4)
 PART = 1 << 20
 
 
+def has_letter(text: str) -> bool:
+    """Whether the text holds a character of Unicode's categories L; numerals such as \u00bd and \u2460 are none."""
+    return any(m[0].isalpha() for m in INKED.finditer(text))
+
+
 def grams_of(text: str, buckets: int) -> np.ndarray:
     """Hash buckets (a power of two) of all n-grams of a text's words, white space standing for a word's edge.
 
@@ -152,11 +157,12 @@ def train(texts: list[str], labels: list[str], buckets: int = 1 << 15, dim: int
     return LanguageModel(langs, table @ layer, bias, temperature, threshold)
 
 
-def sample_for_training(labelled: DataFrame, per_lang: int = 400, most: int = 4000) -> DataFrame:
+def sample_for_training(labelled: DataFrame, per_lang: int = 400, most: int = 4000, most_bytes: int = 1 << 17) -> DataFrame:
     """At most ``most`` rows (text, lang) of labelled (doc_id, text, lang), about per_lang of each language.
 
     Rows are drawn by a hash of doc_id, at a rate that the count of the row's language fixes. Only ids and
-    languages take part in the draw; the texts meet its at most ``most`` rows by a broadcast join.
+    languages take part in the draw; the texts meet its at most ``most`` rows by a broadcast join. Drawn
+    texts above most_bytes are left out, so that the driver holds at most most * most_bytes bytes.
     """
     rows = labelled.where("text is not null and lang is not null")
     rates = rows.groupBy("lang").agg((F.lit(float(per_lang)) / F.count("*")).alias("rate"))
@@ -165,19 +171,19 @@ def sample_for_training(labelled: DataFrame, per_lang: int = 400, most: int = 40
     draw = F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1 << 30)) / float(1 << 30)
     drawn = rows.select("doc_id", "lang").join(rates, "lang").where(draw < F.col("rate")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     texts = rows.select("doc_id", "lang", "text").join(F.broadcast(drawn.select("doc_id", "lang").distinct()), ["doc_id", "lang"])
-    return texts.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("text", "lang")
+    return texts.where(F.octet_length("text") <= most_bytes).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("text", "lang")
 
 
 def fit_language_model(labelled: DataFrame, per_lang: int = 400, most: int = 4000) -> LanguageModel | None:
     """Train on the driver from the bounded sample; None if no row has both text and lang."""
-    sample = [(r.text, r.lang) for r in sample_for_training(labelled, per_lang, most).collect() if LETTER.search(r.text)]
+    sample = [(r.text, r.lang) for r in sample_for_training(labelled, per_lang, most).collect() if has_letter(r.text)]
     return train([t for t, _ in sample], [x for _, x in sample]) if sample else None
 
 
 def predict(model: LanguageModel | None, texts: list[str | None]) -> tuple[list[str], np.ndarray, list[bool]]:
     """Language, best calibrated probability and whether it is too low, for each text."""
     langs, scores = ["und"] * len(texts), np.zeros(len(texts))
-    rows = [i for i, t in enumerate(texts) if t and model and LETTER.search(t)]
+    rows = [i for i, t in enumerate(texts) if t and model and has_letter(t)]
     if rows:
         sums = np.array([totals(model, texts[i]) for i in rows])
         p = model.probabilities(sums[:, :-1], sums[:, -1])

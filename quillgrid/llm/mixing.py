@@ -8,6 +8,8 @@ source first, then the documents that begin before the rest of the budget ends.
 
 from __future__ import annotations
 
+from math import ceil, log2
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,18 +42,19 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], max_repeats: int)
     return rows.select("src", "source_size", target.alias("target"))
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3, ranges: int = 1024, seed: str = "mix") -> DataFrame:
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3, ranges: int = 1024, seed: str = "mix", range_rows: int = 1_000_000) -> DataFrame:
     """One row per row of docs (doc_id, text, source): doc_id, source, size, source_size, target, taken.
 
     size: the text's words (null text: 0). Sources in code point order, null last, weigh ``weights`` in
     turn and share the sum of all sizes; a target stops at max_repeats times its source's size and the
     excess goes to the others. taken: words the mix takes of this row, repeats counted; per source they
-    sum to the whole part of its target. Each of a source's ``ranges`` key ranges is one task's work, so
-    a source that holds most rows spreads over that many. The order depends on doc_id and seed alone
+    sum to the whole part of its target. Each of a source's key ranges is one task's work: there are ``ranges``
+    of them, more where they would hold over range_rows rows (a power of two, at most 2^28). The order depends on doc_id and seed alone
     (null ids: on the text), so reruns agree. Repeated rows count each; an empty table gives no rows.
     """
     doc_id, source = F.col("doc_id"), F.col("source")
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.md5("text"), F.lit(""))))
+    ranges *= 2 ** max(0, ceil(log2(max(1, docs.count()) / range_rows / ranges)))
     sized = materialize(
         docs.select(
             "doc_id",

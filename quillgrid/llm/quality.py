@@ -96,13 +96,16 @@ def train(texts: list[bytes], labels: list[int], buckets: int = 1 << 14, epochs:
     return QualityModel(mean, spread, a, b, float(bias))
 
 
-def fit_quality_model(docs: DataFrame, labels: DataFrame, most: int = 6000) -> QualityModel | None:
-    """Fit on at most ``most`` rows of docs that have a label 0 or 1, drawn by a hash of doc_id; None without labels."""
+def fit_quality_model(docs: DataFrame, labels: DataFrame, most: int = 6000, most_bytes: int = 1 << 17) -> QualityModel | None:
+    """Fit on at most ``most`` rows of docs that have a label 0 or 1, drawn by a hash of doc_id; None without labels.
+
+    Drawn texts above most_bytes are left out, so that the driver holds at most most * most_bytes bytes.
+    """
     labelled = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     rows = docs.where("text is not null").selectExpr("cast(doc_id as long) doc_id", "cast(text as binary) text")
     # Ids alone take part in the draw; the texts meet its at most ``most`` rows by a broadcast join.
     drawn = rows.select("doc_id").join(labelled, "doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit("quality sample")), "doc_id").limit(most)
-    sample = rows.join(F.broadcast(drawn), "doc_id").orderBy("doc_id").limit(most).collect()
+    sample = rows.join(F.broadcast(drawn), "doc_id").where(F.octet_length("text") <= most_bytes).orderBy("doc_id").limit(most).collect()
     sample = [(bytes(r.text), r.quality) for r in sample if r.text.split()]
     return train([t for t, _ in sample], [q for _, q in sample]) if sample else None
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.common import small_batches
+from quillgrid.llm.common import materialize, small_batches
 
 TERM = re.compile(r"\w+")
 SENTENCE_END = re.compile(r"(?<=[.!?])\s+|\n+")
@@ -234,7 +234,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6,
     least ``overlap`` of its shingles of ``size`` lower-case words (an item of fewer words is one shingle), or
     when the same holds of the item's question (all but its last sentence, ``question_words`` words or more).
     The index is broadcast; items beyond shard_items or shard_bytes make further shards, and each document
-    then passes one shard after the other. Null items, items without words, null and empty texts match
+    then passes one shard after the other, with its rows written between, so that one index is held at a time. Null items, items without words, null and empty texts match
     nothing; repeated items match each; null and repeated doc_ids pass through; other columns are ignored.
     """
     sc = docs.sparkSession.sparkContext
@@ -249,10 +249,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6,
 
         return search
 
+    held = None
     for shard in item_shards(benchmark, shard_items, shard_bytes):
         items = [item for i, text in shard if (item := read_item(i, text, size)).words]
         if items:
-            rows = rows.mapInArrow(search_with(sc.broadcast(BlockMaxIndex(units_of(items, question_words), threshold))), rows.schema)
+            if held is not None:
+                rows = materialize(rows, "searched")
+                held.destroy()
+            held = sc.broadcast(BlockMaxIndex(units_of(items, question_words), threshold))
+            rows = rows.mapInArrow(search_with(held), rows.schema)
     return rows.select("doc_id", (F.size("matches") > 0).alias("contaminated"), "matches")
 
 
@@ -267,8 +272,13 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float =
 
         return clean
 
+    held = None
     for shard in item_shards(benchmark, shard_items, shard_bytes):
         items = [item for i, t in shard if (item := read_item(i, t, size)).words]
         if items:
-            rows = rows.mapInArrow(clean_by(sc.broadcast(BlockMaxIndex(units_of(items, question_words), threshold))), docs.schema)
+            if held is not None:
+                rows = materialize(rows, "clean")
+                held.destroy()
+            held = sc.broadcast(BlockMaxIndex(units_of(items, question_words), threshold))
+            rows = rows.mapInArrow(clean_by(held), docs.schema)
     return rows

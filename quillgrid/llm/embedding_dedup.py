@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.common import connected_components, join_small, materialize
+from quillgrid.llm.common import connected_components, join_counted, join_small, materialize
 from quillgrid.llm.simhash import Forest
 
 
@@ -183,11 +183,13 @@ def embedding_components(rows: DataFrame, threshold: float = 0.93, blocks: int =
         classes.select("key", "id", "n", "least")
         .join(counts, "id", "left")
         .join(parts, "id", "left")
-        .select("key", "least", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("root"))
+        .select("key", "least", "n", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("root"))
     )
-    settled = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component")), "root").select("key", "n_links", "component")
+    settled = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component")), "root").select("key", "n", "n_links", "component")
     component = F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "vec_id"))
-    return named.join(settled, "key", "left").select(
+    alone = named.where("key is null").select("vec_id", F.lit(0).alias("n_links"), F.lit(None).cast("long").alias("component"))
+    linked = join_counted(named.where("key is not null").select("vec_id", "key"), materialize(settled, "vector-classes"), ["key"])
+    return alone.unionByName(linked.drop("key")).select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept")
     )
 

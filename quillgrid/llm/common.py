@@ -79,8 +79,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Components of an undirected graph given as (u, v) long pairs: (node, component), component the least node.
 
     Alternates large-star and small-star rounds; each star is a minimum per node (combined before the
-    shuffle) joined back to the edges, so that no node's neighbours are ever gathered in one place. Every
-    round is written to the shared folder. Nodes without an edge do not appear; no edges, no rows.
+    shuffle) joined back to the edges. The few nodes with a large share of the edges are joined by a
+    broadcast, so no node's neighbours are ever gathered in one place. Every round is written to the shared
+    folder. Nodes without an edge do not appear; no edges, no rows.
     """
     e = materialize(
         edges.where("u is not null and v is not null and u <> v")
@@ -93,17 +94,19 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if mark[0] == 0:
             break
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        e = materialize(
+        least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n")), "stars")
+        large = join_counted(both, least, ["u"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = materialize(large, "edges")
+        below = materialize(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "stars")
+        small = join_counted(large, below, ["u"])
+        before, e = e, materialize(
             small.select(F.col("v").alias("u"), F.col("m").alias("v"))
             .union(small.select("u", F.col("m").alias("v")))
             .where("u <> v")
             .distinct(),
             "edges",
         )
+        discard(before, least, large, below)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             break

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.common import connected_components, materialize, small_batches, without_ids
+from quillgrid.llm.common import connected_components, join_counted, materialize, small_batches, without_ids
 
 
 def fingerprint(text: str | bytes | None, shingle: int = 4) -> int:
@@ -138,11 +138,10 @@ def fingerprint_links(classes: DataFrame, radius: int = 4, blocks: int = 6, shar
         raise ValueError("blocks must exceed the radius")
     members = classes.select("fp", "id", F.explode(shard_keys(F.col("fp"), blocks, radius)).alias("shard"))
     sizes = members.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1")
-    chunks = F.ceil(F.col("n") / shard_rows).cast("int")
+    sizes = materialize(sizes.withColumn("chunks", F.ceil(F.col("n") / shard_rows).cast("int")), "shards")
     # In a shard of one chunk there is the one group (0, 0); else a row of chunk c takes part in (min(c, d), max(c, d)) for every d.
     dealt = (
-        members.join(sizes, "shard")
-        .withColumn("chunks", chunks)
+        join_counted(members, sizes, ["shard"])
         .withColumn("own", F.pmod(F.xxhash64("fp", F.lit("chunk")), F.col("chunks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         .select("shard", "fp", "id", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
@@ -191,27 +190,37 @@ def fingerprint_links(classes: DataFrame, radius: int = 4, blocks: int = 6, shar
     )
 
 
-def simhash_components(docs: DataFrame, radius: int = 4, shingle: int = 4, blocks: int = 6) -> DataFrame:
+def blocks_for(n: int, radius: int, most: int = 64) -> int:
+    """The least number of parts, radius + 2 or more, at which n fingerprints fill a shard with ``most`` on average."""
+    blocks = radius + 2
+    while blocks < 64 and n > most * 2.0 ** (64 * (blocks - radius) / blocks):
+        blocks += 1
+    return blocks
+
+
+def simhash_components(docs: DataFrame, radius: int = 4, shingle: int = 4, blocks: int | None = None) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, fingerprint (16 hex digits), component_id.
 
     Words are cut at ASCII white space after lower-casing A-Z; a text of fewer words than a shingle is one
     shingle, one without words (or null) has fingerprint zero and is linked like any other. component_id is
-    the smallest doc_id reachable through fingerprints at most radius bits apart. Rows with a null doc_id
+    the smallest doc_id reachable through fingerprints at most radius bits apart. The parts (blocks) follow
+    from the number of fingerprints, so that shards stay small at any size; the links do not depend on them. Rows with a null doc_id
     take part in classes but lend no id: a component of such rows alone has a null component_id. Repeated
     rows each come back; other columns are ignored; an empty table gives no rows.
     """
     fps = materialize(fingerprints(docs, shingle), "fingerprints")
-    classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
-    named = classes.withColumn("id", F.col("fp"))
+    classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "classes")
+    named = classes.select("fp", F.col("fp").alias("id"))
+    blocks = blocks or blocks_for(classes.count(), radius)
     parts = connected_components(fingerprint_links(named, radius, blocks))
-    joined = classes.join(parts, classes.fp == parts.node, "left").select("fp", "first_id", F.coalesce("component", "fp").alias("root"))
+    joined = classes.join(parts, classes.fp == parts.node, "left").select("fp", "first_id", "n", F.coalesce("component", "fp").alias("root"))
     least = joined.where("first_id is not null").groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of_class = joined.join(least, "root", "left").select("fp", "component_id")
+    of_class = materialize(joined.join(least, "root", "left").select("fp", "n", "component_id"), "classes")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
-    return fps.join(of_class, "fp").select("doc_id", hexed, "component_id")
+    return join_counted(fps, of_class, ["fp"]).select("doc_id", hexed, "component_id")
 
 
-def keep_first_of_group(docs: DataFrame, radius: int = 4, shingle: int = 4, blocks: int = 6) -> DataFrame:
+def keep_first_of_group(docs: DataFrame, radius: int = 4, shingle: int = 4, blocks: int | None = None) -> DataFrame:
     """The rows of docs, with all their columns, that come first (by doc_id) in their component.
 
     Rows with a null doc_id stay; of rows that repeat a doc_id one stays.

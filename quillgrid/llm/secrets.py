@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.common import small_batches
+from quillgrid.llm.common import discard, materialize, small_batches
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -263,15 +263,26 @@ def written(spans: list[tuple[int, int, int]]) -> str:
 
 
 def frequent_words(docs: DataFrame, most: int = 20_000, least_count: int = 2) -> list[str]:
-    """The ``most`` most frequent words of all texts of docs, most frequent first, ties by code points.
+    """The most frequent words of all texts of docs, most frequent first, ties by code points: at most ``most``.
 
     Words are runs of 3 to 24 letters in lower case that occur at least least_count times. Values in a
-    credential's place are not counted: a secret that many copies hold is no word for that.
+    credential's place are not counted: a secret that many copies hold is no word for that. A histogram of
+    the counts (16 classes an octave) fixes the count from which on there are at most ``most`` words; these
+    alone reach the driver.
     """
     text = F.when(F.lower("text").rlike("|".join(CONTEXT_CUES)), F.regexp_replace("text", "(?i)" + CONTEXT.pattern, " ")).otherwise(F.col("text"))
     words = docs.select(F.explode(F.split(F.lower(text), r"[^\p{L}]+")).alias("word")).where(F.length("word").between(*WORD_LETTERS))
     counted = words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least_count)
-    return [r.word for r in counted.orderBy(F.desc("n"), "word").limit(most).collect()]
+    counted = materialize(counted.withColumn("octave", F.floor(16 * F.log2("n")).cast("int")), "words")
+    least, total = None, 0
+    for r in sorted(counted.groupBy("octave").count().collect(), reverse=True):
+        total += r["count"]
+        if total > most:
+            break
+        least = r.octave
+    found = counted.where(F.col("octave") >= least).select("word", "n").collect() if least is not None else []
+    discard(counted)
+    return [r.word for r in sorted(found, key=lambda r: (-r.n, r.word))]
 
 
 def scan_secrets(docs: DataFrame, min_log10: float = 10.0, words: list[str] | None = None) -> DataFrame:

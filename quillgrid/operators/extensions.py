@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillgrid.functions.svg import clean_svg
 from quillgrid.functions.text import ascii_fold, col, escape_attribute, escape_html, slug
 from quillgrid.operators.policy import host
 
@@ -77,11 +78,8 @@ def diagram_html(lang: Column, content: Column) -> Column:
 
 
 def svg_data_uri(content: Column) -> Column:
-    """SVG without scripts, handlers, foreign objects and outside references, as a data URI."""
-    c = F.regexp_replace(content, r"(?is)<(script|foreignObject|iframe|style)\b.*?</\1\s*>", "")
-    c = F.regexp_replace(c, r"(?i)\son\w+\s*=\s*(?:\"[^\"]*\"|'[^']*')", "")
-    c = F.regexp_replace(c, r"(?i)\s(?:xlink:)?href\s*=\s*(?:\"(?!#)[^\"]*\"|'(?!#)[^']*')", "")
-    return F.concat(F.lit("data:image/svg+xml;base64,"), F.base64(F.encode(c, "UTF-8")))
+    """SVG with nothing but drawing (see ``functions.svg``), as a data URI."""
+    return F.concat(F.lit("data:image/svg+xml;base64,"), F.base64(F.encode(clean_svg(content), "UTF-8")))
 
 
 def callouts(block_rows: DataFrame) -> DataFrame:

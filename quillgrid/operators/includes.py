@@ -1,7 +1,9 @@
 """Includes: ``{{ path options }}`` resolved against a table of files by repeated joins, with their warnings.
 
-files has (path, content). Each round joins the open directives to the files; a document's trail of paths
-guards against cycles, and the depth, bytes and calls of a document are bounded as parameters.
+files has (path, content). A document is rows of pieces in order; each piece knows the files it stands in
+(its stack), so that nesting and cycles are told per place, not per document. In a round all open directives
+of all documents meet the files in one join. Depth, bytes and calls are bounded as parameters, and every
+refusal is a row.
 """
 
 from __future__ import annotations
@@ -31,16 +33,34 @@ def option(name: str) -> Column:
     return F.regexp_replace(F.get(hit, F.lit(0)), f"^{name}:", "")
 
 
-def select_part(content: Column) -> Column:
-    """Content cut by @lines:N-M or @region:name."""
+def select_part(content: Column, section: Column | None = None) -> Column:
+    """Content cut by #section, @lines:N-M or @region:name; a delimited file by @rows:N-M (its first line stays) and @cols:a,b."""
     lines = F.split(content, "\n")
-    low, high = F.regexp_extract(option("lines"), r"^(\d+)-(\d+)$", 1), F.regexp_extract(option("lines"), r"^(\d+)-(\d+)$", 2)
-    cut = F.array_join(F.slice(lines, low.cast("int"), F.greatest(F.lit(0), high.cast("int") - low.cast("int") + 1)), "\n")
+    span = lambda name: (F.regexp_extract(option(name), r"^(\d+)-(\d+)$", 1), F.regexp_extract(option(name), r"^(\d+)-(\d+)$", 2))
+    sliced = lambda of, low, high: F.slice(of, low.cast("int"), F.greatest(F.lit(0), high.cast("int") - low.cast("int") + 1))
+    low, high = span("lines")
+    cut = F.array_join(sliced(lines, low, high), "\n")
     name = option("region")
     begin = F.array_position(F.transform(lines, lambda x: F.trim(x) == F.concat(F.lit("%% region "), name)), F.lit(True))
     end = F.array_position(F.transform(lines, lambda x: F.trim(x) == F.concat(F.lit("%% endregion "), name)), F.lit(True))
     region = F.array_join(F.slice(lines, (begin + 1).cast("int"), F.greatest(F.lit(0), end - begin - 1).cast("int")), "\n")
-    return F.when(low != "", cut).when(name.isNotNull() & (begin > 0) & (end > begin), region).otherwise(content)
+    chosen = F.when(low != "", cut).when(name.isNotNull() & (begin > 0) & (end > begin), region)
+    first, last = span("rows")
+    wanted = F.split(option("cols"), ",")
+    header = F.split(F.get(lines, F.lit(0)), ",")
+    columns = F.filter(F.transform(wanted, lambda w: F.array_position(F.transform(header, F.trim), F.trim(w))), lambda i: i > 0)
+    rows = F.when(first != "", F.concat(F.slice(lines, 1, 1), sliced(F.slice(lines, 2, F.greatest(F.lit(1), F.size(lines))), first, last))).otherwise(lines)
+    picked = F.when(F.size(columns) > 0, F.transform(rows, lambda r: F.array_join(F.transform(columns, lambda i: F.coalesce(F.get(F.split(r, ","), (i - 1).cast("int")), F.lit(""))), ","))).otherwise(rows)
+    chosen = chosen.when((first != "") | (F.size(columns) > 0), F.array_join(picked, "\n"))
+    if section is not None:
+        level = lambda x: F.length(F.regexp_extract(x, r"^(#{1,6}) ", 1))
+        named = F.transform(lines, lambda x: (level(x) > 0) & (F.regexp_replace(F.regexp_extract(x, r"^#{1,6} +(.*?) *$", 1), r"[^0-9A-Za-z]+", "-") == section))
+        at = F.array_position(named, F.lit(True)).cast("int")
+        deep = level(F.get(lines, at - 1))
+        rest = F.slice(lines, at + 1, F.greatest(F.lit(1), F.size(lines)))
+        stop = F.array_position(F.transform(rest, lambda x: (level(x) > 0) & (level(x) <= deep)), F.lit(True)).cast("int")
+        chosen = F.when((section != "") & (at > 0), F.array_join(F.slice(lines, at, F.when(stop > 0, stop).otherwise(F.size(lines))), "\n")).otherwise(chosen)
+    return F.coalesce(chosen, content)
 
 
 def shifted(content: Column) -> Column:
@@ -52,36 +72,56 @@ def shifted(content: Column) -> Column:
     return F.when(option("code").isNotNull(), F.concat(F.lit("```"), option("code"), F.lit("\n"), content, F.lit("\n```"))).otherwise(deeper)
 
 
-def expand(docs: DataFrame, files: DataFrame, depth: int = 16, budget: int = 1 << 20) -> DataFrame:
-    """docs (doc_id, source) with includes replaced, round by round; doc_id, source, rounds.
+def pieces(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, at, stack, text) cut into runs of text and directives: doc_id, at (one place deeper), stack, text, open."""
+    cut = F.regexp_extract_all("text", F.lit(rf"(?s){DIRECTIVE}|(?:(?!{DIRECTIVE}).)+"), F.lit(0))
+    each = rows.select("doc_id", "at", "stack", F.posexplode_outer(cut).alias("i", "text"))
+    return each.select("doc_id", F.array_append("at", F.coalesce("i", F.lit(0))).alias("at"), "stack", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("text").rlike(f"^{DIRECTIVE}$"), F.lit(False)).alias("open"))
+
 
-    A directive whose path is missing, already in the trail or past the budget of max(budget, 8 x the
-    source's bytes) stays as text and is not tried again. Expansion stops at ``depth`` rounds, each of which
-    is written to the shared folder.
+def expanded(docs: DataFrame, files: DataFrame, depth: int = 16, budget: int = 1 << 20, broadcast_files: int = 10_000) -> DataFrame:
+    """The pieces of docs (doc_id, source) after all includes: doc_id, at (place), stack (files around it), text, rule.
+
+    A directive is refused, stays as text and bears a rule when its path is missing (include-unresolved),
+    already around it (include-cycle), ``depth`` files deep (include-depth), or would take the document past
+    max(budget, 8 x the source's bytes) in the order of its places (include-budget). The same file may
+    stand in a document any number of times. Each level of nesting is one round, written to the shared folder.
     """
-    stay = ""
     found = files.select("path", "content").dropDuplicates(["path"])
-    state = docs.select("doc_id", "source", F.array().cast("array<string>").alias("trail"), F.greatest(F.lit(budget), 8 * F.octet_length("source")).alias("budget"), F.lit(0).alias("rounds"))
-    for _ in range(depth):
-        first = F.regexp_extract("source", DIRECTIVE, 0)
-        open_ = state.where(first != "")
+    size = found.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("content")), F.lit(0)).alias("bytes")).first()
+    if size.n <= broadcast_files and size.bytes <= 1 << 26:
+        found = F.broadcast(found)
+    limits = docs.select("doc_id", F.greatest(F.lit(budget), 8 * F.coalesce(F.octet_length("source"), F.lit(0))).alias("budget"))
+    start = docs.select("doc_id", F.array().cast("array<int>").alias("at"), F.array().cast("array<string>").alias("stack"), F.coalesce("source", F.lit("")).alias("text"))
+    now = materialize(pieces(start).withColumn("rule", F.lit(None).cast("string")), "pieces")
+    for level in range(depth + 1):
+        open_ = now.where("open")
         if open_.isEmpty():
             break
-        done = state.where(first == "")
-        head = F.regexp_extract("source", DIRECTIVE, 2)
-        rows = open_.withColumn("directive", first).withColumn("path", F.regexp_extract("source", DIRECTIVE, 1)).withColumn("options", F.regexp_extract_all(head, F.lit(r"@([^\s@}]+)"), F.lit(1)))
-        joined = rows.join(found, "path", "left").withColumn("part", shifted(select_part(F.col("content"))))
-        fits = F.octet_length("source") + F.octet_length("part") <= F.col("budget")
-        joined = joined.withColumn("ok", F.col("content").isNotNull() & ~F.array_contains("trail", F.col("path")) & fits)
-        ok = F.col("ok")
-        put = F.when(ok, F.col("part")).otherwise(F.concat(F.lit(stay), F.expr("substring(directive, 2)")))
-        at = F.expr("instr(source, directive)")
-        spliced = F.concat(F.substring("source", F.lit(1), at - 1), put, F.substring("source", at + F.length("directive"), F.length("source")))
-        following = done.unionByName(
-            joined.select("doc_id", spliced.alias("source"), F.when(ok, F.array_append("trail", F.col("path"))).otherwise(F.col("trail")).alias("trail"), "budget", (F.col("rounds") + 1).alias("rounds"))
-        )
-        state = materialize(following, "includes")
-    return state.select("doc_id", F.replace("source", F.lit(stay), F.lit("{")).alias("source"), "rounds")
+        rest = F.regexp_extract("text", DIRECTIVE, 2)
+        rows = open_.withColumn("path", F.regexp_extract("text", DIRECTIVE, 1)).withColumn("section", F.regexp_extract(rest, r"#([^\s@}]+)", 1)).withColumn("options", F.regexp_extract_all(rest, F.lit(r"@([^\s@}]+)"), F.lit(1)))
+        rows = rows.join(found, "path", "left").withColumn("part", shifted(select_part(F.col("content"), F.col("section"))))
+        rule = F.when(F.col("content").isNull(), "include-unresolved").when(F.array_contains("stack", F.col("path")), "include-cycle").when(F.lit(level >= depth), "include-depth")
+        rows = rows.withColumn("rule", rule)
+        used = now.groupBy("doc_id").agg(F.sum(F.octet_length("text")).alias("used"))
+        growth = F.when(F.col("rule").isNull(), F.octet_length("part") - F.octet_length("text")).otherwise(0)
+        rows = rows.join(used, "doc_id").join(limits, "doc_id").withColumn("grown", F.sum(growth).over(Window.partitionBy("doc_id").orderBy("at")))
+        rows = rows.withColumn("rule", F.coalesce("rule", F.when(F.col("used") + F.col("grown") > F.col("budget"), "include-budget")))
+        refused = rows.where("rule is not null").select("doc_id", "at", "stack", "text", F.lit(False).alias("open"), "rule")
+        spliced = pieces(rows.where("rule is null").select("doc_id", "at", F.array_append("stack", F.col("path")).alias("stack"), F.col("part").alias("text"))).withColumn("rule", F.lit(None).cast("string"))
+        now = materialize(now.where("not open").unionByName(refused).unionByName(spliced), "pieces")
+    return now.drop("open")
+
+
+def expand(docs: DataFrame, files: DataFrame, depth: int = 16, budget: int = 1 << 20) -> DataFrame:
+    """docs (doc_id, source) with includes replaced, as told at ``expanded``; doc_id, source."""
+    ordered = F.array_sort(F.collect_list(F.struct("at", "text")))
+    return expanded(docs, files, depth, budget).groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "").alias("source"))
+
+
+def refusals(docs: DataFrame, files: DataFrame, depth: int = 16, budget: int = 1 << 20) -> DataFrame:
+    """doc_id, at, stack, directive, rule of every include that ``expanded`` refuses."""
+    return expanded(docs, files, depth, budget).where("rule is not null").select("doc_id", "at", "stack", F.col("text").alias("directive"), "rule")
 
 
 def chains(edges: DataFrame, roots: DataFrame, depth: int = 16) -> DataFrame:

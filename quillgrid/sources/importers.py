@@ -1,4 +1,4 @@
-"""Importers as chains of expressions: BBCode, Markdown, Djot and HTML columns to markup, with their losses."""
+"""Importers: BBCode, Markdown and Djot columns to markup by chains of expressions, HTML by a tree; their losses."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillgrid.functions.text import col
 from quillgrid.operators.policy import url_scheme
+from quillgrid.sources.html_tree import html_markup
 
 UNSAFE = r"(?:javascript|vbscript|data|file):"
 #: BBCode passes, in order: pattern and replacement.
@@ -128,49 +129,9 @@ def djot_losses(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("code"))
 
 
-#: HTML elements that yield nothing, those that only hold others, and inline elements with their forced marks.
-SILENT = ("script", "style", "template", "noscript", "head")
-TRANSPARENT = ("html", "body", "article", "main", "header", "footer", "nav", "aside", "div", "section", "span", "font", "center")
-INLINE = {"strong": "*", "b": "*", "em": "/", "i": "/", "u": "_", "s": "~", "strike": "~", "mark": "=", "ins": "+", "del": "-", "sup": "^", "sub": ","}
-
-
-def unescape(c: Column) -> Column:
-    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", "\u00a0"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
-        c = F.replace(c, F.lit(a), F.lit(b))
-    return c
-
-
 def html(c: Column | str) -> Column:
-    """HTML text as markup: blocks and inlines by element; unsafe destinations reduced to text; unknown tags dropped."""
-    c = F.regexp_replace(col(c), r"(?s)<!--.*?-->|<!DOCTYPE[^>]*>", "")
-    for tag in SILENT:
-        c = F.regexp_replace(c, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", "")
-    c = F.regexp_replace(c, r"(?is)<pre[^>]*>\s*<code[^>]*class=\"language-(\w+)\"[^>]*>(.*?)</code>\s*</pre>", "\n\n```$1\n$2\n```\n\n")
-    c = F.regexp_replace(c, r"(?is)<pre[^>]*>\s*(?:<code[^>]*>)?(.*?)(?:</code>)?\s*</pre>", "\n\n```\n$1\n```\n\n")
-    c = F.regexp_replace(c, rf"(?is)<a\b[^>]*href=\"\s*{UNSAFE}[^\"]*\"[^>]*>(.*?)</a>", "$1")
-    c = F.regexp_replace(c, r"(?is)<a\b[^>]*href=\"([^\"]*)\"[^>]*>(.*?)</a>", "[$2]($1)")
-    c = F.regexp_replace(c, r"(?is)<img\b[^>]*src=\"([^\"]*)\"[^>]*alt=\"([^\"]*)\"[^>]*>", "![$2]($1)")
-    c = F.regexp_replace(c, r"(?is)<img\b[^>]*src=\"([^\"]*)\"[^>]*>", "![]($1)")
-    c = F.regexp_replace(c, r"(?is)<code[^>]*>(.*?)</code>", "`$1`")
-    for tag, mark in INLINE.items():
-        c = F.regexp_replace(c, rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}>", f"{{{mark}$1{mark}}}")
-    c = F.regexp_replace(c, r"(?i)<br\s*/?>", "\\\\\n")
-    for n in range(1, 7):
-        c = F.regexp_replace(c, rf"(?is)<h{n}\b[^>]*>\s*(.*?)\s*</h{n}>", "\n\n" + "#" * n + " $1\n\n")
-    c = F.regexp_replace(c, r"(?is)<li\b[^>]*>\s*(.*?)\s*</li>", "\n- $1")
-    c = F.regexp_replace(c, r"(?i)</?(?:ul|ol)\b[^>]*>", "\n\n")
-    c = F.regexp_replace(c, r"(?i)<hr\s*/?>", "\n\n---\n\n")
-    c = F.regexp_replace(c, r"(?is)<dt\b[^>]*>(.*?)</dt>", "\n:: $1")
-    c = F.regexp_replace(c, r"(?is)<dd\b[^>]*>(.*?)</dd>", "\n: $1")
-    c = F.regexp_replace(c, r"(?is)<th\b[^>]*>\s*(.*?)\s*</th>", "|= $1 ")
-    c = F.regexp_replace(c, r"(?is)<td\b[^>]*>\s*(.*?)\s*</td>", "| $1 ")
-    c = F.regexp_replace(c, r"(?i)</tr>\s*", "|\n")
-    c = F.regexp_replace(c, r"(?is)<blockquote\b[^>]*>\s*(?:<p>)?(.*?)(?:</p>)?\s*</blockquote>", "\n\n> $1\n\n")
-    c = F.regexp_replace(c, r"(?is)<(?:p|div)\b[^>]*>\s*(.*?)\s*</(?:p|div)>", "\n\n$1\n\n")
-    c = F.regexp_replace(c, r"<[A-Za-z/][^>]*>", "")
-    c = unescape(c)
-    c = F.regexp_replace(F.regexp_replace(c, r"(?m)[ \t]+$", ""), r"\n{3,}", "\n\n")
-    return F.concat(F.regexp_replace(c, r"^\s+|\s+$", ""), F.lit("\n"))
+    """HTML text as markup, parsed as a tree (see ``html_tree``); unsafe destinations reduced to text; unknown tags dropped."""
+    return html_markup(col(c))
 
 
 def html_elements(pages: DataFrame, text: str = "html") -> DataFrame:

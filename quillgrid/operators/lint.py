@@ -52,7 +52,7 @@ LINE_RULES = {
     "markdown-strong-double-star": r"\*\*[^*\s][^*]*\*\*",
     "markdown-strong-underscores": r"__[^_\s][^_]*__",
     "platform-issue-reference": r"(?<![\w&])#\d+\b",
-    "platform-mention-token": r"(?<![\w@])@[A-Za-z][\w-]*",
+    "platform-mention-token": r"(?<![\w@])@[A-Za-z][\w-]*(?![^{}]*\}\})",
     "region-marker-renders-as-text": r"^\s*(?://|#|--)\s*#?(?:end)?region\b",
     "semantic-attribute-outside-span": r"(?:[*/_~]\w+[*/_~]|`[^`]+`)\{(?:kbd|abbr|time|samp|var|cite|dfn)\b",
     "semantic-attribute-value-ignored": r"\]\{(?:kbd|samp|var|cite|dfn)=",

@@ -62,10 +62,10 @@ def a4_heading_numbers(spark, sf):
     return W.heading_numbers(B.headings(B.classify(B.scan(pages)))).select("doc_id", F.col("line_no").cast("long"), "number")
 
 
-@query("SELECT doc_id, COUNT(*)::BIGINT AS paragraphs, SUM(LENGTH(l))::BIGINT AS chars FROM (SELECT doc_id, UNNEST(STRING_SPLIT(text, CHR(10))) AS l FROM documents WHERE lang IN ('fr', 'es')) WHERE REGEXP_MATCHES(l, '^[A-Za-zÀ-ÿ][A-Za-zÀ-ÿ]') AND NOT CONTAINS(l, '[') GROUP BY doc_id")
+@query("SELECT doc_id, COUNT(*)::BIGINT AS paragraphs, SUM(LENGTH(l))::BIGINT AS chars FROM (SELECT doc_id, UNNEST(STRING_SPLIT(text, CHR(10))) AS l FROM documents) WHERE REGEXP_MATCHES(l, '^[A-Za-zÀ-ÿ][A-Za-zÀ-ÿ]') AND NOT CONTAINS(l, '[') GROUP BY doc_id")
 def b1_b5_paragraphs(spark, sf):
     """Lines of prose set apart by blank lines are one paragraph each."""
-    docs = table(spark, sf, "documents").where("lang in ('fr', 'es')").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("source"))
+    docs = table(spark, sf, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("source"))
     rows = B.parse(docs).where("type = 'paragraph'").where(F.col("text").rlike("^[A-Za-zÀ-ÿ][A-Za-zÀ-ÿ]") & ~F.col("text").contains("["))
     return rows.groupBy("doc_id").agg(F.count("*").alias("paragraphs"), F.sum(F.length("text")).alias("chars"))
 

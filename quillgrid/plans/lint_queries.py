@@ -57,13 +57,17 @@ CASES = {
 }
 
 
+#: Rules that a document made for another one breaks as well.
+ALSO = {"emphasis-marker-before-attributes": "unclosed-inline-emphasis"}
+
+
 @query(
-    "WITH n AS (SELECT n_nationkey::BIGINT AS k FROM nation) SELECT rule, COUNT(*)::BIGINT AS n, SUM(k)::BIGINT AS ids FROM n, (VALUES "
-    + ", ".join(f"('{r}')" for r in CASES)
-    + ") x(rule) WHERE k % 2 = 0 GROUP BY rule"
+    "WITH n AS (SELECT n_nationkey::BIGINT AS k FROM nation) SELECT wanted, rule, COUNT(*)::BIGINT AS n, SUM(k)::BIGINT AS ids FROM n, (VALUES "
+    + ", ".join(f"('{a}', '{b}')" for a, b in [*zip(CASES, CASES, strict=True), *ALSO.items()])
+    + ") x(wanted, rule) WHERE k % 2 = 0 GROUP BY wanted, rule"
 )
 def v_line_rules(spark, sf):
-    """For each line rule, documents of even keys break it and those of odd keys don't."""
+    """For each line rule, documents of even keys break it and those of odd keys none; all rules are tried on all documents."""
     parts = []
     for rule, (bad, good) in CASES.items():
         text = F.when(F.col("n_nationkey") % 2 == 0, F.lit(bad.format("zoe"))).otherwise(F.lit(good.format("zoe")))
@@ -72,8 +76,14 @@ def v_line_rules(spark, sf):
     docs = reduce(DataFrame.union, parts)
     keyed = docs.withColumn("doc", F.concat_ws(":", "wanted", "doc_id"))
     scanned = B.classify(B.scan(keyed.select(F.col("doc").alias("doc_id"), "source")))
-    found = L.line_rules(scanned).where(F.col("rule") == F.substring_index("doc_id", ":", 1)).select("doc_id", "rule").distinct()
-    return found.groupBy("rule").agg(F.count("*").alias("n"), F.sum(F.substring_index("doc_id", ":", -1).cast("long")).alias("ids"))
+    found = L.line_rules(scanned).select(F.substring_index("doc_id", ":", 1).alias("wanted"), F.substring_index("doc_id", ":", -1).cast("long").alias("id"), "rule").distinct()
+    return found.groupBy("wanted", "rule").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+
+
+@query("SELECT n_nationkey::BIGINT AS doc_id, l::BIGINT AS line, r AS rule FROM nation, (VALUES (0, 2, 'list-item-block-overindented'), (1, 3, 'description-separator-below-content-column')) x(k, l, r) WHERE n_nationkey % 3 = k")
+def v18_v45_overindented_blocks(spark, sf):
+    docs = markup(spark, sf, "nation", "n_nationkey", "case n_nationkey % 3 when 0 then '- a\n      > b' when 1 then ':: t\n: d\n +' else '- a\n  b\n\n:: t\n: d\n\n  e' end")
+    return found(docs, L.list_rules).union(found(docs, L.description_rules)).select("doc_id", F.col("line").cast("long"), "rule")
 
 
 def found(docs, rules, *more):

@@ -185,18 +185,17 @@ def t10_t12_format_patch(spark, sf):
 @query("SELECT p_partkey AS doc_id, 'a' || p_partkey AS id FROM part")
 def m19_preserved_ids(spark, sf):
     """Ids of imported headings kept as attributes."""
-    rows = table(spark, sf, "part").selectExpr("p_partkey doc_id", """concat('<h2 id="a', p_partkey, '">', p_name, '</h2>') html""")
-    kept = F.regexp_replace("html", r'(?is)<h(\d)[^>]*\bid="([^"]*)"[^>]*>', "\n{#$2}\n<h$1>")
-    docs = rows.select("doc_id", M.html(kept).alias("source")).withColumn("source", F.regexp_replace("source", r"\}\n+#", "}\n#"))
-    return B.attached_attributes(B.parse(docs)).select("doc_id", "id")
+    rows = table(spark, sf, "part").selectExpr("p_partkey doc_id", """concat('<p>x</p><h2 class="" id="a', p_partkey, '">', p_name, '</h2>') html""")
+    return B.attached_attributes(B.parse(rows.select("doc_id", M.html("html").alias("source")))).select("doc_id", "id")
 
 
-@query("SELECT p_partkey AS doc_id, 'class,id' AS kept, 'x_' || p_size AS tex FROM part")
+@query("SELECT p_partkey AS doc_id, CASE p_partkey % 3 WHEN 0 THEN '{#b .a .c title=\"t\" lang=\"fr\"}' || CHR(10) || p_name WHEN 1 THEN '{#b' || p_partkey || '}' || CHR(10) || '# ' || p_name ELSE p_name END || CHR(10) || CHR(10) || 'f: $`x_' || p_size || '` g' || CHR(10) AS source FROM part")
 def m4_m6_html_policy(spark, sf):
-    attrs = F.create_map(F.lit("class"), F.lit("a"), F.lit("id"), F.lit("b"), F.lit("onclick"), F.lit("c"), F.lit("data-x"), F.lit("d"))
-    kept = F.map_filter(attrs, lambda k, v: k.isin("id", "class", "title", "lang"))
-    page = F.concat(F.lit('<math><semantics><mi>x</mi><annotation encoding="application/x-tex">x_'), "p_size", F.lit("</annotation></semantics></math>"))
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"), F.array_join(F.sort_array(F.map_keys(kept)), ",").alias("kept"), F.regexp_extract(page, r'(?s)<annotation encoding="application/x-tex">(.*?)</annotation>', 1).alias("tex"))
+    """Attributes that an import keeps and those that it drops, and TeX from math."""
+    first = """case p_partkey % 3 when 0 then concat('<p class="a c" id="b" onclick="c" data-x="d" style="e" title="t" lang="fr">', p_name, '</p>')
+      when 1 then concat('<h1 id="b', p_partkey, '" onload=x>', p_name, '</h1>') else concat('<p onclick=x>', p_name) end"""
+    math = """concat('<p>f: <math><semantics><mi>x</mi><annotation encoding="application/x-tex">x_', p_size, '</annotation></semantics></math> g')"""
+    return table(spark, sf, "part").selectExpr("p_partkey doc_id", f"concat({first}, {math}) html").select("doc_id", M.html("html").alias("source"))
 
 
 @query("SELECT user_id, COUNT(*)::BIGINT AS n FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) >= 50 GROUP BY user_id")
@@ -206,12 +205,12 @@ def s5_variant_payloads(spark, sf):
     return table(spark, sf, "events").where(k >= 50).groupBy("user_id").agg(F.count("*").alias("n"))
 
 
-@query("SELECT doc_id, COUNT(*)::BIGINT AS lines FROM (SELECT doc_id, UNNEST(STRING_SPLIT(text, CHR(10))) AS l FROM documents WHERE lang = 'en') WHERE REGEXP_MATCHES(l, '^[A-Z][a-z]') GROUP BY doc_id")
+@query("SELECT doc_id, COUNT(*)::BIGINT AS lines FROM (SELECT doc_id, UNNEST(STRING_SPLIT(text, CHR(10))) AS l FROM documents) WHERE REGEXP_MATCHES(l, '^[A-Z][a-z]') GROUP BY doc_id")
 def z1_stateless_rendering(spark, sf):
     """The streaming renderer over a table: one row per line of prose."""
     from quillgrid.streaming.updates import line_html
 
-    docs = table(spark, sf, "documents").where("lang = 'en'").selectExpr("doc_id", "text source")
+    docs = table(spark, sf, "documents").selectExpr("doc_id", "text source")
     return line_html(docs).where(F.col("text").rlike("^<?[A-Z][a-z]")).where("text not like '<%'").groupBy("doc_id").agg(F.count("*").alias("lines"))
 
 

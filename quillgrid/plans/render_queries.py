@@ -134,10 +134,9 @@ def s9_m2_m3_m9_html(spark, sf):
     return table(spark, sf, "part").selectExpr("p_partkey doc_id", f"{text} source").select("doc_id", M.html("source").alias("source"))
 
 
-@query("""SELECT page_id, t AS tag, n::BIGINT AS n FROM (SELECT page_id, t, LEN(REGEXP_EXTRACT_ALL(REGEXP_REPLACE(REGEXP_REPLACE(html, '(?s)<!--.*?-->', '', 'g'), '(?s)<(script|style)[^>]*>.*?</(script|style)>', '', 'g'), '<' || t || '[ >]')) AS n
-FROM pages, (VALUES ('h1'), ('p'), ('li'), ('b'), ('a'), ('footer')) x(t)) WHERE n > 0""")
+@query("""SELECT page_id, LOWER(t) AS tag, COUNT(*)::BIGINT AS n FROM (SELECT page_id, UNNEST(REGEXP_EXTRACT_ALL(REGEXP_REPLACE(REGEXP_REPLACE(html, '(?s)<!--.*?-->', '', 'g'), '(?s)<(script|style)[^>]*>.*?</(script|style)>', '', 'g'), '<([A-Za-z][A-Za-z0-9]*)', 1)) AS t FROM pages) GROUP BY ALL""")
 def m2_m3_page_elements(spark, sf):
-    return M.html_elements(table(spark, sf, "pages")).where("tag in ('h1', 'p', 'li', 'b', 'a', 'footer')")
+    return M.html_elements(table(spark, sf, "pages"))
 
 
 @query("""SELECT page_id, 1::BIGINT AS headings, LEN(REGEXP_EXTRACT_ALL(html, '<li>'))::BIGINT AS items, false AS script_left FROM pages""")
@@ -274,6 +273,57 @@ def j11_n3_n4_includes(spark, sf):
     return N.expand(docs, include_files(spark, sf)).select("doc_id", "source")
 
 
+@query("SELECT n_nationkey::BIGINT AS doc_id, '[' || n_name || '] [' || n_name || '] ' || n_name || n_name || ' {{ gone }} A{{ up }}' AS source FROM nation")
+def j11_u9_repeated_includes(spark, sf):
+    """Siblings and repeats expand, one file inside another too; what is missing or a cycle stays as text."""
+    files = table(spark, sf, "nation").selectExpr("concat('x', n_nationkey) path", "n_name content").unionAll(
+        table(spark, sf, "nation").selectExpr("concat('box', n_nationkey) path", "concat('[{{ x', n_nationkey, ' }}]') content")
+    ).unionAll(table(spark, sf, "region").where("r_regionkey = 0").selectExpr("'up' path", "'A{{ up }}' content"))
+    text = "concat('{{ box', k, ' }} {{ box', k, ' }} {{ x', k, ' }}{{ x', k, ' }} {{ gone }} {{ up }}')".replace("k", "n_nationkey")
+    docs = table(spark, sf, "nation").selectExpr("cast(n_nationkey as bigint) doc_id", f"{text} source")
+    return N.expand(docs, files)
+
+
+@query("SELECT n_nationkey::BIGINT AS doc_id, r AS rule, n::BIGINT AS n FROM nation, (VALUES ('include-cycle', 2), ('include-depth', 1), ('include-budget', 1), ('include-unresolved', 1)) x(r, n)")
+def n1_n3_n4_n5_refusals(spark, sf):
+    """Cycles, nesting and bytes past their bounds, and missing files, each refused in its place."""
+    files = [("a", "A{{ b }}"), ("b", "B{{ a }}"), *((f"d{i}", f"{i}{{{{ d{i + 1} }}}}") for i in range(6)), ("big", "x" * 400)]
+    docs = table(spark, sf, "nation").selectExpr("cast(n_nationkey as bigint) doc_id", "concat('{{ a }}{{ b }}{{ d0 }}{{ big }}{{ big }}{{ gone', n_nationkey, ' }}') source")
+    found = N.refusals(docs, spark.createDataFrame(files, "path string, content string"), depth=3, budget=700)
+    return found.groupBy("doc_id", "rule").agg(F.count("*").alias("n"))
+
+
+@query("SELECT n_nationkey::BIGINT AS doc_id, 'include-non-text' AS rule FROM nation WHERE n_nationkey % 2 = 0")
+def n2_include_non_text(spark, sf):
+    files = table(spark, sf, "nation").selectExpr("concat('n', n_nationkey) path", "if(n_nationkey % 2 = 0, null, n_name) content", "n_nationkey % 2 = 0 binary")
+    docs = table(spark, sf, "nation").selectExpr("cast(n_nationkey as bigint) doc_id", "concat('{{ n', n_nationkey, ' }}') source")
+    return N.warnings(N.directives(docs), files).select("doc_id", "rule")
+
+
+@query("SELECT p_partkey AS doc_id, CASE WHEN p_partkey % 2 = 0 THEN '1. ' || p_name || CHR(10) || '   - {/' || p_type || '/}' || CHR(10) || '     3. c' || CHR(10) || '2. \\*' || p_brand || '*' || CHR(10) || CHR(10) || '> ' || p_name || CHR(10) || '>' || CHR(10) || '> - x' || CHR(10) ELSE '|= h |= ' || p_name || ' | < |' || CHR(10) || '| 1 | 2 | € |' || CHR(10) || '| ^ | [l](/q) | ' || p_size || ' |' || CHR(10) END AS source FROM part")
+def m1_m2_m3_m9_nested_html(spark, sf):
+    """Lists in lists, blocks in quotes, spans in tables, single-quoted and missing ends, entities and literal marks."""
+    page = """if(p_partkey % 2 = 0, concat('<ol><li>', p_name, '<ul><li><i>', p_type, '</i><ol start=3><li>c</ol></ul><li>*', p_brand, '*</ol><blockquote><p>', p_name, '<ul><li>x</ul></blockquote>'),
+      concat('<table><tr><th>h<th colspan=2>', p_name, '<tr><td rowspan=2>1<td>2<td>&#8364;<tr><td><a href=\\'/q\\'>l</a><td>', p_size, '</table>'))"""
+    return table(spark, sf, "part").selectExpr("p_partkey doc_id", f"{page} html").select("doc_id", M.html("html").alias("source"))
+
+
+@query("SELECT p_partkey AS doc_id, CASE p_partkey % 3 WHEN 0 THEN '<svg><g></g></svg>' WHEN 1 THEN '<svg><rect stroke=\"url(#s)\"/></svg>' ELSE '<svg viewBox=\"0 0 1 1\"><text>' || p_name || ' &lt; b</text></svg>' END AS svg FROM part")
+def p17_x19_svg_payloads(spark, sf):
+    from quillgrid.functions.svg import clean_svg
+
+    text = """case p_partkey % 3 when 0 then '<svg><g onload=alert(1)><script>1</script><foreignObject>x</foreignObject></g></svg>'
+      when 1 then '<svg><rect fill="url(http://e)" stroke="url(#s)" style="x"/><a href="java&#115;cript:1">t</a></svg>'
+      else concat('<svg viewBox="0 0 1 1"><text>', p_name, ' &lt; b') end"""
+    return table(spark, sf, "part").selectExpr("p_partkey doc_id", f"{text} s").select("doc_id", clean_svg("s").alias("svg"))
+
+
+@query("SELECT c AS code, COUNT(*)::BIGINT AS n FROM part, (VALUES ('table-header-row-demoted', 0), ('table-header-cell-demoted', 1), ('table-header-row-hoisted', 1)) x(c, k) WHERE p_partkey % 2 = k GROUP BY c")
+def k10_k11_k12_header_losses(spark, sf):
+    docs = markup(spark, sf, "part", "p_partkey", "concat(if(p_partkey % 2 = 0, '|= a |\n|= b |\n| ', '| a |= b |\n| '), p_name, if(p_partkey % 2 = 0, ' |', ' | c |'))")
+    return R.loss_counts(R.losses(B.parse(docs), "markdown"))
+
+
 @query("SELECT n_nationkey::BIGINT AS doc_id, '## ' || n_name || CHR(10) || 'l2' AS source FROM nation WHERE n_nationkey % 5 <> 4 UNION ALL SELECT n_nationkey, '## ' || n_name FROM nation WHERE n_nationkey % 5 = 4")
 def j12_include_selectors(spark, sf):
     docs = table(spark, sf, "nation").selectExpr("cast(n_nationkey as bigint) doc_id", "concat('{{ n', n_nationkey, '.mk @lines:1-2 @shift:1 }}') source")

@@ -156,10 +156,10 @@ def scan_licenses(files: DataFrame, templates: dict[str, str] | None = None, thr
     lead = F.when(F.col("dir").startswith("/"), "/").otherwise("")
     ancestors = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.struct(F.concat(lead, F.array_join(F.slice(parts, 1, i), "/")).alias("licence_dir"), i.alias("depth")))
     dirs = materialize(own.where("dir is not null").groupBy("dir").agg(F.count("*").alias("n")), "directories")
+    # Every directory asks for its root, so the question is not dealt by directory asked for.
+    asked = dirs.select("dir", "n", F.explode(ancestors).alias("a")).select("dir", "n", "a.licence_dir", "a.depth")
     nearest = (
-        dirs.select("dir", "n", F.explode(ancestors).alias("a"))
-        .select("dir", "n", "a.licence_dir", "a.depth")
-        .join(licensed, "licence_dir")
+        join_small(asked, materialize(licensed, "licensed"), ["licence_dir"])
         .groupBy("dir")
         .agg(F.max_by(F.struct("licence_dir", "from_file"), "depth").alias("near"), F.first("n").alias("n"))
     )

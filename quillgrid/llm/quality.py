@@ -9,6 +9,7 @@ evidence with the posterior of its path, in which its own evidence does not coun
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -24,6 +25,7 @@ from quillgrid.llm.common import join_small, materialize, small_batches
 N_STATISTICS = 10
 LETTERS = np.zeros(256, bool)
 LETTERS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
+SPACE, INK = re.compile(rb"\s"), re.compile(rb"\S")
 UPPER, DIGITS, SPACES = slice(65, 91), slice(48, 58), [9, 10, 11, 12, 13, 32]
 
 
@@ -34,7 +36,7 @@ class Buckets(dict):
         self.n = n
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = b = zlib.crc32(word) % self.n
         return b
@@ -43,14 +45,28 @@ class Buckets(dict):
 _buckets: dict[int, Buckets] = {}
 
 
+def pieces(text: bytes, size: int = 1 << 20) -> Iterator[bytes]:
+    """The text in slices of about size bytes that end at white space, so that a long text is never split into words at once."""
+    start = 0
+    while start < len(text):
+        found = SPACE.search(text, start + size)
+        end = found.start() if found else len(text)
+        yield text[start:end]
+        start = end
+
+
 def features(text: bytes, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Statistics, then the buckets of the text's words and their square-root frequencies at length 1."""
-    words = text.split()
-    n, counts = len(words), Counter(words)
-    octets = np.bincount(np.frombuffer(text, np.uint8), minlength=256)
+    n, same, last, counts, octets = 0, 0, None, Counter(), np.zeros(256, np.int64)
+    for piece in pieces(text):
+        words = piece.split()
+        counts.update(words)
+        octets += np.bincount(np.frombuffer(piece, np.uint8), minlength=256)
+        same += sum(a == b for a, b in zip(words, words[1:], strict=False)) + bool(words and words[0] == last)
+        n, last = n + len(words), words[-1] if words else last
     inked = max(1, int(octets.sum() - octets[SPACES].sum()))
     letters, upper, digits = int(octets[LETTERS].sum()), int(octets[UPPER].sum()), int(octets[DIGITS].sum())
-    repeats = sum(a == b for a, b in zip(words, words[1:], strict=False)) / max(1, n - 1)
+    repeats = same / max(1, n - 1)
     lines = [x for x in text.split(b"\n") if x]
     statistics = np.array([
         np.log1p(n), len(counts) / max(1, n), repeats, upper / max(1, letters), digits / inked, (inked - letters - digits) / inked,
@@ -120,7 +136,7 @@ def document_evidence(docs: DataFrame, model: QualityModel | None) -> DataFrame:
             out = []
             for x in batch.column(3):
                 text = x.as_py()
-                words = bool(text and text.split())
+                words = bool(text and INK.search(text))
                 out.append(None if not words else 0.5 if model is None else float(1 / (1 + np.exp(-np.clip(model.logit(text), -12, 12)))))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.float64())], ["doc_id", "host", "path", "p"])
 

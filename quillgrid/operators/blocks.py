@@ -8,8 +8,10 @@ and colon fences counted open.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from quillgrid.functions.text import attributes, normalize_source, roman_value
 
@@ -209,10 +211,29 @@ def list_tightness(items: DataFrame) -> DataFrame:
     )
 
 
+@F.pandas_udf(ArrayType(IntegerType()))
+def nearest_smaller(indents: pd.Series) -> pd.Series:
+    """For each entry of an array, the position of the last one before it that is smaller, or -1: one stack an array."""
+
+    def positions(row) -> list[int]:
+        stack, out = [], []
+        for i, indent in enumerate(row):
+            while stack and row[stack[-1]] >= indent:
+                stack.pop()
+            out.append(stack[-1] if stack else -1)
+            stack.append(i)
+        return out
+
+    return indents.map(positions)
+
+
 def item_parents(items: DataFrame) -> DataFrame:
-    """parent_line: the last item before with a smaller indentation and no smaller one since; a window over the document."""
-    seen = F.collect_list(F.struct("line_no", "indent")).over(Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1))
-    return items.withColumn("parent_line", F.try_element_at(F.filter(seen, lambda x: x["indent"] < F.col("indent")), F.lit(-1))["line_no"])
+    """parent_line: the last item before with a smaller indentation; one sorted array and one stack a document."""
+    of_doc = items.select("doc_id", "line_no", "indent").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("line_no", "indent"))).alias("items"))
+    above = of_doc.withColumn("above", nearest_smaller(F.col("items.indent")))
+    rows = above.select("doc_id", "items.line_no", "above", F.posexplode("items").alias("at", "item"))
+    parents = rows.select("doc_id", F.col("item.line_no").alias("line_no"), F.when(F.get("above", F.col("at")) >= 0, F.get(rows["line_no"], F.get("above", F.col("at")))).alias("parent_line"))
+    return items.join(parents, ["doc_id", "line_no"])
 
 
 def split_cells(row: Column) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgrid.functions.text import slug
@@ -64,12 +64,52 @@ LINE_RULES = {
 }
 
 
+#: Rules on a line and the forms around it: rule, predicate, and the pattern of the line if any.
+FOLDED_RULES = {
+    "list-marker-without-blank-line": ("form = 'list_item' and before = 'text'", None),
+    "setext-heading-underline": ("before = 'text'", r"^(?:={2,}|-{2,})\s*$"),
+    "markdown-definition-paragraph": ("before = 'text'", r"^:\s{1,3}\S"),
+    "caption-looking-paragraph": ("form = 'text' and before = 'blank'", r"^(?:Figure|Table|Listing) \d+[:.] "),
+    "quote-fence-ends-the-quote-above": ("form = 'div_open' and before = 'quote'", r"^:{3,} *>"),
+}
+ITEM_RULES = {
+    "refused-continuation-marker": ("form = 'continuation' and coalesce(next, 'blank') = 'blank'", None),
+    "continuation-marker-refused": ("fence is null and coalesce(next, 'blank') = 'blank'", r"^(?:[ \t]*> ?)*[ \t]*(?:[-*]|\d{1,9}[.)]) +\+[ \t]*$"),
+    "list-item-body-detached": ("form = 'text' and before = 'blank' and seen = 'list_item'", r"^ {1}\S"),
+    "list-item-block-overindented": ("before = 'list_item'", r"^ {5,}(?:[-*>]|#{1,6}) "),
+}
+DESCRIPTION_RULES = {
+    "definition-term-block-folded": ("form in ('heading', 'list_item', 'table_row') and before = 'term'", None),
+    "description-separator-below-content-column": ("before = 'description'", r"^ \+$"),
+}
+
+
+def with_neighbours(classified: DataFrame) -> DataFrame:
+    """Lines plus the form before, the form after and the last form before that is not blank: one sort a document."""
+    w = Window.partitionBy("doc_id").orderBy("line_no")
+    seen = F.last(F.when(F.col("form") != "blank", F.col("form")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    return classified.withColumns({"before": F.lag("form").over(w), "next": F.lead("form").over(w), "seen": seen})
+
+
+def holding(rules: dict[str, tuple[str, str | None]]) -> list[Column]:
+    """Per rule its name where the row breaks it, else null."""
+    test = lambda predicate, pattern: F.expr(predicate) & (F.col("line").rlike(pattern) if pattern else F.lit(True))
+    return [F.when(test(*on), F.lit(rule)) for rule, on in rules.items()]
+
+
+def flagged(rows: DataFrame, hits: list[Column], line: str = "line_no") -> DataFrame:
+    """A diagnostic per row and hit that is not null."""
+    return rows.select("doc_id", F.col(line).alias("line"), F.explode(F.array_compact(F.array(*hits))).alias("rule"))
+
+
+def line_hits(rules: tuple[str, ...] | None = None) -> list[Column]:
+    prose = F.expr("fence is null and form not in ('blank', 'comment')")
+    return [F.when(prose & F.col("line").rlike(LINE_RULES[r]), F.lit(r)) for r in rules or tuple(LINE_RULES)]
+
+
 def line_rules(classified: DataFrame, rules: tuple[str, ...] | None = None) -> DataFrame:
     """All chosen line rules in one pass: an array of hits per line, exploded."""
-    chosen = rules or tuple(LINE_RULES)
-    hits = F.filter(F.array(*[F.when(F.col("line").rlike(LINE_RULES[r]), F.lit(r)) for r in chosen]), lambda x: x.isNotNull())
-    rows = classified.where("fence is null and form not in ('blank', 'comment')")
-    return rows.select("doc_id", F.col("line_no").alias("line"), F.explode(hits).alias("rule"))
+    return flagged(classified.where("fence is null and form not in ('blank', 'comment')"), line_hits(rules))
 
 
 def report(rows: DataFrame, rule: str, line: str = "line_no") -> DataFrame:
@@ -87,10 +127,13 @@ def duplicate_heading_id(heading_ids: DataFrame) -> DataFrame:
     return report(R.duplicates(heading_ids, "id"), "duplicate-heading-id")
 
 
-def unclosed_fences(block_rows: DataFrame) -> DataFrame:
-    rows = block_rows.where("fence is not null and not fence.closed")
+def fence_hits() -> list[Column]:
     rule = F.when(F.col("type") == "comment_block", "unclosed-comment-fence").otherwise("unclosed-code-fence")
-    return rows.select("doc_id", F.col("start_line").alias("line"), rule.alias("rule"))
+    return [F.when(F.expr("fence is not null and not fence.closed"), rule)]
+
+
+def unclosed_fences(block_rows: DataFrame) -> DataFrame:
+    return flagged(block_rows, fence_hits(), "start_line")
 
 
 def container_rules(classified: DataFrame) -> DataFrame:
@@ -140,15 +183,7 @@ def target_rules(classified: DataFrame) -> DataFrame:
 
 def folded_markers(classified: DataFrame) -> DataFrame:
     """Text that looks like the start of a list, a setext underline or a Markdown definition inside a paragraph."""
-    w = Window.partitionBy("doc_id").orderBy("line_no")
-    before = F.lag("form").over(w)
-    rows = classified.withColumn("before", before)
-    lists = report(rows.where("form = 'list_item' and before = 'text'"), "list-marker-without-blank-line")
-    setext = report(rows.where("before = 'text'").where(F.col("line").rlike(r"^(?:={2,}|-{2,})\s*$")), "setext-heading-underline")
-    definition = report(rows.where("before = 'text'").where(F.col("line").rlike(r"^:\s{1,3}\S")), "markdown-definition-paragraph")
-    caption = report(rows.where("form = 'text' and before = 'blank'").where(F.col("line").rlike(r"^(?:Figure|Table|Listing) \d+[:.] ")), "caption-looking-paragraph")
-    quote = report(rows.where("form = 'div_open' and before = 'quote'").where(F.col("line").rlike(r"^:{3,} *>")), "quote-fence-ends-the-quote-above")
-    return reduce(DataFrame.union, [lists, setext, definition, caption, quote])
+    return flagged(with_neighbours(classified), holding(FOLDED_RULES))
 
 
 def block_markers_as_text(block_rows: DataFrame) -> DataFrame:
@@ -168,19 +203,27 @@ def table_rules(block_rows: DataFrame) -> DataFrame:
     return arity.union(blocked.select("doc_id", (F.col("table_line") + F.col("row") - 1).alias("line"), F.lit("table-span-marker-blocked").alias("rule")))
 
 
-def width_rules(block_rows: DataFrame) -> DataFrame:
-    """Width attributes of a table: a total above 100 %, fewer values than columns, an axis set twice."""
+def with_block_neighbours(block_rows: DataFrame) -> DataFrame:
+    """Blocks plus the text of an attribute line right above and the line at which the next block starts."""
     w = Window.partitionBy("doc_id").orderBy("node_id")
-    rows = block_rows.withColumn("above", F.when(F.lag("type").over(w) == "attributes", F.lag("text").over(w))).where("type = 'table_row' and above is not null")
+    return block_rows.withColumns({"above": F.when(F.lag("type").over(w) == "attributes", F.lag("text").over(w)), "next_line": F.lead("start_line").over(w)})
+
+
+def width_hits() -> list[Column]:
     widths = F.regexp_extract_all(F.regexp_extract("above", r'widths="([^"]*)"', 1), F.lit("[0-9.]+"), F.lit(0))
-    total = F.aggregate(widths, F.lit(0.0), lambda a, x: a + x.cast("double"))
+    total = F.aggregate(widths, F.lit(0.0), lambda a, x: a + x.try_cast("double"))
     columns = F.size(B.split_cells(F.substring_index("text", "\n", 1)))
-    hits = F.array(
-        F.when(total > 100, "table-width-total"),
-        F.when((F.size(widths) > 0) & (F.size(widths) < columns), "table-column-arity"),
-        F.when(F.regexp_count("above", F.lit("widths=")) > 1, "table-column-overlap"),
-    )
-    return rows.select("doc_id", F.col("start_line").alias("line"), F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("rule"))
+    headed = F.expr("type = 'table_row' and above is not null")
+    return [
+        F.when(headed & (total > 100), "table-width-total"),
+        F.when(headed & (F.size(widths) > 0) & (F.size(widths) < columns), "table-column-arity"),
+        F.when(headed & (F.regexp_count("above", F.lit("widths=")) > 1), "table-column-overlap"),
+    ]
+
+
+def width_rules(block_rows: DataFrame) -> DataFrame:
+    """Width attributes of a table: a total above 100 %, fewer values than columns, an axis set twice."""
+    return flagged(with_block_neighbours(block_rows), width_hits(), "start_line")
 
 
 def delimited_rules(block_rows: DataFrame) -> DataFrame:
@@ -196,34 +239,33 @@ def delimited_rules(block_rows: DataFrame) -> DataFrame:
     return report(bad, "delimited-table-malformed", "start_line").union(wide.select("doc_id", (F.col("start_line") + F.col("record")).alias("line"), F.lit("delimited-table-wide-row").alias("rule")))
 
 
-def list_rules(classified: DataFrame) -> DataFrame:
-    """One sequence in two lists, markers between columns, bodies set apart, refused continuation marks."""
-    items = B.list_items(classified)
+def item_sequences(classified: DataFrame) -> DataFrame:
+    """One sequence in two lists and markers between columns."""
     w = Window.partitionBy("doc_id").orderBy("line_no")
-    rows = items.withColumn("last_value", F.lag("value").over(w)).withColumn("last_indent", F.lag("indent").over(w)).withColumn("last_style", F.lag("style").over(w))
-    split = report(rows.where("style = 'decimal' and last_style = 'decimal' and value = last_value + 1 and indent <> last_indent"), "ordered-list-split-by-indent")
-    below = report(rows.where("indent > 0 and indent < last_indent + 2 and indent > last_indent"), "list-marker-below-content-column")
-    lines = classified.withColumn("before", F.lag("form").over(w)).withColumn("next", F.lead("form").over(w))
-    plus = report(lines.where("form = 'continuation' and coalesce(next, 'blank') = 'blank'"), "refused-continuation-marker")
-    seen = F.last(F.when(F.col("form") != "blank", F.col("form")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    apart = lines.withColumn("seen", seen).where("form = 'text' and before = 'blank' and seen = 'list_item'").where(F.col("line").rlike("^ {1}\\S"))
-    over = lines.withColumn("seen", seen).where("before = 'list_item'").where(F.col("line").rlike(r"^ {5,}(?:[-*>]|#{1,6}) "))
-    return reduce(DataFrame.union, [split, below, plus, report(apart, "list-item-body-detached"), report(over, "list-item-block-overindented")])
+    rows = B.list_items(classified).withColumns({f"last_{c}": F.lag(c).over(w) for c in ("value", "indent", "style")})
+    hits = [
+        F.when(F.expr("style = 'decimal' and last_style = 'decimal' and value = last_value + 1 and indent <> last_indent"), "ordered-list-split-by-indent"),
+        F.when(F.expr("indent > 0 and indent < last_indent + 2 and indent > last_indent"), "list-marker-below-content-column"),
+    ]
+    return flagged(rows, hits)
+
+
+def list_rules(classified: DataFrame) -> DataFrame:
+    """Item sequences, bodies set apart, blocks too far in, continuation marks that attach nothing (alone or behind a marker)."""
+    return item_sequences(classified).union(flagged(with_neighbours(classified), holding(ITEM_RULES)))
 
 
 def description_rules(classified: DataFrame) -> DataFrame:
-    w = Window.partitionBy("doc_id").orderBy("line_no")
-    rows = classified.withColumn("before", F.lag("form").over(w))
-    folded = report(rows.where("form in ('heading', 'list_item', 'table_row') and before = 'term'"), "definition-term-block-folded")
-    low = report(rows.where("before = 'description'").where(F.col("line").rlike(r"^ \+$")), "description-separator-below-content-column")
-    return folded.union(low)
+    return flagged(with_neighbours(classified), holding(DESCRIPTION_RULES))
+
+
+def attribute_hits() -> list[Column]:
+    return [F.when(F.expr("type = 'attributes' and (next_line is null or next_line > end_line + 1)"), "unattached-block-attribute")]
 
 
 def unattached_attributes(block_rows: DataFrame) -> DataFrame:
     """Attribute lines that no block follows directly."""
-    w = Window.partitionBy("doc_id").orderBy("node_id")
-    rows = block_rows.withColumn("next_line", F.lead("start_line").over(w)).where("type = 'attributes'")
-    return report(rows.where("next_line is null or next_line > end_line + 1"), "unattached-block-attribute", "start_line")
+    return flagged(with_block_neighbours(block_rows), attribute_hits(), "start_line")
 
 
 def colon_widths(classified: DataFrame) -> DataFrame:
@@ -251,14 +293,16 @@ def label_spacing(definitions: DataFrame, raw: str = "raw") -> DataFrame:
 def lint(docs: DataFrame) -> DataFrame:
     """All rules that need no options, by document, line and rule.
 
-    Lines and blocks are written to the shared folder once, so that the passes read them and not the sources.
+    Lines and blocks are written to the shared folder once, so that the passes read them and not the sources. Rules on
+    a line and its neighbours share one pass over the lines, those on a block and its neighbours one over the blocks.
     """
     classified = materialize(B.classify(B.scan(docs)), "lines")
     rows = materialize(B.blocks(classified), "blocks")
     parts = [
-        line_rules(classified), heading_level_skip(classified), unclosed_fences(rows), container_rules(classified), figure_groups(classified), folded_markers(classified),
-        block_markers_as_text(rows), table_rules(rows), width_rules(rows), delimited_rules(rows), list_rules(classified), description_rules(classified),
-        unattached_attributes(rows), colon_widths(classified), version_rule(docs), target_rules(classified),
+        flagged(with_neighbours(classified), [*line_hits(), *holding({**FOLDED_RULES, **ITEM_RULES, **DESCRIPTION_RULES})]),
+        flagged(with_block_neighbours(rows), [*fence_hits(), *width_hits(), *attribute_hits()], "start_line"),
+        heading_level_skip(classified), container_rules(classified), figure_groups(classified), block_markers_as_text(rows), table_rules(rows),
+        delimited_rules(rows), item_sequences(classified), colon_widths(classified), version_rule(docs), target_rules(classified),
     ]
     definitions = B.definitions(classified)
     texts = classified.where("form in ('text', 'list_item', 'quote', 'heading')").select("doc_id", "line_no", F.col("line").alias("text"))

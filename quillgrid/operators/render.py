@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quillgrid.functions.text import ansi, col, escape_attribute, escape_html, safe_fence, slug
 from quillgrid.operators import blocks as B
 from quillgrid.operators.inlines import inline_html
+from quillgrid.operators.windows import LEVELS, last_of_levels
 
 TARGETS = ("html", "markdown", "plain", "ansi", "canonical")
 
@@ -192,12 +193,16 @@ def soft_breaks(text: Column, mode: str) -> Column:
 
 
 def sections_html(block_rows: DataFrame) -> DataFrame:
-    """HTML whose headings open ``<section id>`` by level: each heading closes the open sections of its level and below."""
+    """HTML whose headings open ``<section id>`` by level: each heading closes the open sections of its level and below.
+
+    A level is open where its last heading stands after the last one of every lower level.
+    """
     w = Window.partitionBy("doc_id").orderBy("node_id")
     level, title = heading_parts(F.col("text"))
     rows = block_rows.withColumn("out", block_text("html")).where("out is not null").withColumn("level", F.when(F.col("type") == "heading", level))
-    seen = F.filter(F.collect_list("level").over(w.rowsBetween(Window.unboundedPreceding, -1)), lambda x: x.isNotNull())
-    open_ = F.aggregate(seen, F.array().cast("array<int>"), lambda a, x: F.concat(F.filter(a, lambda y: y < x), F.array(x)))
+    last = last_of_levels("node_id", w.rowsBetween(Window.unboundedPreceding, -1))
+    under = [F.array_max(F.array(F.lit(-1), *last[:k])) for k in range(len(last))]  # the last heading of a lower level
+    open_ = F.array_compact(F.array(*[F.when(x > u, F.lit(k)) for k, x, u in zip(LEVELS, last, under, strict=True)]))
     rows = rows.withColumn("open", open_)
     closing = F.repeat(F.lit("</section>\n"), F.size(F.filter("open", lambda y: y >= F.col("level"))))
     opened = F.concat(closing, F.lit('<section id="'), escape_attribute(slug(title)), F.lit('">\n'), "out")

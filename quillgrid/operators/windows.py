@@ -8,38 +8,44 @@ from pyspark.sql import functions as F
 from quillgrid.functions.text import alpha_label
 
 UP = (Window.unboundedPreceding, -1)
-DOWN = (1, Window.unboundedFollowing)
+#: Heading levels.
+LEVELS = range(1, 7)
 
 
 def doc_order(*keys: str) -> Window:
     return Window.partitionBy("doc_id").orderBy(*(keys or ("node_id",)))
 
 
+def last_of_levels(value: Column | str, w: Window, level: str = "level") -> list[Column]:
+    """For each heading level, the value of its last row in the frame: a conditional ``last``, so a row carries seven values at most."""
+    return [F.last(F.when(F.col(level) == k, F.col(value) if isinstance(value, str) else value), ignorenulls=True).over(w) for k in LEVELS]
+
+
 def sections(headings: DataFrame, order: str = "line_no") -> DataFrame:
-    """headings plus parent (order of the last heading above with a lower level) and next (order of the heading that ends the section)."""
-    w = doc_order(order)
-    entry = F.struct(F.col(order).alias("at"), "level")
-    before, after = F.collect_list(entry).over(w.rowsBetween(*UP)), F.collect_list(entry).over(w.rowsBetween(*DOWN))
-    return headings.withColumn("parent", F.try_element_at(F.filter(before, lambda x: x["level"] < F.col("level")), F.lit(-1))["at"]).withColumn(
-        "next", F.try_element_at(F.filter(after, lambda x: x["level"] <= F.col("level")), F.lit(1))["at"]
-    )
+    """headings plus parent (order of the last heading above with a lower level) and next (order of the heading that ends the section).
+
+    The last heading of each level, upward and downward, decides both: the work is linear in the headings.
+    """
+    up = doc_order(order).rowsBetween(*UP)
+    down = Window.partitionBy("doc_id").orderBy(F.col(order).desc()).rowsBetween(*UP)
+    own = F.col("level")
+    above = F.array(*[F.when(own > k, x) for k, x in zip(LEVELS, last_of_levels(order, up), strict=True)])
+    below = F.array(*[F.when(own >= k, x) for k, x in zip(LEVELS, last_of_levels(order, down), strict=True)])
+    return headings.withColumn("parent", F.array_max(above)).withColumn("next", F.array_min(below))
 
 
 def heading_numbers(headings: DataFrame, least: int = 1, order: str = "line_no") -> DataFrame:
-    """headings plus number (1, 1.1, ...): a level above the open ones pops them, an equal one counts on, a deeper one starts at 1."""
+    """headings plus number (1, 1.1, ...): a level above the open ones pops them, an equal one counts on, a deeper one starts at 1.
+
+    A level's figure is its running count less the count that stood at the last heading of a lower level.
+    """
+    w = doc_order(order).rowsBetween(Window.unboundedPreceding, 0)
     rows = headings.where(F.col("level") >= least)
-    seen = F.collect_list(F.struct(F.col(order).alias("at"), "level")).over(doc_order(order).rowsBetween(Window.unboundedPreceding, 0))
-    entry = "array<struct<level: int, n: int>>"
-
-    def step(stack: Column, x: Column) -> Column:
-        open_ = F.filter(stack, lambda s: s["level"] <= x["level"])
-        last = F.try_element_at(open_, F.lit(-1))
-        fresh = F.array(F.struct(x["level"].cast("int").alias("level"), F.lit(1).alias("n")))
-        counted = F.array(F.struct(last["level"].alias("level"), (last["n"] + 1).cast("int").alias("n")))
-        return F.when(last["level"] == x["level"], F.concat(F.slice(open_, F.lit(1), F.size(open_) - 1), counted)).otherwise(F.concat(open_, fresh))
-
-    number = F.aggregate(seen, F.array().cast(entry), step, lambda s: F.array_join(F.transform(s, lambda x: x["n"].cast("string")), "."))
-    return rows.withColumn("number", number)
+    counted = rows.withColumn("counts", F.array(*[F.sum((F.col("level") == k).cast("int")).over(w) for k in LEVELS]))
+    since = lambda k: F.coalesce(F.last(F.when(F.col("level") < k, F.get("counts", F.lit(k - 1))), ignorenulls=True).over(w), F.lit(0))
+    figures = counted.withColumn("figures", F.array(*[F.when(F.col("level") >= k, F.get("counts", F.lit(k - 1)) - since(k)) for k in LEVELS]))
+    number = F.array_join(F.transform(F.filter("figures", lambda n: n > 0), lambda n: n.cast("string")), ".")
+    return figures.withColumn("number", number).drop("counts", "figures")
 
 
 def unique_ids(headings: DataFrame, base: str = "slug", order: str = "line_no", reserved: DataFrame | None = None) -> DataFrame:

@@ -162,6 +162,13 @@ def v13_v46_v47_v54_v59_lists(spark, sf):
     return found(docs, L.list_rules).select("doc_id", F.col("line").cast("long"), "rule")
 
 
+@query("SELECT n_nationkey::BIGINT AS doc_id, CASE n_nationkey % 4 WHEN 0 THEN 1 ELSE 3 END::BIGINT AS line, 'continuation-marker-refused' AS rule FROM nation WHERE n_nationkey % 4 < 2")
+def v13_markers_behind_markers(spark, sf):
+    """A mark behind an item's own marker that a blank line or the end follows; one with a block after it, or in code, is none."""
+    docs = markup(spark, sf, "nation", "n_nationkey", "concat(case n_nationkey % 4 when 0 then '- +\n\n' when 1 then '> q\n\n> 1. +' when 2 then '- +\n' else '```\n- +\n\n```\n' end, if(n_nationkey % 4 = 1, '', n_name))")
+    return found(docs, L.list_rules).where("rule = 'continuation-marker-refused'").select("doc_id", F.col("line").cast("long"), "rule")
+
+
 @query("SELECT n_nationkey::BIGINT AS doc_id, 'unattached-block-attribute' AS rule FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT n_nationkey, 'definition-term-block-folded' FROM nation")
 def v14_v73_attributes_and_terms(spark, sf):
     docs = markup(spark, sf, "nation", "n_nationkey", "concat('{.a}\n', if(n_nationkey % 2 = 0, '\n', ''), n_name, '\n\n:: t\n# h')")

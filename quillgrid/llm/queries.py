@@ -9,14 +9,17 @@ import corpus_pipeline
 from quillgrid.llm.common import table
 from quillgrid.llm.decontamination import decontaminate
 from quillgrid.llm.embedding_dedup import VECTOR_SQL, embedding_components
+from quillgrid.llm.fill_middle import MIDDLE_SQL, fill_in_middle, restore_middle
 from quillgrid.llm.language_id import fit_language_model, identify_languages
 from quillgrid.llm.licenses import license_sql, scan_licenses
 from quillgrid.llm.mixing import MIX_SQL, mix_sources
+from quillgrid.llm.nearest import nearest_neighbours
 from quillgrid.llm.quality import score_quality
 from quillgrid.llm.secrets import scan_secrets
 from quillgrid.llm.simhash import simhash_components
 from quillgrid.llm.substring_dedup import REPEATS_SQL, remove_repeats
 from quillgrid.llm.token_counts import count_tokens
+from quillgrid.llm.whitening import whiten
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,9 +85,29 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = restore_middle(fill_in_middle(table(spark, sf_dir, "documents")))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+def op12_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return nearest_neighbours(rows, rows.where(F.pmod("vec_id", F.lit(20)) == 0))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_licenses, op3_token_counts, op4_decontamination, op5_substring_dedup, op6_secrets, op7_embedding_dedup, op8_mixing, op9_simhash, op10_language_id, pipeline)}
-ORACLES: dict[str, str] = {"op2_licenses": license_sql(), "op5_substring_dedup": REPEATS_SQL, "op7_embedding_dedup": VECTOR_SQL, "op8_mixing": MIX_SQL.format(docs="documents")}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality, op2_licenses, op3_token_counts, op4_decontamination, op5_substring_dedup, op6_secrets, op7_embedding_dedup,
+        op8_mixing, op9_simhash, op10_language_id, op11_fill_in_middle, op12_nearest, op13_whitening, pipeline,
+    )
+}
+ORACLES: dict[str, str] = {"op2_licenses": license_sql(), "op5_substring_dedup": REPEATS_SQL, "op7_embedding_dedup": VECTOR_SQL, "op8_mixing": MIX_SQL.format(docs="documents"), "op11_fill_in_middle": MIDDLE_SQL}

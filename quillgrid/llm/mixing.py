@@ -1,7 +1,7 @@
 """Mixing sources to target weights, with DataFrame operations alone.
 
-Every document gets a hash-random key; documents are laid out by ranges of the key within their source,
-range totals give each range its offset, and a running sum inside the range gives each document its place
+Every document gets a hash-random key; documents are laid out by ranges of the key's high bits within their
+source, so that their order is the key's own at any number of ranges; range totals give each range its offset, and a running sum inside the range gives each document its place
 in the source's random order. A source's budget is cut at exactly its last word: whole repeats of the
 source first, then the documents that begin before the rest of the budget ends.
 """
@@ -49,8 +49,8 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repea
     turn and share the sum of all sizes; a target stops at max_repeats times its source's size and the
     excess goes to the others. taken: words the mix takes of this row, repeats counted; per source they
     sum to the whole part of its target. Each of a source's key ranges is one task's work: there are ``ranges``
-    of them, more where they would hold over range_rows rows (a power of two, at most 2^28). The order depends on doc_id and seed alone
-    (null ids: on the text), so reruns agree. Repeated rows count each; an empty table gives no rows.
+    of them, more where they would hold over range_rows rows (at most 2^28). The order depends on doc_id and seed alone
+    (null ids: on the text), not on the ranges, so reruns agree. Repeated rows count each; an empty table gives no rows.
     """
     doc_id, source = F.col("doc_id"), F.col("source")
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.md5("text"), F.lit(""))))
@@ -62,7 +62,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repea
             F.coalesce(F.concat(F.lit("s"), source), F.lit("")).alias("src"),
             F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
             key.alias("key"),
-        ).withColumn("range", F.pmod(F.conv(F.substring("key", 1, 7), 16, 10).cast("int"), ranges)),
+        ).withColumn("range", F.floor(F.conv(F.substring("key", 1, 7), 16, 10).cast("long") * ranges / 2**28).cast("int")),
         "mix",
     )
     totals = sized.groupBy("src", "range").agg(F.sum("size").alias("range_size"), F.first("source").alias("source"))
@@ -104,7 +104,7 @@ p AS (
   SELECT d.doc_id, d.source, d.size, t.source_size, t.target,
          CASE WHEN t.source_size > 0 THEN FLOOR(FLOOR(t.target) / t.source_size)::BIGINT ELSE 0 END AS repeats,
          COALESCE(SUM(d.size) OVER (PARTITION BY d.source
-           ORDER BY (('0x' || SUBSTR(d.key, 1, 7))::BIGINT % 1024), d.key, d.size
+           ORDER BY d.key, d.size
            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, source, size, source_size, target,

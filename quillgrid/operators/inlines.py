@@ -21,7 +21,7 @@ def bare(delimiter: str) -> str:
 
 def forced(delimiter: str) -> str:
     d = f"\\{delimiter}"
-    return rf"\{{{d}(.+?){d}\}}"
+    return rf"(?<!\\)\{{{d}(.+?)(?<!\\){d}\}}"
 
 
 #: Patterns of one construct each, and the groups that matter.

@@ -1,197 +1,41 @@
-"""Blocks with parents: lists, quotes and containers hold blocks, level by level, and render nested in every target.
+"""Nested blocks in five targets: rows of ``frames.nested`` rendered by one sort of opening and closing pieces by path.
 
-One level is one pass of ``scan`` and ``classify``: the lines of a source are dealt to the blocks of that level by
-windows over the document. What a quote, an item or a container holds, freed of its markers, is a source of the
-next level. The number of passes follows from the deepest nesting, not from the data; each pass is written to the
-shared folder. Rendering is one sort of opening and closing pieces by path.
+The HTML here is that of a fragment, with nothing resolved; ``convert`` writes whole pages.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgrid.functions.text import attributes, escape_attribute, escape_html
 from quillgrid.operators import blocks as B
+from quillgrid.operators.frames import HIDDEN, nested
 from quillgrid.operators.inlines import inline_html
 from quillgrid.operators.render import block_text, line_block_html
-from quillgrid.sources.shared import materialize
-
-HOLDERS = ("quote", "list_item", "container")
-#: Forms that no target but the canonical one shows where they stand.
-HIDDEN = ("comment", "comment_block", "attributes", "footnote", "link_definition", "abbreviation", "citation", "caption")
-#: What ends an open paragraph, behind any quote and item markers: no lazy line follows it.
-CLOSED = r"^[ >]*(?:(?:[-*]|\d+[.)]) +)*(?:#{1,6} |\||`{3}|~{3}|:{3}|-{3})"
-#: A closing line with nothing to close is text.
-STRAY = r"^:{3,}[ \t]*$"
-ITEM = r"^ *(?:[-*]|[0-9A-Za-z]*[.)]) +"
-TASK = r"^\[([ xX_/!>?-])\] "
-CHAIN = "array<struct<kind: string, marker: string, name: string, fresh: boolean, shown: boolean>>"
-LAST = 2**31 - 1
-
-
-def owned_lines(docs: DataFrame) -> DataFrame:
-    """Line rows with form and node_id: the block of this level that owns the line (0: leading blank lines)."""
-    order = Window.partitionBy("doc_id").orderBy("line_no")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    step = F.when(F.col("form") == "div_open", 1).when(F.col("form") == "div_close", -1).otherwise(0)
-    rows = B.classify(B.scan(docs)).withColumn("sum", F.sum(step).over(order))
-    rows = rows.withColumn("depth", F.col("sum") - F.least(F.lit(0), F.min("sum").over(order)))
-    above = F.coalesce(F.lag("depth").over(order), F.lit(0))
-    rows = rows.withColumn("boxed", (F.col("depth") > 0) | (above > 0)).withColumn("opens_box", (F.col("form") == "div_open") & (above == 0))
-    rows = rows.withColumn("form", F.when(F.col("boxed"), "container").when(F.col("form") == "div_close", "text").otherwise(F.col("form")))
 
-    form, line = F.col("form"), F.col("line")
-    previous, following = F.lag("form").over(order), F.lead("form").over(order)
-    marked = F.last(F.when(form != "text", form), ignorenulls=True).over(before)
-    host = F.last(F.when(~form.isin("text", "blank"), form).when((form == "text") & ~line.startswith(" ") & (previous == "blank"), form), ignorenulls=True).over(before)
-    attaches = (form == "continuation") & (previous != "blank") & (following != "blank") & (host == "list_item")
-    rows = rows.withColumns({"indent": F.length(F.regexp_extract("line", "^ *", 0)), "attaches": F.coalesce(attaches, F.lit(False))})
-    attached = F.lag("attaches").over(order)
-    lazy = (form == "text") & previous.isin("text", "list_item", "quote", "description") & (~F.lag("line").over(order).rlike(CLOSED) | ((previous == "text") & F.lag("line").over(order).rlike(STRAY)))
-    quoted = (form == "quote") & ((previous == "quote") | ((previous == "text") & (marked == "quote")))
-    tabled = form.isin("table_row", "row_continuation") & previous.isin("table_row", "row_continuation")
-    described = form.isin("term", "description") & previous.isin("term", "description")
-    joins = F.col("attaches") | F.coalesce(attached, F.lit(False)) | F.coalesce(lazy | quoted | tabled | described, F.lit(False))
-    rows = rows.withColumn("joins", joins)
-
-    fenced = F.col("fence").isNotNull()
-    starts = F.when(F.col("boxed"), F.col("opens_box")).when(fenced, (F.col("line_no") - 1 == F.col("fence.first")) & ~F.col("joins")).when(form == "blank", F.lit(False))
-    rows = rows.withColumn("run", F.sum(starts.otherwise((F.col("indent") == 0) & ~F.col("joins")).cast("int")).over(order))
-    column = F.length(F.regexp_extract("line", ITEM, 0))
-    first = F.first(F.when((form == "list_item") & ~F.col("boxed"), column), ignorenulls=True).over(Window.partitionBy("doc_id", "run").orderBy("line_no"))
-    rows = rows.withColumn("column", first)
-    at_column = F.coalesce(F.col("indent") >= F.col("column"), F.lit(False))
-    return rows.withColumn("node_id", F.sum(starts.otherwise(~F.col("joins") & ((F.col("indent") == 0) | ~at_column)).cast("int")).over(order).cast("int"))
-
-
-def level(docs: DataFrame) -> DataFrame:
-    """Block rows of one level with inner, the source that a holder's blocks are read from."""
-    owned = owned_lines(docs)
-    kept = F.col("fence").isNotNull() & (F.col("line_no") - 1 > F.col("fence.first")) & ((F.col("line_no") - 1 < F.col("fence.last")) | ~F.col("fence.closed"))
-    nodes = owned.where("node_id > 0").groupBy("doc_id", "node_id").agg(
-        F.min_by("form", "line_no").alias("type"),
-        F.min("line_no").alias("start_line"),
-        F.max(F.when(F.col("form") != "blank", F.col("line_no"))).alias("end_line"),
-        F.sort_array(F.collect_list(F.struct("line_no", "line", F.coalesce(kept, F.lit(False)).alias("kept"), (F.col("form") == "blank").alias("blank")))).alias("rows"),
-        F.min_by("fence", "line_no").alias("fence"),
-        F.max_by("depth", "line_no").alias("left_open"),
-    )
-    fence = F.when(F.col("type").isin("code", "raw", "comment_block"), F.col("fence"))
-    nodes = nodes.withColumn("fence", fence).withColumn("type", F.when(F.col("type") == "text", "paragraph").when(F.col("type") == "description", "term").otherwise(F.col("type")))
-    chosen = F.filter("rows", lambda r: F.col("fence").isNull() | r["kept"])
-    joined = F.array_join(F.transform(chosen, lambda r: r["line"]), "\n")
-    nodes = nodes.withColumn("text", F.when(F.col("fence").isNull(), F.regexp_replace(joined, r"\s+\z", "")).otherwise(joined))
+__all__ = ["nested", "render_nested"]
 
-    lines, text = F.split("text", "\n"), F.col("text")
-    head = F.get(lines, F.lit(0))
-    lead = F.regexp_extract(head, ITEM, 0)
-    marker = F.regexp_extract(head, r"^ *([-*]|[0-9A-Za-z]*[.)])", 1)
-    body = F.substring(head, F.length(lead) + 1, F.length(head))
-    cut = lambda x: F.substring(x, F.least(F.length(lead), F.length(F.regexp_extract(x, "^ *", 0))) + 1, F.length(x))
-    rest = F.transform(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: F.when(x.rlike(r"^\+[ \t]*$"), "").otherwise(cut(x)))
-    item = F.array_join(F.concat(F.array(F.regexp_replace(body, TASK, "")), rest), "\n")
-    closed = F.size(lines) - F.when(F.col("left_open") > 0, 1).otherwise(2)
-    boxed = F.array_join(F.slice(lines, F.lit(2), F.greatest(closed, F.lit(0))), "\n")
-    info = F.regexp_extract(head, r"^:+[ \t]*(.*)$", 1)
-    name = F.when(F.col("type") == "container", F.regexp_extract(info, r"^([^\s\"\[{]+)", 1))
-    inner = F.when(F.col("type") == "quote", F.regexp_replace(text, "(?m)^> ?", "")).when(F.col("type") == "list_item", item).when((F.col("type") == "container") & (name != "|"), boxed)
-    letters = F.regexp_extract(marker, "^([0-9A-Za-z]*)", 1)
-    style = F.when(marker.isin("-", "*"), marker).otherwise(F.concat(F.when(letters.rlike("^[0-9]*$"), "1").when(letters.rlike("^[ivxlcdm]+$"), "i").when(letters.rlike("^[IVXLCDM]+$"), "I").when(letters.rlike("^[a-z]$"), "a").otherwise("A"), F.substring(marker, -1, 1)))
-    w = Window.partitionBy("doc_id").orderBy("node_id")
-    listed = F.col("type") == "list_item"
-    nodes = nodes.withColumns(
-        {
-            "inner": inner,
-            "text": F.when((F.col("type") == "container") & (name == "|"), boxed).when(F.col("type") == "container", head).otherwise(text),
-            "name": name,
-            "title": F.when(F.col("type") == "container", F.regexp_extract(info, r'"([^"]*)"', 1)),
-            "marker": F.when(listed, marker),
-            "style": F.when(listed, style),
-            "task": F.when(listed & body.rlike(TASK), F.regexp_extract(body, TASK, 1)),
-            "gap": F.element_at("rows", -1)["blank"],
-        }
-    )
-    # A letter that could be a Roman numeral goes on with the letters before it.
-    earlier = F.lag("style").over(w)
-    lettered = (F.length("marker") == 2) & F.col("style").rlike("^[iI]") & (earlier == F.translate("style", "iI", "aA"))
-    nodes = nodes.withColumn("style", F.when(F.coalesce(lettered, F.lit(False)), F.translate("style", "iI", "aA")).otherwise(F.col("style")))
-    begins = listed & ~F.coalesce(earlier == F.col("style"), F.lit(False))
-    nodes = nodes.withColumn("list_no", F.when(listed, F.sum(begins.cast("int")).over(w)))
-    of_list = Window.partitionBy("doc_id", "list_no")
-    same_next = F.coalesce(F.lead("list_no").over(w) == F.col("list_no"), F.lit(False))
-    parted = (F.col("gap") & same_next) | F.col("inner").rlike(r"\n[ \t]*\n(?![-*>#|:`~ ]|\d+[.)] )\S")
-    shown = (~F.col("type").isin(*HIDDEN)).cast("int")
-    return nodes.withColumns(
-        {
-            "first_item": begins,
-            "last_item": listed & ~same_next,
-            "tight": F.when(listed, ~F.max(parted).over(of_list)),
-            "caption": F.when(F.lead("type").over(w) == "caption", F.regexp_replace(F.lead("text").over(w), r"^\^ +", "")),
-            "attributes": F.when(F.lag("type").over(w) == "attributes", F.lag("text").over(w)),
-            "after": F.last(F.when(shown == 1, F.col("type")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)),
-            "nth": F.row_number().over(w),
-            "nth_shown": F.sum(shown).over(w) + 1 - shown,
-        }
-    ).drop("rows", "gap", "left_open")
-
-
-def nested(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, source) -> block rows of all levels.
-
-    path holds the node ids from the outermost block to the row, so a row's parent is its path without the last
-    entry; depth is its length; chain has the holders around it. Lists: first_item, last_item, marker, task and
-    tight (no blank line parts the items or their paragraphs). A null or empty source has no blocks. Blocks below
-    MAX_DEPTH holders are not read: the innermost holder's text stands as a paragraph. doc_id is a key.
-    """
-    key = F.struct(F.col("doc_id").alias("id"), F.array().cast("array<int>").alias("path"), F.array().cast(CHAIN).alias("chain"), F.lit(False).alias("tight"))
-    todo = docs.select(key.alias("doc_id"), F.coalesce("source", F.lit("")).alias("source"))
-    levels = []
-    while True:
-        chain = F.transform("doc_id.chain", lambda x: x.withField("fresh", x["fresh"] & (F.col("nth") == 1)).withField("shown", x["shown"] & (F.col("nth_shown") == 1)))
-        rows = level(todo).withColumn("chain", chain)
-        deepest = len(levels) + 1 > B.MAX_DEPTH
-        if deepest:
-            rows = rows.withColumn("type", F.when(F.col("type").isin(*HOLDERS), "paragraph").otherwise(F.col("type"))).withColumn("inner", F.lit(None).cast("string"))
-        levels.append(materialize(rows, f"nesting-{len(levels) + 1}"))
-        held = levels[-1].where("inner is not null")
-        if deepest or held.isEmpty():
-            break
-        marker = F.concat(F.coalesce("marker", F.lit("")), F.when(F.col("marker").isNotNull(), " ").otherwise(""), F.when(F.col("task").isNotNull(), F.concat(F.lit("["), "task", F.lit("] "))).otherwise(""))
-        link = F.struct(F.col("type").alias("kind"), marker.alias("marker"), F.coalesce("name", F.lit("")).alias("name"), F.lit(True).alias("fresh"), F.lit(True).alias("shown"))
-        key = F.struct(F.col("doc_id.id").alias("id"), F.concat("doc_id.path", F.array("node_id")).alias("path"), F.concat("chain", F.array(link)).alias("chain"), F.coalesce("tight", F.lit(False)).alias("tight"))
-        todo = held.select(key.alias("doc_id"), F.col("inner").alias("source"))
-    rows = reduce(DataFrame.unionByName, levels)
-    path = F.concat("doc_id.path", F.array("node_id"))
-    return rows.select(
-        F.col("doc_id.id").alias("doc_id"), path.alias("path"), F.size(path).alias("depth"), "type", "text", "fence", "name", "title", "marker", "style", "task", "first_item", "last_item",
-        F.coalesce("tight", F.lit(False)).alias("tight"), F.col("doc_id.tight").alias("in_tight"), "caption", "attributes", "chain", "after", "nth", "nth_shown", F.col("inner").isNotNull().alias("holds"),
-    )
+LAST = 2**31 - 1
 
 
 def prefix(target: str, first: bool) -> Column:
     """What stands before a row's first line, or before its others, for the holders around it."""
     quote = {"plain": "", "ansi": "│ "}.get(target, "> ")
-    told = "fresh" if target == "canonical" else "shown"
+    canonical = target == "canonical"
+    told = "fresh" if canonical else "shown"
 
     def of(x: Column) -> Column:
         mark = F.regexp_replace(x["marker"], r"^[-*] ", "• ") if target == "ansi" else F.regexp_replace(x["marker"], r"^\* ", "- ") if target != "canonical" else x["marker"]
         bare = F.regexp_replace(mark, r"\[[^\]]\] $", "")
         blank = F.repeat(F.lit(" "), F.length(bare))
         item = F.when(x[told], mark).otherwise(blank) if first else blank
-        return F.when((x["kind"] == "quote") | ((x["kind"] == "container") & (x["name"] == ">") & F.lit(target != "canonical")), quote).when(x["kind"] == "list_item", item).otherwise("")
+        body = F.when(F.lit(not canonical), "").when(x["fresh"] & F.lit(first), x["marker"]).otherwise(F.repeat(F.lit(" "), F.lit(2)))
+        return F.when(x["kind"].isin("description", "footnote"), body).when((x["kind"] == "quote") | ((x["kind"] == "container") & (x["name"] == ">") & F.lit(target != "canonical")), quote).when(x["kind"] == "list_item", item).otherwise("")
 
     return F.array_join(F.transform("chain", of), "")
 
 
-def descriptions_html(text: Column) -> Column:
-    line = lambda x: F.when(x.rlike("^:: +"), F.concat(F.lit("<dt>"), inline_html(F.regexp_replace(x, "^:: +", "")), F.lit("</dt>"))).otherwise(F.concat(F.lit("<dd>"), inline_html(F.regexp_replace(x, "^: +", "")), F.lit("</dd>")))
-    whole = F.split(F.regexp_replace(text, r"\n(?!::? )", " "), "\n")
-    return F.concat(F.lit("<dl>\n"), F.array_join(F.transform(whole, line), "\n"), F.lit("\n</dl>"))
-
-
 def html_pieces() -> tuple[Column, Column]:
     """Opening and closing piece of a row; a leaf has an opening piece alone."""
     t, name = F.col("type"), F.col("name")
@@ -207,12 +51,12 @@ def html_pieces() -> tuple[Column, Column]:
     item = F.concat(F.when(F.col("first_item"), opener).otherwise(""), F.lit("<li"), F.coalesce(box, F.lit(">")))
     a = attributes(F.coalesce("attributes", F.lit("")))
     own = F.concat(F.when(a["id"] != "", F.concat(F.lit(' id="'), escape_attribute(a["id"]), F.lit('"'))).otherwise(""), F.when(F.size(a["classes"]) > 0, F.concat(F.lit(' class="'), escape_attribute(F.array_join(a["classes"], " ")), F.lit('"'))).otherwise(""))
-    leaf = F.when((t == "paragraph") & F.col("in_tight"), inline_html("text")).when(t == "container", line_block_html(F.col("text"))).when(t == "term", descriptions_html(F.col("text"))).otherwise(block_text("html"))
+    leaf = F.when((t == "paragraph") & F.col("in_tight"), inline_html("text")).when(t == "container", line_block_html(F.col("text"))).when(t == "term", F.concat(F.when(F.col("first_item"), "<dl>\n").otherwise(""), F.lit("<dt>"), inline_html("text"), F.lit("</dt>"), F.when(F.col("last_item"), "\n</dl>").otherwise(""))).otherwise(block_text("html"))
     leaf = F.when(F.col("attributes").isNotNull(), F.regexp_replace(leaf, "^(<[a-z]+[0-9]?)", F.concat(F.lit("$1"), F.regexp_replace(own, r"([\\$])", r"\\$1")))).otherwise(leaf)
     leaf = F.when(F.col("caption").isNotNull(), F.concat(F.lit("<figure>\n"), leaf, F.lit("\n<figcaption>"), inline_html("caption"), F.lit("</figcaption>\n</figure>"))).otherwise(leaf)
-    opening = F.when((t == "quote") & F.col("holds"), "<blockquote>").when(t == "list_item", item).when(F.col("holds"), F.concat(F.lit("<"), tag, cls, label)).otherwise(leaf)
+    opening = F.when((t == "quote") & F.col("holds"), "<blockquote>").when(t == "list_item", item).when(t == "description", F.concat(F.when(F.col("first_item"), "<dl>\n").otherwise(""), F.lit("<dd>"))).when(F.col("holds"), F.concat(F.lit("<"), tag, cls, label)).otherwise(leaf)
     ends = F.concat(F.lit("\n</li>"), F.when(F.col("last_item"), F.when(numbered, "\n</ol>").otherwise("\n</ul>")).otherwise(""))
-    closing = F.when(F.col("holds"), F.when(t == "quote", "\n</blockquote>").when(t == "list_item", ends).otherwise(F.concat(F.lit("\n</"), tag, F.lit(">"))))
+    closing = F.when(F.col("holds"), F.when(t == "quote", "\n</blockquote>").when(t == "list_item", ends).when(t == "description", F.concat(F.lit("\n</dd>"), F.when(F.col("last_item"), "\n</dl>").otherwise(""))).otherwise(F.concat(F.lit("\n</"), tag, F.lit(">"))))
     return opening, closing
 
 
@@ -221,7 +65,7 @@ def text_pieces(target: str) -> tuple[Column, Column]:
     canonical = target == "canonical"
     first, others = prefix(target, True), prefix(target, False)
     t, boxed = F.col("type"), F.col("type") == "container"
-    term = F.col("text") if canonical else F.regexp_replace("text", r"(?m)^::? +", "")
+    term = F.concat(F.lit(":: "), "text") if canonical else F.col("text")
     verse = F.concat(F.lit("::: |\n"), "text") if canonical else F.col("text")
     leaf = F.when(t == "term", term).when(boxed, verse).otherwise(block_text(target))
     # A holder has no lines of its own, but for a container's opening line in canonical text.
@@ -232,8 +76,9 @@ def text_pieces(target: str) -> tuple[Column, Column]:
     below = F.when(F.lit(canonical) & (parent["kind"] == "container"), "\n").otherwise("")
     joined = F.lit(canonical) & ((t == "caption") | F.col("attributes").isNotNull())
     # Neighbours of these types would be read as one without a blank line.
-    merges = F.coalesce((F.col("after") == t) & t.isin("quote", "table_row", "term"), F.lit(False))
-    close_up = joined | (F.col("in_tight") & ~merges) | ((t == "list_item") & F.col("tight") & ~F.coalesce("first_item", F.lit(False)))
+    merges = F.coalesce((F.col("after") == t) & t.isin("quote", "table_row"), F.lit(False))
+    defined = t.isin("term", "description") & ~F.col("first_item")
+    close_up = joined | defined | (F.col("in_tight") & ~merges) | ((t == "list_item") & F.col("tight") & ~F.coalesce("first_item", F.lit(False)))
     gap = F.when(F.col("nth" if canonical else "nth_shown") == 1, below).when(close_up, "\n").otherwise(F.concat(F.lit("\n"), F.rtrim(others), F.lit("\n")))
     closing = F.when(boxed & F.lit(canonical), F.concat(F.lit("\n"), others, F.when(F.col("holds"), F.regexp_extract("text", "^:+", 0)).otherwise(":::")))
     return F.when(F.col("holds"), F.concat(gap, F.coalesce(lined, F.lit("")))).otherwise(F.concat(gap, lined)), closing
@@ -248,7 +93,9 @@ def render_nested(rows: DataFrame, target: str = "html") -> DataFrame:
     else:
         opening, closing = text_pieces(target)
     pieces = rows.withColumns({"opening": opening, "closing": closing}).where("opening is not null")
-    glue = F.when(flush, 1).when(F.col("type") == "list_item", 2).otherwise(0)
+    if target != "canonical":  # notes stand where they are referred to, not where they are written
+        pieces = pieces.where((F.col("type") != "footnote") & ~F.exists("chain", lambda x: x["kind"] == "footnote"))
+    glue = F.when(flush, 1).when(F.col("type").isin("list_item", "description"), 2).otherwise(0)
     parts = F.array(
         F.struct(F.col("path").alias("at"), F.col("opening").alias("out"), F.when(glue == 1, 1).otherwise(0).alias("glue")),
         F.struct(F.concat("path", F.array(F.lit(LAST))).alias("at"), F.col("closing").alias("out"), F.when(glue == 2, 2).otherwise(0).alias("glue")),

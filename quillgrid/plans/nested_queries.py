@@ -11,7 +11,7 @@ from quillgrid.plans.render_queries import sql_text
 #: Shapes by p_partkey % 6; {n} and {t} stand for p_name and p_type.
 SHAPES = (
     ("- {n}\n  - {t}\n    - c\n  - [x] d\n- e",
-     '<ul>\n<li>{n}\n<ul>\n<li>{t}\n<ul>\n<li>c</li>\n</ul>\n</li>\n<li data-task-state="x"><input type="checkbox" checked disabled>d</li>\n</ul>\n</li>\n<li>e</li>\n</ul>',
+     '<ul>\n<li>{n}\n<ul>\n<li>{t}\n<ul>\n<li>c</li>\n</ul>\n</li>\n</ul>\n<ul>\n<li data-task-state="x"><input type="checkbox" checked disabled>d</li>\n</ul>\n</li>\n<li>e</li>\n</ul>',
      "- {n}\n  - {t}\n    - c\n  - [x] d\n- e"),
     ("> > {n}\n>\n> - x\n>\n>   {t}\n> - z\n\ntail",
      "<blockquote>\n<blockquote>\n<p>{n}</p>\n</blockquote>\n<ul>\n<li>\n<p>x</p>\n<p>{t}</p>\n</li>\n<li>\n<p>z</p>\n</li>\n</ul>\n</blockquote>\n<p>tail</p>",
@@ -80,7 +80,7 @@ def r23_s20_nested_markdown(spark, sf):
 
 
 #: Blocks by depth (from 1) of each shape, counted by hand.
-DEPTHS = ((2, 4, 3, 1), (2, 3, 4), (2, 2, 1, 1), (3, 4, 1), (6, 1, 1), (3,))
+DEPTHS = ((2, 4, 3, 1), (2, 3, 4), (2, 2, 1, 1), (3, 4, 1), (7, 3, 1), (3,))
 
 
 @query(f"""SELECT p_partkey AS doc_id, d::INTEGER AS depth, n::BIGINT AS n FROM part

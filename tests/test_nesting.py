@@ -57,7 +57,7 @@ def test_edge_cases(spark):
     got = {r.doc_id: r.text for r in N.render_nested(N.nested(docs)).collect()}
     assert set(got) == {4, 5, 6, 7, 8, 9, 10}
     assert got[4] == "<blockquote>\n" * 12 + "<p>x</p>" + "\n</blockquote>" * 12
-    assert got[5] == "<p>:::\nstray</p>"
+    assert got[5] == "<div>\n<p>stray</p>\n</div>"
     assert got[6] == '<div class="box">\n<p>open</p>\n</div>'
     assert got[7].startswith("<ul>\n<li>a</li>\n</ul>\n<p>para")
     assert got[8] == "<pre><code>::: box\n- a</code></pre>"

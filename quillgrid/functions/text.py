@@ -99,6 +99,19 @@ def label_key(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(col(c), " +", " "))
 
 
+#: Schemes that run scripts or hand their text to a program of the system; no target shows them.
+UNSAFE_SCHEMES = (
+    "javascript", "vbscript", "data", "file", "ms-msdt", "ms-office", "ms-word", "ms-excel", "ms-powerpoint", "ms-access", "ms-visio", "ms-project",
+    "ms-publisher", "ms-infopath", "ms-spd", "ms-search", "search-ms", "ms-cxh", "ms-cxh-full", "shell", "vscode", "vscode-insiders", "jar",
+)
+UNSAFE = rf"(?:{'|'.join(UNSAFE_SCHEMES)}):"
+
+
+def safe_value(c: Column | str) -> Column:
+    """The value, blank if it names an unsafe scheme."""
+    return F.when(F.coalesce(url_scheme(c).isin(*UNSAFE_SCHEMES), F.lit(False)), "").otherwise(col(c))
+
+
 def url_scheme(c: Column | str) -> Column:
     """Lower-case text before the first colon, white space and controls removed; null without one."""
     bare = F.regexp_replace(col(c), r"[\x00-\x20\x7f-\x9f]", "")
@@ -125,7 +138,7 @@ def attributes(c: Column | str) -> Column:
 def render_attributes(pairs: Column | str) -> Column:
     """A map as `` key="value"`` in its own order, event handlers dropped."""
     kept = F.filter(F.map_entries(col(pairs)), lambda e: ~F.lower(e["key"]).rlike("^on|^srcdoc$|^formaction$"))
-    return F.array_join(F.transform(kept, lambda e: F.concat(F.lit(" "), e["key"], F.lit('="'), escape_attribute(e["value"]), F.lit('"'))), "")
+    return F.array_join(F.transform(kept, lambda e: F.concat(F.lit(" "), e["key"], F.lit('="'), escape_attribute(safe_value(e["value"])), F.lit('"'))), "")
 
 
 def roman_value(c: Column | str) -> Column:

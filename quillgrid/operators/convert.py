@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgrid.functions.text import attributes, escape_attribute, escape_html, render_attributes, roman_value, slug, smart_dashes, smart_symbols
+from quillgrid.functions.text import attributes, escape_attribute, escape_html, render_attributes, roman_value, safe_value, slug, smart_dashes, smart_symbols
 from quillgrid.operators import blocks as B
 from quillgrid.operators.frames import HIDDEN, nested
 from quillgrid.operators.inlines import FORCED
@@ -176,8 +176,9 @@ def inline_pieces(inl: DataFrame) -> DataFrame:
     note = F.when(F.col("linked"), F.concat(lit('<sup id="fnref'), ref, lit('"'), a, lit(">"), n, lit("</sup>"))).otherwise(F.concat(lit('<a id="fnref'), ref, lit('" href="#fn'), n, lit('" role="doc-noteref"'), a, lit("><sup>"), n, lit("</sup></a>")))
     note = F.when(n.isNull(), F.concat(lit("[^"), escape_html(value), lit("]"))).otherwise(note)
     math = lambda kind, x, y: F.concat(lit(f'<span class="math {kind}" role="math">{x}'), escape_html(value), lit(f"{y}</span>"))
-    image = F.concat(lit("<img"), named("src", F.col("href")), lit(' alt="'), escape_attribute(value), lit('"'), named("title", F.col("title")), a, lit(">"))
-    link = F.concat(lit("<a"), named("href", F.col("href")), named("title", F.col("title")), a, lit(">"))
+    image = F.concat(lit("<img"), named("src", safe_value("href")), lit(' alt="'), escape_attribute(value), lit('"'), named("title", F.col("title")), a, lit(">"))
+    href = safe_value("href")
+    link = F.concat(lit("<a"), named("href", href), named("title", F.col("title")), a, lit(">"))
     spelled = escape_html(F.col("source"))
     opening = (
         F.when(k == "text", text).when((k == "soft_break") & F.col("breaks"), "<br>\n").when(k.isin("literal", "soft_break", "literal_text"), escape_html(value)).when(k == "hard_break", "<br>\n").when(element[k].isNotNull(), F.concat(lit("<"), element[k], a, lit(">")))

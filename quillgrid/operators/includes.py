@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from quillgrid.sources.shared import materialize
 
 DIRECTIVE = r"\{\{ *([^\s}@#]+)?((?:#[^\s}]+)?(?: *@[^\s}]+)*) *\}\}"
+#: What holds no directive: escapes, fenced code and comments, code spans, braced and line comments.
+LITERAL = r"\\.|(?m:^[ \t>]*(?<fence>`{3,}|~{3,}|%{3,})[^\n]*\n(?s:.*?)(?:^[ \t>]*\k<fence>[`~%]*[ \t]*$|\z))|(?<!`)(?<run>`+)(?!`)(?s:.+?)(?<!`)\k<run>(?!`)|\{%(?s:.*?)%\}|(?m:(?:^|(?<= ))%%[^\n]*)"
 #: Options that an include knows.
 OPTIONS = ("lines", "region", "shift", "code", "rows", "cols")
 
@@ -73,8 +75,12 @@ def shifted(content: Column) -> Column:
 
 
 def pieces(rows: DataFrame) -> DataFrame:
-    """rows (doc_id, at, stack, text) cut into runs of text and directives: doc_id, at (one place deeper), stack, text, open."""
-    cut = F.regexp_extract_all("text", F.lit(rf"(?s){DIRECTIVE}|(?:(?!{DIRECTIVE}).)+"), F.lit(0))
+    """rows (doc_id, at, stack, text) cut into runs of text and directives: doc_id, at (one place deeper), stack, text, open.
+
+    A directive behind a backslash, in code or in a comment is text."""
+    tokens = rf"{LITERAL}|{DIRECTIVE}"
+    between, found = F.split("text", tokens, -1), F.regexp_extract_all("text", F.lit(tokens), F.lit(0))
+    cut = F.filter(F.flatten(F.zip_with(between, found, lambda x, y: F.array(x, y))), lambda x: x != "")
     each = rows.select("doc_id", "at", "stack", F.posexplode_outer(cut).alias("i", "text"))
     return each.select("doc_id", F.array_append("at", F.coalesce("i", F.lit(0))).alias("at"), "stack", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("text").rlike(f"^{DIRECTIVE}$"), F.lit(False)).alias("open"))
 

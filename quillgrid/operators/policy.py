@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillgrid.functions.text import col, url_scheme
+from quillgrid.functions.text import UNSAFE_SCHEMES, col, url_scheme
 from quillgrid.sources.shared import materialize
 
 #: Presets of allowed types, greatest size in bytes and greatest nesting (null: no limit).
@@ -16,9 +16,8 @@ PROFILES = {
     "comment": ("paragraph list list_item block_quote code_block link strong emphasis strike code text", 100_000, 4),
     "minimal": ("paragraph list list_item strong emphasis code text", 10_000, 2),
 }
-#: Schemes that are never safe, and those no setting lets through.
-UNSAFE_SCHEMES = ("javascript", "vbscript", "data", "file")
-FLOOR_SCHEMES = (*UNSAFE_SCHEMES, "blob", "view-source", "jar", "mhtml", "x-javascript")
+#: Further schemes that no setting lets through.
+FLOOR_SCHEMES = (*UNSAFE_SCHEMES, "blob", "view-source", "mhtml", "x-javascript")
 
 
 def profile_rules(spark: SparkSession) -> DataFrame:

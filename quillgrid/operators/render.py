@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgrid.functions.text import ansi, col, escape_attribute, escape_html, safe_fence, slug
+from quillgrid.functions.text import UNSAFE, ansi, col, escape_attribute, escape_html, safe_fence, slug
 from quillgrid.operators import blocks as B
 from quillgrid.operators.inlines import inline_html
 from quillgrid.operators.windows import LEVELS, last_of_levels
@@ -263,7 +263,7 @@ def losses(block_rows: DataFrame, target: str) -> DataFrame:
         F.when(text_like & (t == "table_row") & spans, "table-span-flattened"),
         F.when(text_like & t.isin("paragraph", "heading") & text.rlike(r"\{[^{}|]+\|[^{}|]+\}"), "ruby-flattened"),
         F.when(text_like & t.isin("paragraph", "heading") & text.rlike(r"\{#.+?#\}"), "editorial-comment-flattened"),
-        F.when(text.rlike(r"(?i)\]\(\s*(?:javascript|vbscript|data|file):"), "destination-denied"),
+        F.when(text.rlike(rf"(?i)\]\(\s*{UNSAFE}"), "destination-denied"),
         F.when(F.lit(target == "markdown") & (t == "list_item") & text.rlike(r"^ *[A-Za-z]+[.)] "), "list-style-dropped"),
         F.when(F.lit(target == "markdown") & (t == "list_item") & text.rlike(r"^ *\d+\) "), "list-delimiter-changed"),
         F.when(F.lit(target == "markdown") & (t == "attributes"), "markdown-attributes-dropped"),

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from quillgrid.operators.convert import convert
 from quillgrid.operators.frames import nested
+from quillgrid.operators.includes import expand
 from quillgrid.operators.spans import inline_rows
-from quillgrid.plans.base import markup, query
+from quillgrid.plans.base import markup, query, table
 
 
 def sql_page(text: str) -> str:
@@ -114,3 +115,20 @@ def i1_inline_rows(spark, sf):
     """Inline constructs of paragraphs with their parents."""
     rows = nested(sources(spark, sf, KINDS)).where("type = 'paragraph'")
     return inline_rows(rows, ["doc_id"]).select("doc_id", "ord", "kind", "parent")
+
+
+@query("""SELECT n_nationkey::BIGINT AS doc_id, '`{{ f }}` \\{{ f }} {% {{ f }} %} ' || n_name || CHR(10) || '%% {{ f }}' || CHR(10) || '```' || CHR(10) || '{{ f }}' || CHR(10) || '```' || CHR(10)
+  || '> ~~~' || CHR(10) || '> {{ f }}' || CHR(10) || '> ~~~' || CHR(10) || 'IN' || CHR(10) || '``a`{{ f }}``' || CHR(10) || '%%%' || CHR(10) || '{{ f }}' AS source FROM nation""")
+def j11_literal_contexts(spark, sf):
+    """Directives behind a backslash, in code and in comments stay as they are; an open fence holds all that follows."""
+    source = "concat('`{{ f }}` \\\\{{ f }} {% {{ f }} %} ', n_name, '\n%% {{ f }}\n```\n{{ f }}\n```\n> ~~~\n> {{ f }}\n> ~~~\n{{ f }}\n``a`{{ f }}``\n%%%\n{{ f }}')"
+    files = table(spark, sf, "region").where("r_regionkey = 0").selectExpr("'f' path", "'IN' content")
+    return expand(markup(spark, sf, "nation", "n_nationkey", source), files)
+
+
+@pages((
+    ("[{n}](javascript:x) ![i](data:y) [k][r] [ok](mailto:a@b)\n\n[r]: vscode:z", '<p><a href="">{n}</a> <img src="" alt="i"> <a href="">k</a> <a href="mailto:a@b">ok</a></p>'),
+    ('*{n}*{title="ms-word:q" onclick=x data-a=1} [l]( JavaScript:x )\n\n{href="jar:a"}\n> q', '<p><strong title="" data-a="1">{n}</strong> <a href="">l</a></p>\n<blockquote href="">\n<p>q</p>\n</blockquote>'),
+))
+def p13_p14_p16_safe_pages(spark, sf):
+    """Destinations and attributes of unsafe schemes are blank, event handlers are gone."""

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
+from quillgrid.functions.text import UNSAFE
+
 #: HTML elements without an end, elements that yield nothing, and inline elements with their forced marks.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("script style template noscript head title iframe object svg canvas".split())
@@ -26,7 +28,7 @@ IMPLIED = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "
 SCOPES = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "thead": ("table",), "tbody": ("table",), "tfoot": ("table",), "option": ("select",)}
 #: Attributes that an imported block keeps, and schemes that no destination may have.
 KEPT = ("id", "class", "title", "lang")
-UNSAFE = re.compile(r"(?:javascript|vbscript|data|file):", re.IGNORECASE)
+DENIED = re.compile(UNSAFE, re.IGNORECASE)
 HIDDEN = re.compile(r"[\x00-\x20\x7f-\x9f​-‏  ﻿]")
 SPACE = re.compile(r"[ \t\n\r\f]+")
 OPENER = re.compile(r"([\\`\[{])|(?<!\w)([*/_~=])(?=\S)|(<)(?=[\w/@])")
@@ -85,7 +87,7 @@ class TreeBuilder(HTMLParser):
 
 
 def safe(url: str) -> bool:
-    return not UNSAFE.match(HIDDEN.sub("", url))
+    return not DENIED.match(HIDDEN.sub("", url))
 
 
 def destination(url: str) -> str:

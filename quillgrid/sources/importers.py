@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.functions.text import col
+from quillgrid.functions.text import UNSAFE, UNSAFE_SCHEMES, col
 from quillgrid.operators.policy import url_scheme
 from quillgrid.sources.html_tree import html_markup
 
-UNSAFE = r"(?:javascript|vbscript|data|file):"
 #: BBCode passes, in order: pattern and replacement.
 BBCODE = (
     (r"(?s)\[code=(\w+)\]\n?(.*?)\n?\[/code\]", "\n\n```$1\n$2\n```\n\n"),
@@ -154,7 +153,7 @@ def html_diagnostics(pages: DataFrame, text: str = "html") -> DataFrame:
 
 
 def safe_destination(url: Column | str) -> Column:
-    return ~F.coalesce(url_scheme(url).isin("javascript", "vbscript", "data", "file"), F.lit(False))
+    return ~F.coalesce(url_scheme(url).isin(*UNSAFE_SCHEMES), F.lit(False))
 
 
 def escape_markup(c: Column | str) -> Column:

@@ -1,7 +1,7 @@
 """License scans, with DataFrame operations alone.
 
-Each sentence or line of a text that mentions a licence is a header; it and all of a text's headers
-together are compared with licence templates by TF-IDF cosine. The arithmetic stays inside the row:
+Each sentence or line of a text that mentions a licence is a header; it, all of a text's headers
+together, and each block of comment lines that mentions one are compared with licence templates by TF-IDF cosine. The arithmetic stays inside the row:
 template weights are a literal of fixed size, so no term is shuffled. The distinct texts of licence files are
 also compared whole, with the full texts in ``license_texts``; their terms alone are shuffled. A file without a licence of its own
 inherits that of the licence file in its nearest ancestor directory, found by joining the directory's
@@ -21,9 +21,10 @@ from pyspark.sql import functions as F
 
 from quillgrid.llm.common import join_counted, join_small, materialize
 
-#: Licence ids and statements of them.
-TEMPLATES = {
+#: Licence ids and statements of them; what follows a # tells apart the statements of one licence.
+STATEMENTS = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
+    "Apache-2.0#notice": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
     "MIT": "Released under the MIT License.",
     "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
@@ -31,19 +32,32 @@ TEMPLATES = {
     "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
     "BSD-2-Clause": "Use of this source code is governed by a BSD 2-Clause license.",
     "BSD-3-Clause": "Use of this source code is governed by a BSD 3-Clause license.",
+    "BSD-3-Clause#style": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
     "MPL-2.0": "Subject to the terms of the Mozilla Public License, version 2.0.",
+    "MPL-2.0#notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at",
     "ISC": "Distributed under the ISC License.",
     "CC0-1.0": "Dedicated to the public domain under CC0 1.0 Universal.",
     "CC-BY-4.0": "Licensed under CC BY 4.0.",
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "Unlicense": "Released into the public domain under the Unlicense.",
-    "Proprietary": "All rights reserved. Proprietary and confidential license.",
+    "Proprietary": "Proprietary and confidential license. Unauthorized copying is prohibited.",
 }
+#: The standard notice of the GNU licences, their names and versions, and the endings of their identifiers.
+GNU_NOTICE = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+GNU = {"GPL-2.0": ("General Public License", 2), "GPL-3.0": ("General Public License", 3), "LGPL-3.0": ("Lesser General Public License", 3), "AGPL-3.0": ("Affero General Public License", 3)}
+TEMPLATES = (
+    STATEMENTS
+    | {f"{k}#notice": GNU_NOTICE.format(*v) for k, v in GNU.items()}
+    | {f"{k}#spdx": f"SPDX-License-Identifier: {k}" for k in STATEMENTS if "#" not in k and k != "Proprietary"}
+    | {f"{k}#spdx{end}": f"SPDX-License-Identifier: {k}{end}" for k in GNU for end in ("-only", "-or-later")}
+)
 #: Base names of licence files.
 LICENCE_FILES = ("LICENSE", "LICENSE.txt", "LICENSE.md", "LICENCE", "COPYING", "COPYING.txt", "NOTICE")
 CUE = r"(?i)licen[cs]e|copyright|public domain|rights reserved|\bcc (by|0)|\bcc0\b|spdx"
 CUT = r"\n|(?<=[.!?])[ \t]+"
+#: Consecutive comment lines.
+BLOCK = r"(?m)(?:^[ \t]*(?://|#|\*|/\*|;|--)[^\n]*\n?)+"
 TERM = r"[^a-z0-9.-]+|[.-]+(?![a-z0-9])|(?<![a-z0-9])[.-]+"
 
 
@@ -64,8 +78,9 @@ def template_weights(templates: dict[str, str]) -> tuple[dict[str, float], float
 def best_template(terms, templates: dict[str, str]):
     """Struct (similarity, license) of the closest template to an array of terms; null for no terms."""
     idf, rest, vectors = template_weights(templates)
-    known = F.create_map(*[F.lit(x) for t, w in idf.items() for x in (t, w)])
-    names = F.array(*[F.lit(t) for t in idf])
+    known = F.from_json(F.lit(json.dumps(idf)), "map<string, double>")
+    names = F.map_keys(known)
+    literal = F.from_json(F.lit(json.dumps([{"license": k, "v": v} for k, v in vectors.items()])), "array<struct<license: string, v: map<string, double>>>")
     squares = lambda of, weigh: F.aggregate(  # noqa: E731  sum of (count x idf)^2 over runs of sorted terms
         F.array_sort(of),
         F.struct(F.lit("").alias("term"), F.lit(0.0).alias("run"), F.lit(0.0).alias("sum")),
@@ -79,25 +94,27 @@ def best_template(terms, templates: dict[str, str]):
     norm = F.sqrt(squares(terms, lambda t: F.pow(F.coalesce(F.try_element_at(known, t), F.lit(rest)), F.lit(2.0))))
     inside = F.filter(terms, lambda t: F.array_contains(names, t))
     dot = lambda v: F.aggregate(inside, F.lit(0.0), lambda a, t: a + F.try_element_at(known, t) * F.coalesce(F.try_element_at(v, t), F.lit(0.0)))
-    scored = [F.struct((dot(F.create_map(*[F.lit(x) for t, w in v.items() for x in (t, w)])) / norm).alias("similarity"), F.lit(k).alias("license")) for k, v in vectors.items()]
-    return F.when(F.size(inside) > 0, F.array_max(F.array(*scored)))
+    scored = F.transform(literal, lambda x: F.struct((dot(x["v"]) / norm).alias("similarity"), x["license"].alias("license")))
+    return F.when(F.size(inside) > 0, F.array_max(scored))
 
 
 def header_licenses(files: DataFrame, templates: dict[str, str] | None = None, threshold: float = 0.6) -> DataFrame:
     """files (doc_id, path, text, digest) -> doc_id, path, digest, own (license of its headers or null), similarity.
 
-    Ties between templates go to the greater licence id.
+    Ties between templates go to the greater licence id; a template's key is one, with # and a mark if it has several.
     """
     templates = templates or TEMPLATES
     terms_of = lambda s: F.filter(F.split(F.lower(s), TERM), lambda t: t != "")
     headers = F.filter(F.split("text", CUT), lambda s: s.rlike(CUE))
     # The pattern is tried on the whole text first; most texts end there.
-    mentioned = files.select("doc_id", "path", "digest", F.when(F.col("text").rlike(CUE), headers).alias("headers"))
-    segments = F.when(F.size("headers") > 1, F.concat("headers", F.array(F.array_join("headers", " ")))).otherwise(F.col("headers"))
+    cued = F.col("text").rlike(CUE)
+    blocks = F.filter(F.regexp_extract_all("text", F.lit(BLOCK), F.lit(0)), lambda s: s.rlike(CUE))
+    mentioned = files.select("doc_id", "path", "digest", F.when(cued, headers).alias("headers"), F.when(cued, blocks).alias("blocks"))
+    segments = F.concat(F.when(F.size("headers") > 1, F.concat("headers", F.array(F.array_join("headers", " ")))).otherwise(F.col("headers")), "blocks")
     best = F.array_max(F.transform(segments, lambda s: best_template(terms_of(s), templates)))
     found = mentioned.select("doc_id", "path", "digest", best.alias("best"))
     hit = F.col("best.similarity") >= threshold
-    return found.select("doc_id", "path", "digest", F.when(hit, F.col("best.license")).alias("own"), F.when(hit, F.col("best.similarity")).alias("similarity"))
+    return found.select("doc_id", "path", "digest", F.when(hit, F.substring_index("best.license", "#", 1)).alias("own"), F.when(hit, F.col("best.similarity")).alias("similarity"))
 
 
 @cache
@@ -192,9 +209,12 @@ f AS (
   FROM documents),
 lines AS (SELECT doc_id, UNNEST(STRING_SPLIT_REGEX(REGEXP_REPLACE(text, '([.!?])[ \\t]+', '\\1' || CHR(10), 'g'), CHR(10))) AS s FROM f),
 heads AS (SELECT doc_id, ROW_NUMBER() OVER () AS seg, s FROM lines WHERE REGEXP_MATCHES(s, '{CUE}')),
+blocks AS (SELECT doc_id, UNNEST(REGEXP_EXTRACT_ALL(text, '{BLOCK}')) AS s FROM f WHERE REGEXP_MATCHES(text, '{CUE}')),
 segs AS (
   SELECT doc_id, seg, s FROM heads
   UNION ALL
+  SELECT doc_id, 1000000000000 + ROW_NUMBER() OVER (), s FROM blocks WHERE REGEXP_MATCHES(s, '{CUE}')
+  UNION ALL
   SELECT doc_id, -1 - doc_id, STRING_AGG(s, ' ' ORDER BY seg) FROM heads GROUP BY doc_id HAVING COUNT(*) > 1),
 terms AS (
   SELECT doc_id, seg, UNNEST(LIST_TRANSFORM(STRING_SPLIT_REGEX(LOWER(s), '[^a-z0-9.-]+'), lambda t: REGEXP_REPLACE(REGEXP_REPLACE(t, '[.-]+$', ''), '^[.-]+', ''))) AS term
@@ -205,7 +225,7 @@ sim AS (
   SELECT tf.doc_id, tf.seg, license, SUM(n * idf.w * vec.w) AS dot
   FROM tf JOIN idf USING (term) JOIN vec USING (term) GROUP BY ALL),
 best AS (
-  SELECT doc_id, license AS own, dot / norm AS similarity
+  SELECT doc_id, SPLIT_PART(license, '#', 1) AS own, dot / norm AS similarity
   FROM sim JOIN norm USING (doc_id, seg) WHERE dot / norm >= {threshold}
   QUALIFY ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY dot / norm DESC, license DESC) = 1),
 own AS (SELECT f.doc_id, f.path, own, similarity, REGEXP_EXTRACT(path, '^(.*)/[^/]*$', 1) AS dir FROM f LEFT JOIN best USING (doc_id)),

@@ -206,3 +206,18 @@ def o2_o6_diagnostics_order(spark, sf):
     rows = L.line_rules(B.classify(B.scan(docs)), ("markdown-strong-double-star", "markdown-strikethrough-double-tilde"))
     first = rows.withColumn("k", F.row_number().over(Window.partitionBy("doc_id", "rule").orderBy("line"))).where("k = 1").drop("k")
     return first.withColumn("nth", F.row_number().over(doc_order("line", "rule"))).select("doc_id", F.col("line").cast("long"), "rule", "nth")
+
+
+@query("SELECT n_nationkey::BIGINT AS doc_id, 4::BIGINT AS line, 'duplicate-footnote-definition' AS rule FROM nation WHERE n_nationkey % 3 = 0")
+def v21_duplicate_notes(spark, sf):
+    """A second definition of a note's label is told where it stands."""
+    docs = markup(spark, sf, "nation", "n_nationkey", "concat(n_name, '[^a] [^b]\n\n[^a]: one\n[^', if(n_nationkey % 3 = 0, 'a', 'b'), ']: two')")
+    return L.lint(docs).where("rule = 'duplicate-footnote-definition'").select("doc_id", "line", "rule")
+
+
+@query("SELECT n_nationkey::BIGINT AS doc_id, 2::BIGINT AS line, CASE n_nationkey % 2 WHEN 0 THEN 'references' ELSE 'footnotes' END || '-placement-in-container' AS rule FROM nation")
+def v35_v58_placement(spark, sf):
+    """Generated lists inside another container; at the top they are in place."""
+    name = "if(n_nationkey % 2 = 0, 'references', 'footnotes')"
+    docs = markup(spark, sf, "nation", "n_nationkey", f"concat('::: note\n::: ', {name}, '\n:::\n:::\n\n::: ', {name}, '\n:::\n\n', n_name)")
+    return found(docs, L.container_rules).select("doc_id", F.col("line").cast("long"), "rule")

@@ -80,7 +80,7 @@ def r23_s20_nested_markdown(spark, sf):
 
 
 #: Blocks by depth (from 1) of each shape, counted by hand.
-DEPTHS = ((2, 4, 3, 1), (2, 3, 4), (2, 2, 1, 1), (3, 4, 1), (7, 3, 1), (3,))
+DEPTHS = ((2, 4, 3, 1), (2, 3, 4), (2, 2, 1, 1), (3, 4, 1), (8, 3, 1), (3,))
 
 
 @query(f"""SELECT p_partkey AS doc_id, d::INTEGER AS depth, n::BIGINT AS n FROM part

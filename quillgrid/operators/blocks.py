@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 from quillgrid.functions.text import attributes, normalize_source, roman_value
+from quillgrid.sources.shared import spread
 
 MAX_DEPTH = 200
 #: Forms of a line, first match wins.
@@ -69,8 +70,8 @@ def lines(docs: DataFrame) -> DataFrame:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """lines plus fence: the fence span that holds the line, or null. One narrow step."""
-    split = docs.select("doc_id", F.split(normalize_source("source"), "\n", -1).alias("lines"))
+    """lines plus fence: the fence span that holds the line, or null. Documents are dealt out by doc_id, then one narrow step."""
+    split = spread(docs.select("doc_id", "source"), "doc_id").select("doc_id", F.split(normalize_source("source"), "\n", -1).alias("lines"))
     spanned = split.withColumn("spans", fence_spans(F.col("lines")))
     rows = F.transform("lines", lambda x, i: F.struct((i + 1).alias("line_no"), x.alias("line"), F.get(F.filter("spans", lambda s: (s["first"] <= i) & (s["last"] >= i)), F.lit(0)).alias("fence")))
     return spanned.select("doc_id", F.inline(rows))

@@ -15,6 +15,7 @@ from quillgrid.operators import windows as W
 from quillgrid.plans.base import markup, query, table
 from quillgrid.plans.reference_queries import trees
 from quillgrid.sources import importers as M
+from quillgrid.sources.shared import spread
 
 
 @query("""SELECT p_partkey AS doc_id, r::INTEGER AS "row", c::INTEGER AS col, CASE WHEN r = 1 THEN 'h' WHEN c = 1 THEN p_name || ' ' || p_type ELSE 'x' END AS text, CASE r WHEN 1 THEN 'head' ELSE 'foot' END AS section FROM part, (VALUES (1), (2)) x(r), (VALUES (1), (2)) y(c)""")
@@ -155,7 +156,7 @@ def m12_markdown_references(spark, sf):
 @query("""SELECT p_partkey AS doc_id, c::INTEGER AS col, CASE c WHEN 1 THEN p_name ELSE 'a \\| ' || p_size END AS text FROM part, (VALUES (1), (2)) x(c)""")
 def m13_markdown_tables(spark, sf):
     rows = table(spark, sf, "part").selectExpr("p_partkey doc_id", r"concat('| h | k |\n| --- | --- |\n| ', p_name, ' | a \\| ', p_size, ' |') source")
-    docs = rows.select("doc_id", M.markdown("source").alias("source"))
+    docs = spread(rows, "doc_id").select("doc_id", M.markdown("source").alias("source"))
     return B.table_cells(B.parse(docs)).where("row = 2").select("doc_id", F.col("col").cast("int"), "text")
 
 
@@ -186,7 +187,7 @@ def t10_t12_format_patch(spark, sf):
 def m19_preserved_ids(spark, sf):
     """Ids of imported headings kept as attributes."""
     rows = table(spark, sf, "part").selectExpr("p_partkey doc_id", """concat('<p>x</p><h2 class="" id="a', p_partkey, '">', p_name, '</h2>') html""")
-    return B.attached_attributes(B.parse(rows.select("doc_id", M.html("html").alias("source")))).select("doc_id", "id")
+    return B.attached_attributes(B.parse(spread(rows, "doc_id").select("doc_id", M.html("html").alias("source")))).select("doc_id", "id")
 
 
 @query("SELECT p_partkey AS doc_id, CASE p_partkey % 3 WHEN 0 THEN '{#b .a .c title=\"t\" lang=\"fr\"}' || CHR(10) || p_name WHEN 1 THEN '{#b' || p_partkey || '}' || CHR(10) || '# ' || p_name ELSE p_name END || CHR(10) || CHR(10) || 'f: $`x_' || p_size || '` g' || CHR(10) AS source FROM part")
@@ -195,7 +196,7 @@ def m4_m6_html_policy(spark, sf):
     first = """case p_partkey % 3 when 0 then concat('<p class="a c" id="b" onclick="c" data-x="d" style="e" title="t" lang="fr">', p_name, '</p>')
       when 1 then concat('<h1 id="b', p_partkey, '" onload=x>', p_name, '</h1>') else concat('<p onclick=x>', p_name) end"""
     math = """concat('<p>f: <math><semantics><mi>x</mi><annotation encoding="application/x-tex">x_', p_size, '</annotation></semantics></math> g')"""
-    return table(spark, sf, "part").selectExpr("p_partkey doc_id", f"concat({first}, {math}) html").select("doc_id", M.html("html").alias("source"))
+    return spread(table(spark, sf, "part").selectExpr("p_partkey doc_id", f"concat({first}, {math}) html"), "doc_id").select("doc_id", M.html("html").alias("source"))
 
 
 @query("SELECT user_id, COUNT(*)::BIGINT AS n FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) >= 50 GROUP BY user_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillgrid.operators import nesting as N
-from quillgrid.plans.base import markup, query
+from quillgrid.plans.base import query, table
 from quillgrid.plans.render_queries import sql_text
 
 #: Shapes by p_partkey % 6; {n} and {t} stand for p_name and p_type.
@@ -41,7 +41,7 @@ def by_shape(texts) -> str:
 
 def nested(spark, sf):
     n, t = F.col("n"), F.col("t")
-    docs = markup(spark, sf, "part", "p_partkey", "p_name").withColumnRenamed("source", "n").join(markup(spark, sf, "part", "p_partkey", "p_type").withColumnRenamed("source", "t"), "doc_id")
+    docs = table(spark, sf, "part").selectExpr("cast(p_partkey as bigint) doc_id", "p_name n", "p_type t")
     fill = lambda s: F.replace(F.replace(F.lit(s), F.lit("{n}"), n), F.lit("{t}"), t)
     source = F.coalesce(*[F.when(F.col("doc_id") % 6 == i, fill(s[0])) for i, s in enumerate(SHAPES)])
     return N.nested(docs.select("doc_id", source.alias("source")))

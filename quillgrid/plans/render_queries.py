@@ -12,6 +12,7 @@ from quillgrid.operators import inlines as I
 from quillgrid.operators import render as R
 from quillgrid.plans.base import markup, query, table
 from quillgrid.sources import importers as M
+from quillgrid.sources.shared import spread
 
 PAGE = r"concat('# ', p_name, '\n\nA *', p_type, '* & b.\n\n- ', p_brand, '\n- [x] done\n\n---\n\n~~~ py\n1 < 2\n~~~\n\n> q\n\n|= k |\n| ', p_size, ' |')"
 
@@ -102,7 +103,7 @@ def r30_a12_k_losses(spark, sf):
 @query("SELECT p_partkey AS doc_id, " + sql_text("*{p_name}* /{p_type}/ [x](/p/{p_partkey}) <u> ![](i.png) {^2^}\n\n```py\na\n```\n\n> q\n> r\n^ joe\n\n1. {p_brand}\n2. b\n\n|= h |\n| c |\n\nred\n") + " AS source FROM part")
 def s12_m20_m21_m22_bbcode(spark, sf):
     text = "concat('[b]', p_name, '[/b] [i]', p_type, '[/i] [url=/p/', p_partkey, ']x[/url] [url]u[/url] [img]i.png[/img] [sup]2[/sup][code=py]\na\n[/code][quote=joe]q\nr[/quote][list=1][*]', p_brand, '[*]b[/list][table][tr][th]h[/th][/tr][tr][td]c[/td][/tr][/table][color=red]red[/color]')"
-    return table(spark, sf, "part").selectExpr("p_partkey doc_id", f"{text} source").select("doc_id", M.bbcode("source").alias("source"))
+    return spread(table(spark, sf, "part").selectExpr("p_partkey doc_id", f"{text} source"), "doc_id").select("doc_id", M.bbcode("source").alias("source"))
 
 
 @query("SELECT p_partkey AS doc_id, 'styling-dropped' AS code, 2::INTEGER AS n FROM part WHERE p_size % 2 = 0")
@@ -114,7 +115,7 @@ def m23_bbcode_losses(spark, sf):
 @query("SELECT p_partkey AS doc_id, " + sql_text("# {p_name}\n\n## b\n\n*{p_type}* /x/ ~y~ `**z**` t <https://x.example/{p_partkey}>\n\n::: note\n{p_brand}\n:::\n\n---\n\n- a\n\n```\n**c**\n```") + " AS source FROM part")
 def s10_m10_m11_m14_m16_markdown(spark, sf):
     text = "concat(p_name, '\n===\n\n## b ##\n\n**', p_type, '** *x* ~~y~~ `**z**` [t](javascript:1) https://x.example/', p_partkey, '\n\n> [!NOTE]\n> ', p_brand, '\n\n***\n\n* a\n\n```\n**c**\n```')"
-    return table(spark, sf, "part").selectExpr("p_partkey doc_id", f"{text} source").select("doc_id", M.markdown("source").alias("source"))
+    return spread(table(spark, sf, "part").selectExpr("p_partkey doc_id", f"{text} source"), "doc_id").select("doc_id", M.markdown("source").alias("source"))
 
 
 @query("SELECT p_partkey AS doc_id, '/' || p_name || '/ x{^2^} h{,2,} *' || p_type || '*' AS source FROM part")
@@ -131,7 +132,7 @@ def m18_djot_losses(spark, sf):
 @query("SELECT p_partkey AS doc_id, " + sql_text("# {p_name}\n\n{*{p_type}*} [x](/a) y\\\nz & w\n\n- {p_brand}\n\n```py\n1 < 2\n```\n\n> q\n\n|= h |\n| c |\n").replace("{*", "{*").replace("*}", "*}") + " AS source FROM part")
 def s9_m2_m3_m9_html(spark, sf):
     text = """concat('<!DOCTYPE html><html><head><title>t</title></head><body><script>x</script><!-- c --><h1>', p_name, '</h1><p><b>', p_type, '</b> <a href="/a">x</a> <a href="javascript:1">y</a><br>z &amp; w</p><ul><li>', p_brand, '</li></ul><pre><code class="language-py">1 &lt; 2</code></pre><blockquote><p>q</p></blockquote><table><tr><th>h</th></tr><tr><td>c</td></tr></table></body></html>')"""
-    return table(spark, sf, "part").selectExpr("p_partkey doc_id", f"{text} source").select("doc_id", M.html("source").alias("source"))
+    return spread(table(spark, sf, "part").selectExpr("p_partkey doc_id", f"{text} source"), "doc_id").select("doc_id", M.html("source").alias("source"))
 
 
 @query("""SELECT page_id, LOWER(t) AS tag, COUNT(*)::BIGINT AS n FROM (SELECT page_id, UNNEST(REGEXP_EXTRACT_ALL(REGEXP_REPLACE(REGEXP_REPLACE(html, '(?s)<!--.*?-->', '', 'g'), '(?s)<(script|style)[^>]*>.*?</(script|style)>', '', 'g'), '<([A-Za-z][A-Za-z0-9]*)', 1)) AS t FROM pages) GROUP BY ALL""")
@@ -142,7 +143,7 @@ def m2_m3_page_elements(spark, sf):
 @query("""SELECT page_id, 1::BIGINT AS headings, LEN(REGEXP_EXTRACT_ALL(html, '<li>'))::BIGINT AS items, false AS script_left FROM pages""")
 def m9_pages_to_markup(spark, sf):
     """Every page's markup has its one heading and its list items, and nothing of its scripts."""
-    pages_ = table(spark, sf, "pages").select("page_id", M.html("html").alias("source"))
+    pages_ = spread(table(spark, sf, "pages").select("page_id", "html"), "page_id").select("page_id", M.html("html").alias("source"))
     count = lambda p: F.regexp_count("source", F.lit(p)).cast("long")
     return pages_.select("page_id", count(r"(?m)^# ").alias("headings"), count(r"(?m)^- \[").alias("items"), F.col("source").contains("track(").alias("script_left"))
 
@@ -305,7 +306,7 @@ def m1_m2_m3_m9_nested_html(spark, sf):
     """Lists in lists, blocks in quotes, spans in tables, single-quoted and missing ends, entities and literal marks."""
     page = """if(p_partkey % 2 = 0, concat('<ol><li>', p_name, '<ul><li><i>', p_type, '</i><ol start=3><li>c</ol></ul><li>*', p_brand, '*</ol><blockquote><p>', p_name, '<ul><li>x</ul></blockquote>'),
       concat('<table><tr><th>h<th colspan=2>', p_name, '<tr><td rowspan=2>1<td>2<td>&#8364;<tr><td><a href=\\'/q\\'>l</a><td>', p_size, '</table>'))"""
-    return table(spark, sf, "part").selectExpr("p_partkey doc_id", f"{page} html").select("doc_id", M.html("html").alias("source"))
+    return spread(table(spark, sf, "part").selectExpr("p_partkey doc_id", f"{page} html"), "doc_id").select("doc_id", M.html("html").alias("source"))
 
 
 @query("SELECT p_partkey AS doc_id, CASE p_partkey % 3 WHEN 0 THEN '<svg><g></g></svg>' WHEN 1 THEN '<svg><rect stroke=\"url(#s)\"/></svg>' ELSE '<svg viewBox=\"0 0 1 1\"><text>' || p_name || ' &lt; b</text></svg>' END AS svg FROM part")

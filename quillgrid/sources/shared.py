@@ -32,6 +32,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows dealt out by keys over as many partitions as a shuffle has, at least three a core.
+
+    A small file of short rows is read by one task, however long each row then takes; windows by the keys need no other shuffle.
+    """
+    spark = rows.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+    return rows.repartition(n, *keys)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables of materialize that no later step reads."""
     for df in tables:

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillgrid.functions.text import UNSAFE_SCHEMES, col, url_scheme
-from quillgrid.sources.shared import materialize
+from quillgrid.sources.shared import spread
 
 #: Presets of allowed types, greatest size in bytes and greatest nesting (null: no limit).
 ARTICLE = "paragraph heading list list_item block_quote code_block table table_row table_cell thematic_break link image strong emphasis code text"
@@ -69,14 +74,53 @@ def fail_on_violation(nodes: DataFrame, profile: str) -> DataFrame:
 def drop_empty(nodes: DataFrame, containers: tuple[str, ...]) -> DataFrame:
     """nodes (doc_id, node_id, parent_id, type) without containers that have no children, repeated upward until none is left.
 
-    Every round is written to the shared folder.
+    A document's rows are read together, so one pass serves chains of any length; nothing is sent to the driver.
     """
-    while True:
-        parents = nodes.select("doc_id", F.col("parent_id").alias("node_id")).distinct()
-        empty = materialize(nodes.where(F.col("type").isin(*containers)).join(parents, ["doc_id", "node_id"], "left_anti").select("doc_id", "node_id"), "empty")
-        if empty.isEmpty():
-            return nodes
-        nodes = materialize(nodes.join(empty, ["doc_id", "node_id"], "left_anti"), "nodes")
+    keys, schema = ["doc_id", "node_id", "parent_id", "type"], nodes.schema
+
+    def whole_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        """Tables of whole documents; rows come sorted by document, a document may span batches."""
+        kept: list[pa.RecordBatch] = []
+        for batch in batches:
+            ids = batch.column("doc_id")
+            if not len(ids):
+                continue
+            same = pc.equal(ids, ids[len(ids) - 1]).fill_null(not ids[len(ids) - 1].is_valid)
+            cut = len(ids) - pc.sum(same).as_py()
+            if cut or kept and not kept[-1].column("doc_id")[-1].equals(ids[0]):
+                yield pa.Table.from_batches([*kept, batch.slice(0, cut)])
+                kept = []
+            kept.append(batch.slice(cut))
+        if kept:
+            yield pa.Table.from_batches(kept)
+
+    def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_documents(batches):
+            doc, node, parent, kind = (rows.column(c) for c in keys)
+            known = pc.and_(pc.is_valid(doc), pc.is_valid(node)).to_numpy()
+            names = pa.chunked_array([*node.chunks, *parent.chunks]).combine_chunks().dictionary_encode()
+            codes = names.indices.fill_null(len(names.dictionary)).to_numpy(zero_copy_only=False).astype(np.int64)
+            place = doc.combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy() * np.int64(len(names.dictionary) + 1)
+            at, above = (place + x for x in (codes[: len(rows)], codes[len(rows) :]))
+            found, at = np.unique(at, return_inverse=True)
+            up = np.searchsorted(found, above)
+            up = np.where(found[np.minimum(up, len(found) - 1)] == above, up, -1)
+            boxes = np.zeros(len(found), bool)
+            boxes[at[pc.is_in(kind, pa.array(containers)).to_numpy() & known]] = True
+            children = np.bincount(up[up >= 0], minlength=len(found))
+            order = np.argsort(at, kind="stable")
+            first = np.searchsorted(at[order], np.arange(len(found) + 1))
+            gone, now = np.zeros(len(found), bool), np.flatnonzero(boxes & (children == 0))
+            while len(now):
+                gone[now] = True
+                sizes = first[now + 1] - first[now]
+                lost = up[order[np.repeat(first[now] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]]
+                np.subtract.at(children, lost[lost >= 0], 1)
+                now = np.unique(lost[lost >= 0])
+                now = now[boxes[now] & (children[now] == 0) & ~gone[now]]
+            yield from rows.filter(pa.array(~gone[at])).combine_chunks().to_batches()
+
+    return spread(nodes, "doc_id").sortWithinPartitions("doc_id").mapInArrow(drop, schema)
 
 
 def fits_length(docs: DataFrame, profile: str) -> DataFrame:

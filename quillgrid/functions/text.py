@@ -155,10 +155,15 @@ def alpha_value(c: Column | str) -> Column:
     return F.aggregate(F.filter(F.split(F.lower(col(c)), ""), lambda x: x != ""), F.lit(0), lambda a, x: a * 26 + F.ascii(x) - 96)
 
 
+def code_point(n: Column) -> Column:
+    """The character of a code point; Spark's char starts anew at 256."""
+    return F.decode(F.unhex(F.lpad(F.hex(n.cast("long")), 8, "0")), "UTF-32")
+
+
 def alpha_label(n: Column | str) -> Column:
-    """1 = a, 26 = z, 27 = aa, up to 702."""
+    """1 = a, 26 = z, 27 = aa; past 702 the first sign runs on by code point behind z."""
     n = col(n)
-    return F.concat(F.when(n > 26, F.char((F.floor((n - 1) / 26) + 96).cast("int"))).otherwise(""), F.char(((n - 1) % 26 + 97).cast("int")))
+    return F.concat(F.when(n > 26, code_point(F.floor((n - 1) / 26) + 96)).otherwise(""), F.char(((n - 1) % 26 + 97).cast("int")))
 
 
 def smart_dashes(c: Column | str) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 from quillgrid.functions.text import attributes, normalize_source, roman_value
-from quillgrid.sources.shared import spread
+from quillgrid.sources.shared import by_key, spread
 
 MAX_DEPTH = 200
 #: Forms of a line, first match wins.
@@ -234,7 +234,7 @@ def item_parents(items: DataFrame) -> DataFrame:
     above = of_doc.withColumn("above", nearest_smaller(F.col("items.indent")))
     rows = above.select("doc_id", "items.line_no", "above", F.posexplode("items").alias("at", "item"))
     parents = rows.select("doc_id", F.col("item.line_no").alias("line_no"), F.when(F.get("above", F.col("at")) >= 0, F.get(rows["line_no"], F.get("above", F.col("at")))).alias("parent_line"))
-    return items.join(parents, ["doc_id", "line_no"])
+    return items.join(by_key(parents), ["doc_id", "line_no"])
 
 
 def split_cells(row: Column) -> Column:

@@ -18,7 +18,7 @@ from quillgrid.operators.inlines import FORCED
 from quillgrid.operators.render import SEMANTIC
 from quillgrid.operators.spans import inline_rows
 from quillgrid.operators.windows import first_use_numbers, sections, unique_ids
-from quillgrid.sources.shared import discard, materialize
+from quillgrid.sources.shared import by_key, discard, materialize
 
 LAST = 2**31 - 1
 TEXTS = ("text", "literal", "soft_break", "literal_text", "code", "math", "display_math", "mention", "tag", "autolink")
@@ -279,7 +279,7 @@ def moved(pieces: DataFrame, notes: DataFrame, used: DataFrame) -> DataFrame:
     """Pieces with those of used notes at the end of the document and those of unused ones left out."""
     numbers = used.where("number is not null and kind = 'note_ref'").select("doc_id", "label", F.col("number").cast("int").alias("number")).distinct()
     places = notes.join(numbers, ["doc_id", "label"]).select("doc_id", F.col("path").alias("note"), "number")
-    inside = pieces.where("note is not null").join(places, ["doc_id", "note"])
+    inside = pieces.where("note is not null").join(by_key(places), ["doc_id", "note"])
     place = F.concat(F.array(F.lit(LAST), F.col("number")), F.slice("place", F.size("note") + 1, F.greatest(F.size("place") - F.size("note"), F.lit(0))))
     return pieces.where("note is null").select("doc_id", "place", "out").unionByName(inside.select("doc_id", place.alias("place"), "out"))
 
@@ -299,12 +299,12 @@ def convert(docs: DataFrame) -> DataFrame:
     A null or empty source gives an empty page. An unresolved reference shows its source; the last definition of a link's label holds, the first
     of a note's. doc_id is a key; other columns are ignored.
     """
-    rows = materialize(nested(docs).withColumn("note", note_path()), "blocks")
-    cells = materialize(table_rows(rows), "cells")
-    inl = materialize(inline_rows(inline_texts(rows, cells), ["doc_id", "place", "note", "breaks"]), "inlines")
-    ids = materialize(heading_ids(rows, inl), "ids")
+    rows = by_key(materialize(nested(docs).withColumn("note", note_path()), "blocks"))
+    cells = by_key(materialize(table_rows(rows), "cells"))
+    inl = by_key(materialize(inline_rows(inline_texts(rows, cells), ["doc_id", "place", "note", "breaks"]), "inlines"))
+    ids = by_key(materialize(heading_ids(rows, inl), "ids"))
     notes = rows.where("type = 'footnote'").groupBy("doc_id", "label").agg(F.min("path").alias("path"))
-    used = materialize(noted(inl, notes), "notes")
+    used = by_key(materialize(noted(inl, notes), "notes"))
     short = rows.where("type = 'abbreviation'").select("doc_id", F.regexp_extract("text", r"^\*\[([^\]]+)\]", 1).alias("key"), F.trim(F.regexp_extract("text", r"^\*\[[^\]]+\]:(.*)$", 1)).alias("value"), "path")
     short = short.groupBy("doc_id", "key").agg(F.max_by("value", "path").alias("value")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("abbreviations"))
 
@@ -327,6 +327,6 @@ def convert(docs: DataFrame) -> DataFrame:
     pieces = moved(pieces, notes, used).unionByName(endnotes(used, notes, rows))
     parts = F.sort_array(F.collect_list(F.struct("place", "out")))
     pages = pieces.groupBy("doc_id").agg(F.array_join(F.transform(parts, lambda p: p["out"]), "").alias("html"))
-    made = materialize(docs.select("doc_id").join(pages, "doc_id", "left").select("doc_id", F.regexp_replace(F.coalesce("html", lit("")), r"^\n", "").alias("html")), "pages")
+    made = materialize(docs.select("doc_id").join(by_key(pages), "doc_id", "left").select("doc_id", F.regexp_replace(F.coalesce("html", lit("")), r"^\n", "").alias("html")), "pages")
     discard(rows, cells, inl, ids, used)
     return made

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillgrid.functions.text import UNSAFE_SCHEMES, col, url_scheme
-from quillgrid.sources.shared import spread
+from quillgrid.sources.shared import by_key, spread
 
 #: Presets of allowed types, greatest size in bytes and greatest nesting (null: no limit).
 ARTICLE = "paragraph heading list list_item block_quote code_block table table_row table_cell thematic_break link image strong emphasis code text"
@@ -47,14 +47,14 @@ def violations(nodes: DataFrame, profile: str) -> DataFrame:
 
 def strip_denied(nodes: DataFrame, denied: DataFrame) -> DataFrame:
     """nodes without the denied ones and their subtrees: a running maximum of denied subtree ends, no range join."""
-    flagged = nodes.join(denied.select("doc_id", "node_id", F.lit(True).alias("denied")), ["doc_id", "node_id"], "left")
+    flagged = nodes.join(by_key(denied.select("doc_id", "node_id", F.lit(True).alias("denied"))), ["doc_id", "node_id"], "left")
     reach = F.max(F.when(F.col("denied"), F.col("subtree_end"))).over(Window.partitionBy("doc_id").orderBy("node_id"))
     return flagged.withColumn("reach", reach).where("reach is null or node_id > reach").drop("denied", "reach")
 
 
 def denied_to_text(nodes: DataFrame, denied: DataFrame) -> DataFrame:
     """nodes with each topmost denied subtree replaced by one text node of its text."""
-    flagged = nodes.join(denied.select("doc_id", "node_id", F.lit(True).alias("denied")), ["doc_id", "node_id"], "left")
+    flagged = nodes.join(by_key(denied.select("doc_id", "node_id", F.lit(True).alias("denied"))), ["doc_id", "node_id"], "left")
     w = Window.partitionBy("doc_id").orderBy("node_id")
     reach = F.max(F.when(F.col("denied"), F.col("subtree_end"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
     rows = flagged.withColumn("top", F.col("denied") & (reach.isNull() | (F.col("node_id") > reach)))

@@ -13,6 +13,7 @@ from quillgrid.functions.text import UNSAFE, ansi, col, escape_attribute, escape
 from quillgrid.operators import blocks as B
 from quillgrid.operators.inlines import inline_html
 from quillgrid.operators.windows import LEVELS, last_of_levels
+from quillgrid.sources.shared import by_key
 
 TARGETS = ("html", "markdown", "plain", "ansi", "canonical")
 
@@ -228,7 +229,7 @@ def endnotes_html(references: DataFrame, definitions: DataFrame) -> DataFrame:
     from quillgrid.operators.windows import first_use_numbers
 
     used = first_use_numbers(references).groupBy("doc_id", "label", "number").agg(F.max("repeat").alias("uses"))
-    rows = used.join(definitions.select("doc_id", "label", "value"), ["doc_id", "label"])
+    rows = used.join(by_key(definitions.select("doc_id", "label", "value")), ["doc_id", "label"])
     n = F.col("number").cast("string")
     back = lambda k: F.concat(F.lit('<a href="#fnref'), n, F.when(k > 1, F.concat(F.lit("-"), k.cast("string"))).otherwise(""), F.lit('" role="doc-backlink">↩</a>'))
     links = F.array_join(F.transform(F.sequence(F.lit(1), F.col("uses").cast("int")), back), " ")
@@ -281,5 +282,5 @@ def loss_counts(loss_rows: DataFrame) -> DataFrame:
 def refuse_losses(rendered: DataFrame, loss_rows: DataFrame) -> DataFrame:
     """rendered; reading a document with a loss raises."""
     first = loss_rows.groupBy("doc_id").agg(F.min("code").alias("code"))
-    joined = rendered.join(first, "doc_id", "left")
+    joined = rendered.join(by_key(first), "doc_id", "left")
     return joined.select("doc_id", F.when(F.col("code").isNotNull(), F.raise_error(F.concat(F.lit("render loss: "), "code"))).otherwise(col("text")).alias("text"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillgrid.sources.shared import by_key
+
 KEY = ["doc_id", "path"]
 AST_VERSION = 1
 
@@ -91,7 +93,7 @@ def merge(base: DataFrame, ours: DataFrame, theirs: DataFrame, value: str = "val
 
 def carry_identity(old: DataFrame, new: DataFrame) -> DataFrame:
     """new (doc_id, path, hash) plus identity: the old row's where path and hash agree, else a fresh one of path and hash."""
-    joined = new.join(old.select(*KEY, "hash", F.col("identity").alias("kept")), [*KEY, "hash"], "left")
+    joined = new.join(by_key(old.select(*KEY, "hash", F.col("identity").alias("kept"))), [*KEY, "hash"], "left")
     return joined.withColumn("identity", F.coalesce("kept", F.concat(F.lit("n"), F.hex(F.xxhash64(*KEY, "hash"))))).drop("kept")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgrid.functions.text import alpha_label
+from quillgrid.sources.shared import by_key
 
 UP = (Window.unboundedPreceding, -1)
 #: Heading levels.
@@ -63,7 +64,7 @@ def unique_ids(headings: DataFrame, base: str = "slug", order: str = "line_no",
         bare = reserved.select("doc_id", F.col("id").alias(base), F.lit(1).alias("n"))
         numbered = reserved.where(tail != "").select("doc_id", F.regexp_replace("id", r"-[0-9]+$", "").alias(base), tail.cast("int").alias("n"))
         held = bare.union(numbered).groupBy("doc_id", base).agg(F.collect_set("n").alias("taken"))
-        rows = rows.join(held, ["doc_id", base], "left")
+        rows = rows.join(by_key(held), ["doc_id", base], "left")
         taken = F.coalesce("taken", F.array().cast("array<int>"))
     free = F.filter(F.sequence(F.lit(1), F.col("nth") + F.size(taken)), lambda n: ~F.array_contains(taken, n))
     n = F.element_at(free, F.col("nth"))
@@ -100,7 +101,7 @@ def first_use_numbers(uses: DataFrame, key: str = "label", order: str = "positio
     """doc_id, key, number by first use, and repeat: how often it was used up to each row."""
     first = uses.groupBy("doc_id", key).agg(F.min(order).alias("first_use"))
     numbered = first.withColumn("number", F.row_number().over(Window.partitionBy("doc_id").orderBy("first_use", key)))
-    return uses.join(numbered.drop("first_use"), ["doc_id", key]).withColumn("repeat", F.row_number().over(Window.partitionBy("doc_id", key).orderBy(order)))
+    return uses.join(by_key(numbered.drop("first_use")), ["doc_id", key]).withColumn("repeat", F.row_number().over(Window.partitionBy("doc_id", key).orderBy(order)))
 
 
 def blank_runs(classified: DataFrame) -> DataFrame:
@@ -109,7 +110,7 @@ def blank_runs(classified: DataFrame) -> DataFrame:
     rows = classified.withColumn("island", F.sum((F.col("form") != "blank").cast("int")).over(w))
     counted = rows.groupBy("doc_id", "island").agg(F.sum((F.col("form") == "blank").cast("int")).alias("after"))
     inked = rows.where("form <> 'blank'").select("doc_id", "line_no", (F.col("island") - 1).alias("island"))
-    return inked.join(counted, ["doc_id", "island"], "left").select("doc_id", "line_no", F.coalesce("after", F.lit(0)).alias("blanks"))
+    return inked.join(by_key(counted), ["doc_id", "island"], "left").select("doc_id", "line_no", F.coalesce("after", F.lit(0)).alias("blanks"))
 
 
 def within_budget(rows: DataFrame, text: str, budget: Column, order: str) -> DataFrame:

@@ -32,6 +32,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def by_key(rows: DataFrame) -> DataFrame:
+    """rows for a join by key: the size of a compressed file, from which Spark would choose a broadcast, tells little of its rows."""
+    return rows.hint("merge")
+
+
 def spread(rows: DataFrame, *keys: str) -> DataFrame:
     """rows dealt out by keys over as many partitions as a shuffle has, at least three a core.
 

@@ -8,9 +8,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgrid.sources.shared import discard, materialize, shared_folder
+from quillgrid.sources.shared import by_key, discard, materialize, shared_folder
 
-__all__ = ["connected_components", "discard", "join_counted", "join_small", "materialize", "release_shuffles", "shared_folder", "small_batches", "table", "without_ids"]
+__all__ = ["by_key", "connected_components", "discard", "join_counted", "join_small", "materialize", "release_shuffles", "shared_folder", "small_batches", "table", "without_ids"]
 
 #: A word is a run of anything but space, tab, newline, vertical tab, form feed and carriage return.
 #: ``bytes.split()`` cuts at the same six characters.
@@ -59,6 +59,11 @@ def join_small(rows: DataFrame, small: DataFrame, keys: list[str], how: str = "i
     return rows.withColumn("salt", salt).join(spread, [*keys, "salt"], how).drop("salt")
 
 
+def light_side(rows: DataFrame, n: int, most: int = 100_000) -> DataFrame:
+    """rows, n of them, for a join: more than ``most`` are never broadcast, however small their file."""
+    return by_key(rows) if n > most else rows
+
+
 def join_counted(rows: DataFrame, counted: DataFrame, keys: list[str], how: str = "inner", most_heavy: int = 10_000) -> DataFrame:
     """rows joined to one row per key of counted, whose column n (dropped) tells how many of rows have the key.
 
@@ -66,9 +71,9 @@ def join_counted(rows: DataFrame, counted: DataFrame, keys: list[str], how: str
     than most_heavy of them, so they are broadcast and their rows stay where they are; the others are
     joined by key. rows and counted are read several times: written tables serve best.
     """
-    total = counted.agg(F.sum("n")).first()[0] or 0
-    limit = max(1000, total // most_heavy)
-    heavy, light = counted.where(F.col("n") > limit).drop("n"), counted.where(F.col("n") <= limit).drop("n")
+    total, keys_held = counted.agg(F.sum("n"), F.count("*")).first()
+    limit = max(1000, (total or 0) // most_heavy)
+    heavy, light = counted.where(F.col("n") > limit).drop("n"), light_side(counted.where(F.col("n") <= limit).drop("n"), keys_held)
     if heavy.isEmpty():
         return rows.join(light, keys, how)
     rest = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(light, keys, how)

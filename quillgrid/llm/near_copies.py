@@ -1,10 +1,11 @@
-"""Near copies: candidates by banded MinHash and SimHash, exact Jaccard of five-word shingles over whole texts decides.
+"""Near copies: candidates by SimHash and beside it banded MinHash, exact Jaccard of five-word shingles over whole texts decides.
 
-Texts with the same set of shingles are one node. A node has one key per band, a hash of a few minima over its
+Texts with the same set of shingles are one node. The BK-trees of simhash.py find nodes whose fingerprints are near, and
+those that the exact index confirms are linked. For what they leave apart a node has one key per band, a hash of a few minima over its
 shingles; nodes that reach the similarity share a key but for about one pair in 4,500, others rarely do, so the rows grow
 with the documents. Within a key a pair is a candidate if sizes and SimHash fingerprints allow it.
 
-Only components matter, so not all pairs of a key are compared: in each round, the nodes of a key that are not yet
+Only components matter, so not all pairs of a key are compared, and none in a component already: in each round, the nodes of a key that are not yet
 in one component with its leader are compared with it, and the verified links join components. A comparison meets two
 sets of hashes in one row; a set that many pairs ask for is salted. The nodes of keys that then lie in several
 components are dealt to cells of bounded rows and bytes, and cells that share a key are compared, each set sent
@@ -20,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.common import connected_components, discard, join_counted, join_small, materialize, small_batches
-from quillgrid.llm.simhash import Forest, fingerprint, keep_first, signed
+from quillgrid.llm.common import by_key, connected_components, discard, join_counted, join_small, materialize, small_batches
+from quillgrid.llm.simhash import Forest, blocks_for, fingerprint, fingerprint_links, keep_first, signed
 
 
 def shingle_hashes(text: bytes | None, words: int = 5) -> np.ndarray:
@@ -88,8 +89,8 @@ def with_sets(pairs: DataFrame, sets: DataFrame, side: str, share: int = 1000) -
     """pairs with the set of the node in column side; a set that over ``share`` pairs ask for is sent to several tasks."""
     asked = materialize(pairs.groupBy(side).agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / share).cast("int")), "asked")
     salted = join_counted(pairs, asked, [side]).withColumn("part", F.pmod(F.xxhash64(*pairs.columns), F.col("parts")).cast("int")).drop("parts")
-    sent = sets.join(asked.drop("n"), sets["node"] == asked[side]).select(side, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("hashes").alias(f"{side}_hashes"))
-    return salted.join(sent, [side, "part"]).drop("part")
+    sent = sets.join(by_key(asked.drop("n")), sets["node"] == asked[side]).select(side, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("hashes").alias(f"{side}_hashes"))
+    return salted.join(by_key(sent), [side, "part"]).drop("part")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -107,16 +108,29 @@ def could_match(a: str, b: str, radius: int, similarity: float) -> F.Column:
     return near & (F.least(size, other) >= F.lit(similarity) * F.greatest(size, other))
 
 
+def fingerprint_pairs(nodes: DataFrame, similarity: float, radius: int = 6) -> DataFrame:
+    """Candidates (u, v) among nodes (node, fp, size): equal fingerprints by their least node, near ones by the BK-trees' spanning links."""
+    classes = materialize(nodes.groupBy("fp").agg(F.min("node").alias("id"), F.count("*").alias("n")), "fingerprints")
+    equal = join_counted(nodes.select("fp", "node"), classes, ["fp"]).where("node <> id").select(F.col("id").alias("u"), F.col("node").alias("v"))
+    near = fingerprint_links(classes.select("fp", "id"), radius, blocks_for(classes.count(), radius))
+    pairs = materialize(equal.union(near).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "print-pairs")
+    sizes = by_key(nodes.select(F.col("node"), F.col("size")))
+    both = pairs.join(sizes.toDF("u", "a"), "u").join(sizes.toDF("v", "b"), "v")
+    return materialize(both.where(F.least("a", "b") >= F.lit(similarity) * F.greatest("a", "b")).select("u", "v"), "print-pairs")
+
+
 def near_copy_links(docs: DataFrame, nodes: DataFrame, radius: int, similarity: float, words: int, rounds: int, shard_rows: int) -> DataFrame:
     """Links (u, v) between nodes (node, fp, size, doc_id, keys) that join all nodes which reach the similarity."""
     members = nodes.select("node", "fp", "size", F.explode("keys").alias("key"))
     counts = materialize(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "keys")
     members = materialize(join_counted(members, counts, ["key"]), "members")
-    wanted = materialize(nodes.join(members.select("node").distinct(), "node", "left_semi").select("doc_id", "node"), "wanted")
+    printed = fingerprint_pairs(nodes, similarity)
+    asked = members.select("node").union(printed.select("u")).union(printed.select("v")).distinct()
+    wanted = materialize(nodes.join(by_key(asked), "node", "left_semi").select("doc_id", "node"), "wanted")
     sets = materialize(hash_sets(docs, wanted, words), "sets")
     me = F.struct("node", "fp", "size").alias("me")
-    links = None
-    open_ = members.select("key", me, F.col("node").alias("component"))
+    links = materialize(verified(printed, sets, similarity), "near-links")
+    open_ = members.select("key", me, F.col("node").alias("component")) if links.isEmpty() else unsettled(members, links)
     for _ in range(rounds):
         # A leader of those that the greatest component of the key does not hold, by its least name.
         leaders = materialize(open_.groupBy("key").agg(F.max(F.struct("component", F.col("me"))).alias("top"), F.count("*").alias("n")), "leaders")
@@ -126,16 +140,15 @@ def near_copy_links(docs: DataFrame, nodes: DataFrame, radius: int, similarity:
         if pairs.isEmpty():
             break
         found = verified(pairs, sets, similarity)
-        links = materialize(found if links is None else links.union(found), "near-links")
+        links = materialize(links.union(found), "near-links")
         open_ = unsettled(members, links)
-    found = crossing(open_, sets, radius, similarity, shard_rows)
-    return found if links is None else links.union(found)
+    return links.union(crossing(open_, sets, radius, similarity, shard_rows))
 
 
 def unsettled(members: DataFrame, links: DataFrame) -> DataFrame:
     """key, me, component of the keys whose nodes lie in several components so far."""
     parts = materialize(connected_components(links).withColumn("n", F.lit(1).cast("long")), "parts").drop("n")
-    placed = members.join(parts, "node", "left").select("key", F.struct("node", "fp", "size").alias("me"), F.coalesce("component", "node").alias("component"))
+    placed = members.join(by_key(parts), "node", "left").select("key", F.struct("node", "fp", "size").alias("me"), F.coalesce("component", "node").alias("component"))
     placed = materialize(placed, "placed")
     spread = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("n")).where("a <> b").select("key", "n")
     return materialize(join_counted(placed, materialize(spread, "keys"), ["key"]), "unsettled")
@@ -155,11 +168,11 @@ def cells(open_: DataFrame, cell_rows: int, cell_hashes: int) -> DataFrame:
 def crossing(open_: DataFrame, sets: DataFrame, radius: int, similarity: float, cell_rows: int, cell_hashes: int = 500_000) -> DataFrame:
     """Links between nodes of a key that lie in different components, found cell against cell; no pairs but links come out."""
     placed = cells(open_, cell_rows, cell_hashes)
-    held = materialize(open_.select("key", F.col("me.node").alias("node")).join(placed.select("node", "cell"), "node").select("key", "cell").distinct(), "held")
+    held = materialize(open_.select("key", F.col("me.node").alias("node")).join(by_key(placed.select("node", "cell")), "node").select("key", "cell").distinct(), "held")
     meetings = held.withColumnRenamed("cell", "a").join(held.withColumnRenamed("cell", "b"), "key").where("a <= b").select("a", "b").distinct()
     meetings = materialize(meetings, "meetings")
     partners = meetings.select(F.col("a").alias("cell"), "a", "b").unionByName(meetings.where("a <> b").select(F.col("b").alias("cell"), "a", "b"))
-    whole = materialize(placed.join(sets, "node"), "cell-sets")
+    whole = materialize(placed.join(by_key(sets), "node"), "cell-sets")
 
     def compare(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
@@ -201,9 +214,9 @@ def near_copy_components(
     first = [F.min("fp").alias("fp"), F.min("size").alias("size"), F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.first("keys").alias("keys")]
     nodes = materialize(printed.groupBy("node").agg(*first), "nodes")
     parts = connected_components(materialize(near_copy_links(docs, nodes, radius, similarity, words, rounds, shard_rows), "near-links"))
-    rooted = nodes.join(parts, "node", "left").select("node", "doc_id", "n", F.coalesce("component", "node").alias("root"))
+    rooted = nodes.join(by_key(parts), "node", "left").select("node", "doc_id", "n", F.coalesce("component", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = materialize(rooted.join(least, "root").select("node", "n", "component_id"), "nodes")
+    named = materialize(rooted.join(by_key(least), "root").select("node", "n", "component_id"), "nodes")
     discard(nodes)
     return join_counted(printed.select("doc_id", "node"), named, ["node"]).select("doc_id", "component_id")
 

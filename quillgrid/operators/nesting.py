@@ -14,9 +14,17 @@ from quillgrid.operators.frames import HIDDEN, nested
 from quillgrid.operators.inlines import inline_html
 from quillgrid.operators.render import block_text, line_block_html
 
-__all__ = ["nested", "render_nested"]
+__all__ = ["columns", "nested", "render_nested"]
 
 LAST = 2**31 - 1
+SHOWN = ("path", "type", "text", "fence", "first_item", "in_tight", "attributes", "chain", "nth_shown", "holds")
+
+
+def columns(target: str) -> tuple[str, ...]:
+    """The columns of nested that render_nested reads for a target."""
+    if target == "html":
+        return (*SHOWN, "name", "title", "marker", "style", "task", "last_item", "caption", "depth")
+    return (*SHOWN, "tight", "after", "nth")
 
 
 def prefix(target: str, first: bool) -> Column:

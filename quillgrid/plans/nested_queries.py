@@ -39,44 +39,44 @@ def by_shape(texts) -> str:
     return "CASE p_partkey % 6 " + " ".join(f"WHEN {i} THEN {named(t)}" for i, t in enumerate(texts)) + " END"
 
 
-def nested(spark, sf):
+def nested(spark, sf, columns):
     n, t = F.col("n"), F.col("t")
     docs = table(spark, sf, "part").selectExpr("cast(p_partkey as bigint) doc_id", "p_name n", "p_type t")
     fill = lambda s: F.replace(F.replace(F.lit(s), F.lit("{n}"), n), F.lit("{t}"), t)
     source = F.coalesce(*[F.when(F.col("doc_id") % 6 == i, fill(s[0])) for i, s in enumerate(SHAPES)])
-    return N.nested(docs.select("doc_id", source.alias("source")))
+    return N.nested(docs.select("doc_id", source.alias("source")), columns)
 
 
 @query(f"SELECT p_partkey AS doc_id, {by_shape(s[1] for s in SHAPES)} AS text FROM part")
 def b2_b10_b20_r5_r6_r7_r9_r11_nested_html(spark, sf):
     """Blocks in lists, quotes and containers, attached blocks, definition lists, figures and attributes."""
-    return N.render_nested(nested(spark, sf), "html")
+    return N.render_nested(nested(spark, sf, N.columns("html")), "html")
 
 
 @query(f"SELECT p_partkey AS doc_id, {by_shape(s[2] for s in SHAPES)} AS text FROM part")
 def r27_s23_nested_canonical(spark, sf):
-    return N.render_nested(nested(spark, sf), "canonical")
+    return N.render_nested(nested(spark, sf, N.columns("canonical")), "canonical")
 
 
 @query(f"""SELECT p_partkey AS doc_id, {by_shape((
     "• {n}\n  • {t}\n    • c\n  • [x] d\n• e", "│ │ {n}\n│\n│ • x\n│\n│   {t}\n│\n│ • z\n\ntail", "{n}\n\n• {t}\n\nend",
     "3. {n}\n4. two\n   <E>[2m1 < 2<E>[0m\n   │ {t}\n\npara\nlazy", "{n}\n{t}\nd\n\n<E>[1mH<E>[0m\n═\n\n│ • <E>[1mI<E>[0m\n│   ═\n\ntail", "{n}\n\na\n  b")).replace("<E>", "' || CHR(27) || '")} AS text FROM part""")
 def r26_s22_nested_ansi(spark, sf):
-    return N.render_nested(nested(spark, sf), "ansi")
+    return N.render_nested(nested(spark, sf, N.columns("ansi")), "ansi")
 
 
 @query(f"""SELECT p_partkey AS doc_id, {by_shape((
     "- {n}\n  - {t}\n    - c\n  - [x] d\n- e", "{n}\n\n- x\n\n  {t}\n\n- z\n\ntail", "{n}\n\n- {t}\n\nend",
     "3. {n}\n4. two\n   1 < 2\n   {t}\n\npara\nlazy", "{n}\n{t}\nd\n\nH\n\n- I\n\ntail", "{n}\n\na\n  b"))} AS text FROM part""")
 def r25_s21_nested_plain(spark, sf):
-    return N.render_nested(nested(spark, sf), "plain")
+    return N.render_nested(nested(spark, sf, N.columns("plain")), "plain")
 
 
 @query(f"""SELECT p_partkey AS doc_id, {by_shape((
     "- {n}\n  - {t}\n    - c\n  - [x] d\n- e", "> > {n}\n>\n> - x\n>\n>   {t}\n>\n> - z\n\ntail", "{n}\n\n- {t}\n\nend",
     "3. {n}\n4. two\n   ```py\n   1 < 2\n   ```\n   > {t}\n\npara\nlazy", "{n}\n{t}\nd\n\n# H\n\n> - # I\n\ntail", "![{n}](b)\n\na\n  b"))} AS text FROM part""")
 def r23_s20_nested_markdown(spark, sf):
-    return N.render_nested(nested(spark, sf), "markdown")
+    return N.render_nested(nested(spark, sf, N.columns("markdown")), "markdown")
 
 
 #: Blocks by depth (from 1) of each shape, counted by hand.
@@ -87,4 +87,4 @@ DEPTHS = ((2, 4, 3, 1), (2, 3, 4), (2, 2, 1, 1), (3, 4, 1), (8, 3, 1), (3,))
   JOIN (VALUES {", ".join(f"({s}, {d + 1}, {n})" for s, ns in enumerate(DEPTHS) for d, n in enumerate(ns))}) v(s, d, n) ON p_partkey % 6 = s""")
 def j10_nested_depths(spark, sf):
     """Blocks by depth, hidden ones among them."""
-    return nested(spark, sf).groupBy("doc_id", "depth").agg(F.count("*").alias("n"))
+    return nested(spark, sf, ["depth"]).groupBy("doc_id", "depth").agg(F.count("*").alias("n"))

@@ -69,9 +69,9 @@ def html_pieces() -> tuple[Column, Column]:
 
 
 def text_pieces(target: str) -> tuple[Column, Column]:
-    """Opening and closing piece of a row in a text target: the gap above it, then its lines behind their prefixes."""
+    """Opening and closing piece of a row (with its prefixes lead and hang) in a text target: the gap above it, then its lines behind their prefixes."""
     canonical = target == "canonical"
-    first, others = prefix(target, True), prefix(target, False)
+    first, others = F.col("lead"), F.col("hang")
     t, boxed = F.col("type"), F.col("type") == "container"
     term = F.concat(F.lit(":: "), "text") if canonical else F.col("text")
     verse = F.concat(F.lit("::: |\n"), "text") if canonical else F.col("text")
@@ -95,18 +95,21 @@ def text_pieces(target: str) -> tuple[Column, Column]:
 def render_nested(rows: DataFrame, target: str = "html") -> DataFrame:
     """Rows of nested -> doc_id, text in a target; one row per document that has a block which the target shows."""
     flush = F.col("in_tight") & (F.col("type") == "paragraph")
+    if target != "canonical":  # notes stand where they are referred to, not where they are written
+        rows = rows.where((F.col("type") != "footnote") & ~F.exists("chain", lambda x: x["kind"] == "footnote"))
     if target == "html":
         opening, closing = html_pieces()
         opening = F.concat(F.when((F.col("nth_shown") == 1) & ((F.col("depth") == 1) | flush), "").otherwise("\n"), opening)
     else:
+        # As columns of their own, prefixes are made once a row and not once a line.
+        rows = rows.withColumns({"lead": prefix(target, True), "hang": prefix(target, False)})
         opening, closing = text_pieces(target)
-    pieces = rows.withColumns({"opening": opening, "closing": closing}).where("opening is not null")
-    if target != "canonical":  # notes stand where they are referred to, not where they are written
-        pieces = pieces.where((F.col("type") != "footnote") & ~F.exists("chain", lambda x: x["kind"] == "footnote"))
+    # A filter on opening would have Spark make it twice; what has none is left out with the other nulls below.
+    pieces = rows.withColumns({"opening": opening, "closing": closing})
     glue = F.when(flush, 1).when(F.col("type").isin("list_item", "description"), 2).otherwise(0)
     parts = F.array(
         F.struct(F.col("path").alias("at"), F.col("opening").alias("out"), F.when(glue == 1, 1).otherwise(0).alias("glue")),
-        F.struct(F.concat("path", F.array(F.lit(LAST))).alias("at"), F.col("closing").alias("out"), F.when(glue == 2, 2).otherwise(0).alias("glue")),
+        F.struct(F.concat("path", F.array(F.lit(LAST))).alias("at"), F.when(F.col("opening").isNotNull(), F.col("closing")).alias("out"), F.when(glue == 2, 2).otherwise(0).alias("glue")),
     )
     events = pieces.select("doc_id", F.inline(F.filter(parts, lambda x: x["out"].isNotNull())))
     ordered = events.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("at", "out", "glue"))).alias("parts"))

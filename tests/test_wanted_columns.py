@@ -19,3 +19,12 @@ def test_depths_alone_are_those_of_whole_rows(spark):
 
 def test_depths_are_counted_over_depths(spark):
     assert "text#" not in QUERIES["j10_nested_depths"](spark, SF)._jdf.queryExecution().analyzed().toString()
+
+
+def test_text_targets_make_each_piece_once(spark):
+    """A filter on a row's opening piece had Spark make the piece twice, and its prefixes once a line."""
+    plan = QUERIES["r26_s22_nested_ansi"](spark, SF)._jdf.queryExecution()
+    assert "item_attributes" not in plan.analyzed().toString()
+    filters = [line for line in plan.optimizedPlan().toString().split("\n") if "Filter" in line]
+    assert not any("CASE WHEN" in line for line in filters)
+    assert plan.optimizedPlan().toString().count("AS hang#") == 1

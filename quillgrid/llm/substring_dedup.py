@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,25 +29,21 @@ from quillgrid.llm.common import discard, join_counted, materialize, release_shu
 FACTOR, MIX_1, MIX_2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
-class WordHashes(dict):
-    """Hash of each word met, at most ``keep`` of them kept."""
-
-    keep = 500_000
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= self.keep:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word, 5)
-        return h
-
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """XXH64 (seed 5) of each word: as fast as looking a word up, and nothing is kept."""
+    from xxhash import xxh64_digest
 
-_hashes = WordHashes()
+    return np.frombuffer(b"".join(map(xxh64_digest, words, repeat(5))), ">u8").astype(np.uint64)
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+def among(values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Which values are wanted, by a search of each in the wanted ones (np.isin would sort the values)."""
+    if not len(wanted):
+        return np.zeros(len(values), bool)
+    wanted = np.sort(wanted)
+    at = np.searchsorted(wanted, values)
+    at[at == len(wanted)] = 0
+    return wanted[at] == values
 
 
 def window_hashes(words: np.ndarray, length: int) -> np.ndarray:
@@ -183,7 +180,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, deepest: int | None = None
     discard(seen, repeats)
     release_shuffles(spark)
 
-    seen = materialize(emitted(firsts.join(marks, "doc_id"), lambda words, marks: window_hashes(words, window)[np.isin(minimizers(words, window, half), marks)]), "seen")
+    seen = materialize(emitted(firsts.join(marks, "doc_id"), lambda words, marks: window_hashes(words, window)[among(minimizers(words, window, half), marks)]), "seen")
     release_shuffles(spark)
     repeats = repeats_of(seen)
     gone = F.col("doc_id") > F.col("first_id")
@@ -202,18 +199,18 @@ def remove_repeats(docs: DataFrame, window: int = 13, deepest: int | None = None
                 removed, first = as_numbers(batch.column(3), i), as_numbers(batch.column(4), i)
                 if len(removed) or len(first):
                     h = window_hashes(word_hashes(words), window)
-                    cover = np.isin(h, removed)
+                    cover = among(h, removed)
                     step = np.zeros(len(words) + 1, np.int64)
                     step[: len(cover)] += cover
                     step[window : window + len(cover)] -= cover
                     gone = np.cumsum(step[:-1]) > 0
-                    at = np.flatnonzero(cover | np.isin(h, first))
+                    at = np.flatnonzero(cover | among(h, first))
                     shared = window if len(at) else 0
                     starts, hashes = doubled(at, h[at], window) if more else (starts, hashes)
                 if later is not None:
                     shared = doubling(len(words), window, deepest)
                     gone |= bool(later and shared)
-                kept = [w for w, g in zip(words, gone, strict=True) if not g] if gone.any() else words
+                kept = list(compress(words, (~gone).tolist())) if gone.any() else words
                 for column, x in zip(out, (len(words), int(gone.sum()), hashlib.sha256(b" ".join(kept)).hexdigest(), shared, starts.astype(np.int32), hashes.view(np.int64)), strict=True):
                     column.append(x)
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillgrid.sources.shared import by_key, discard, materialize, shared_folder
 
-__all__ = ["by_key", "connected_components", "discard", "join_counted", "join_small", "materialize", "release_shuffles", "shared_folder", "small_batches", "table", "without_ids"]
+__all__ = ["by_key", "connected_components", "discard", "ids_side", "join_counted", "join_small", "light_side", "materialize", "release_shuffles", "shared_folder", "small_batches", "table", "without_ids"]
 
 #: A word is a run of anything but space, tab, newline, vertical tab, form feed and carriage return.
 #: ``bytes.split()`` cuts at the same six characters.
@@ -42,21 +42,26 @@ def without_ids(docs: DataFrame, ids: DataFrame, broadcast_rows: int = 1_000_000
     The ids are counted first: up to broadcast_rows of them (8 bytes each) are broadcast so that the texts
     need no shuffle; more are joined by key.
     """
-    few = ids.limit(broadcast_rows + 1).count() <= broadcast_rows
-    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(ids_side(ids, broadcast_rows), "doc_id", "left_anti").select(docs.columns)
+
+
+def ids_side(ids: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """ids for a join: up to broadcast_rows are broadcast, more never are."""
+    return F.broadcast(ids) if ids.limit(broadcast_rows + 1).count() <= broadcast_rows else by_key(ids)
 
 
 def join_small(rows: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", broadcast_rows: int = 200_000, salts: int = 32) -> DataFrame:
     """rows joined to one row per key of small, without dealing rows out by a key that may hold many of them.
 
     small is counted first: up to broadcast_rows it is broadcast; beyond, each of its rows is repeated for
-    ``salts`` salts and rows spread over them.
+    ``salts`` salts and rows spread over them. Those are joined by key: Spark takes them for as few as
+    before they were repeated, so it would broadcast them through the driver.
     """
     if small.limit(broadcast_rows + 1).count() <= broadcast_rows:
         return rows.join(F.broadcast(small), keys, how)
     spread = small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salt = F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int")
-    return rows.withColumn("salt", salt).join(spread, [*keys, "salt"], how).drop("salt")
+    return rows.withColumn("salt", salt).join(by_key(spread), [*keys, "salt"], how).drop("salt")
 
 
 def light_side(rows: DataFrame, n: int, most: int = 100_000) -> DataFrame:

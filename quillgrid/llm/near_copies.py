@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.common import by_key, connected_components, discard, join_counted, join_small, materialize, small_batches
+from quillgrid.llm.common import by_key, connected_components, discard, join_counted, join_small, light_side, materialize, small_batches
 from quillgrid.llm.simhash import Forest, blocks_for, fingerprint, fingerprint_links, keep_first, signed
 
 
@@ -169,7 +169,7 @@ def crossing(open_: DataFrame, sets: DataFrame, radius: int, similarity: float,
     """Links between nodes of a key that lie in different components, found cell against cell; no pairs but links come out."""
     placed = cells(open_, cell_rows, cell_hashes)
     held = materialize(open_.select("key", F.col("me.node").alias("node")).join(by_key(placed.select("node", "cell")), "node").select("key", "cell").distinct(), "held")
-    meetings = held.withColumnRenamed("cell", "a").join(held.withColumnRenamed("cell", "b"), "key").where("a <= b").select("a", "b").distinct()
+    meetings = held.withColumnRenamed("cell", "a").join(light_side(held.withColumnRenamed("cell", "b"), held.count()), "key").where("a <= b").select("a", "b").distinct()
     meetings = materialize(meetings, "meetings")
     partners = meetings.select(F.col("a").alias("cell"), "a", "b").unionByName(meetings.where("a <> b").select(F.col("b").alias("cell"), "a", "b"))
     whole = materialize(placed.join(by_key(sets), "node"), "cell-sets")
@@ -198,7 +198,7 @@ def crossing(open_: DataFrame, sets: DataFrame, radius: int, similarity: float,
                     links.append((int(node[i]), int(node[j])))
         return pa.table({c: pa.array([x[k] for x in links], pa.int64()) for k, c in enumerate(("u", "v"))})
 
-    return whole.join(partners, "cell").groupBy("a", "b").applyInArrow(compare, "u long, v long")
+    return whole.join(light_side(partners, meetings.count()), "cell").groupBy("a", "b").applyInArrow(compare, "u long, v long")
 
 
 def near_copy_components(

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.common import connected_components, join_counted, materialize, small_batches, without_ids
+from quillgrid.llm.common import connected_components, ids_side, join_counted, materialize, small_batches, without_ids
 
 
 def fingerprint(text: str | bytes | None, shingle: int = 4) -> int:
@@ -236,4 +236,4 @@ def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
     repeated = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if repeated.isEmpty():
         return kept
-    return without_ids(kept, repeated).union(kept.join(repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
+    return without_ids(kept, repeated).union(kept.join(ids_side(repeated), "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
